@@ -1,0 +1,29 @@
+"""Columns of a single bar and its predecessor."""
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def true_range(high: Column, low: Column, prev_close: Column) -> Column:
+    """Largest of the bar's range and its distances to the previous close; nulls are skipped."""
+    return F.greatest(high - low, F.abs(high - prev_close), F.abs(low - prev_close))
+
+
+def range_pct(high: Column, low: Column, close: Column) -> Column:
+    return F.try_divide(high - low, close) * F.lit(100.0)
+
+
+def close_position(high: Column, low: Column, close: Column) -> Column:
+    """Where the close lies in the bar's range, 0 to 1; null when the bar has no range."""
+    return F.when(high - low > 0, (close - low) / (high - low))
+
+
+def gap(open_: Column, prev_close: Column) -> Column:
+    """Opening gap as a fraction of the previous close; null without a positive previous close."""
+    return F.when(prev_close > 0, (open_ - prev_close) / prev_close)
+
+
+def flag(condition: Column) -> Column:
+    """A condition as true or false, never null."""
+    return F.coalesce(condition, F.lit(False))
