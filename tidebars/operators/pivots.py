@@ -130,5 +130,5 @@ def pivots(located: DataFrame, frame: DataFrame, rules: PivotRules = PivotRules(
 
 def pivot_lookup(moves: DataFrame, pivot_table: DataFrame, symbol: str, year: int) -> DataFrame:
     """The move's row with its pivot, null when it has none; empty when there is no such move."""
-    move = moves.filter((F.col("symbol") == symbol.strip().upper()) & (F.col("year") == year)).select(*MOVE_KEY)
+    move = moves.filter((F.upper("symbol") == symbol.strip().upper()) & (F.col("year") == year)).select(*MOVE_KEY)
     return move.join(pivot_table, list(MOVE_KEY), "left")

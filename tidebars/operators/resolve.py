@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidebars.operators.setups import DETECTORS
+from tidebars.operators.setups.rules import RESULT_TYPE
 from tidebars.series import MOVE_KEY
 
 # Fixed values: (winner, loser) pairs in the order they apply.
@@ -67,11 +68,12 @@ def classify(moves: DataFrame, indexed: DataFrame, pivot_table: DataFrame, resol
     joined = (
         moves.select(*key).join(with_bars, "symbol", "left").join(found, key, "left").join(resolved, key, "left")
     )
+    none = F.array().cast(f"array<{RESULT_TYPE}>")
     reason = F.when(F.col("has_bars").isNull(), "no_csv").when(F.col("pivot").isNull(), "no_pivot")
     return joined.select(
         *key, F.concat_ws("_", "symbol", "year").alias("move_key"), "pivot",
-        F.filter("results", lambda r: r["matched"]).alias("ai_classifications"),
-        F.col("results").alias("ai_all_detector_results"),
+        F.coalesce(F.filter("results", lambda r: r["matched"]), none).alias("ai_classifications"),
+        F.coalesce("results", none).alias("ai_all_detector_results"),
         F.col("primary").alias("ai_primary"),
         F.coalesce("needs_review", F.lit(True)).alias("needs_review"),
         reason.alias("reason"),
