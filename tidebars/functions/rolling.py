@@ -1,4 +1,4 @@
-"""Rolling and recursive columns over halo windows.
+"""Rolling and recursive columns over chunks with a halo.
 
 A frame of n rows costs n updates per row in Spark, so long frames are put
 together from short ones: a ten-row total, then one lag per ten rows.
@@ -8,8 +8,9 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, WindowSpec
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
+
+from tidebars.series import back, rows
 
 BLOCK = 10
 SHORT = 25
@@ -17,64 +18,61 @@ NEGLIGIBLE_EXPONENT = 40.0   # exp(-40) is below double precision
 LARGEST_EXPONENT = 600.0     # exp(600) is still a double
 
 
-def full_frame(fn, value: Column, w: WindowSpec, n: int) -> Column:
-    """``fn`` over the last ``n`` rows; null until ``n`` non-null values exist."""
-    frame = w.rowsBetween(-(n - 1), 0)
-    return F.when(F.count(value).over(frame) == n, fn(value).over(frame))
+def total(src: str, n: int) -> str:
+    """Sum of the last ``n`` values; null until ``n`` non-null values exist."""
+    over = rows(-(n - 1))
+    return f"CASE WHEN count({src}) {over} = {n} THEN sum({src}) {over} END"
+
+
+def add(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
+    """Add columns given as SQL expressions."""
+    return df.selectExpr("*", *[f"{sql} AS {name}" for name, sql in columns.items()]) if columns else df
 
 
-def rolling_means(df: DataFrame, w: WindowSpec, specs: Mapping[str, tuple[str, int]]) -> DataFrame:
+def rolling_means(df: DataFrame, specs: Mapping[str, tuple[str, int]]) -> DataFrame:
     """Add ``out = mean of the last n values of src`` for each ``out: (src, n)``."""
-    blocks: dict[str, Column] = {}
-    lags: dict[str, Column] = {}
-    result: dict[str, Column] = {}
+    blocks: dict[str, str] = {}
+    lags: dict[str, str] = {}
+    result: dict[str, str] = {}
     for out, (src, n) in specs.items():
-        value = F.col(src)
         if n <= SHORT:
-            result[out] = full_frame(F.sum, value, w, n) / F.lit(float(n))
+            result[out] = f"({total(src, n)}) / {float(n)}D"
             continue
         whole, rest = divmod(n, BLOCK)
         block = f"_sum{BLOCK}_{src}"
-        blocks[block] = full_frame(F.sum, value, w, BLOCK)
-        parts = [F.col(block)]
+        blocks[block] = total(src, BLOCK)
+        parts = [block]
         for j in range(1, whole):
-            lags[f"{block}_{j}"] = F.lag(block, BLOCK * j).over(w)
-            parts.append(F.col(f"{block}_{j}"))
+            lags[f"{block}_{j}"] = back(block, BLOCK * j)
+            parts.append(f"{block}_{j}")
         if rest:
             tail = f"_sum{rest}_{src}"
-            blocks[tail] = full_frame(F.sum, value, w, rest)
-            lags[f"{tail}_{whole}"] = F.lag(tail, BLOCK * whole).over(w)
-            parts.append(F.col(f"{tail}_{whole}"))
-        total = parts[0]
-        for p in parts[1:]:
-            total = total + p
-        result[out] = total / F.lit(float(n))
-    out_df = df
-    if blocks:
-        out_df = out_df.withColumns(blocks).withColumns(lags)
-    return out_df.withColumns(result).drop(*blocks, *lags)
-
-
-def rolling_extreme(df: DataFrame, w: WindowSpec, out: str, src: str, n: int, largest: bool = True) -> DataFrame:
+            blocks[tail] = total(src, rest)
+            lags[f"{tail}_{whole}"] = back(tail, BLOCK * whole)
+            parts.append(f"{tail}_{whole}")
+        result[out] = f"({' + '.join(parts)}) / {float(n)}D"
+    return add(add(add(df, blocks), lags), result).drop(*blocks, *lags)
+
+
+def rolling_extreme(df: DataFrame, out: str, src: str, n: int, largest: bool = True) -> DataFrame:
     """Maximum (or minimum) of the last ``n`` values that exist, n a multiple of 12."""
     width = 12
     if n % width:
         raise ValueError("n must be a multiple of 12")
-    fn, pick = (F.max, F.greatest) if largest else (F.min, F.least)
-    block = f"_ext_{src}"
-    df = df.withColumn(block, fn(src).over(w.rowsBetween(-(width - 1), 0)))
-    lags = {f"{block}_{j}": F.lag(block, width * j).over(w) for j in range(1, n // width)}
-    df = df.withColumns(lags)
-    return df.withColumn(out, pick(block, *lags)).drop(block, *lags)
+    fn, pick = ("max", "greatest") if largest else ("min", "least")
+    block = f"_{fn}{width}_{src}"
+    lags = {f"{block}_{j}": back(block, width * j) for j in range(1, n // width)}
+    df = add(add(df, {block: f"{fn}({src}) {rows(-(width - 1))}"}), lags)
+    return add(df, {out: f"{pick}({', '.join([block, *lags])})"}).drop(block, *lags)
 
 
 def ema_block(spans: Sequence[int]) -> int:
     """Block length that serves all spans: long enough to forget, short enough not to overflow."""
     rates = [-math.log(1 - 2.0 / (n + 1)) for n in spans]
-    rows = math.ceil(NEGLIGIBLE_EXPONENT / min(rates))
-    if rows * max(rates) > LARGEST_EXPONENT:
+    length = math.ceil(NEGLIGIBLE_EXPONENT / min(rates))
+    if length * max(rates) > LARGEST_EXPONENT:
         raise ValueError("spans too far apart for one pass; compute them separately")
-    return rows
+    return length
 
 
 def ema_halo(spans: Sequence[int]) -> int:
@@ -89,24 +87,18 @@ def exponential_means(df: DataFrame, specs: Mapping[str, tuple[str, int]]) -> Da
     final value of the block before; anything older is below double precision.
     Needs ``ema_halo`` rows of halo and no null inputs.
     """
-    from pyspark.sql import Window
-
-    rows = ema_block([n for _, n in specs.values()])
-    df = df.withColumn("_blk", F.floor((F.col("rn") - 1) / F.lit(rows)))
-    df = df.withColumn("_off", F.pmod(F.col("rn") - 1, F.lit(rows)))
-    inside = Window.partitionBy("symbol", "chunk", "_blk").orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)
-    earlier = Window.partitionBy("symbol", "chunk").orderBy("rn").rowsBetween(Window.unboundedPreceding, -1)
-    local: dict[str, Column] = {}
-    carry: dict[str, Column] = {}
-    result: dict[str, Column] = {}
+    length = ema_block([n for _, n in specs.values()])
+    df = add(df, {"_blk": f"floor((rn - 1) / {length})", "_off": f"pmod(rn - 1, {length})"})
+    inside = "OVER (PARTITION BY symbol, chunk, _blk ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    local: dict[str, str] = {}
+    carry: dict[str, str] = {}
+    result: dict[str, str] = {}
     for out, (src, n) in specs.items():
         alpha = 2.0 / (n + 1)
-        keep = F.lit(1.0 - alpha)
-        weight = F.when(F.col("rn") == 1, F.lit(1.0)).otherwise(F.lit(alpha))
-        scaled = weight * F.col(src) * F.pow(keep, -F.col("_off"))
-        local[f"_loc_{out}"] = F.sum(scaled).over(inside) * F.pow(keep, F.col("_off"))
-        ended = F.when(F.col("_off") == rows - 1, F.col(f"_loc_{out}"))
-        carry[f"_car_{out}"] = F.last(ended, ignorenulls=True).over(earlier)
-        held = F.coalesce(F.col(f"_car_{out}"), F.lit(0.0))
-        result[out] = F.col(f"_loc_{out}") + held * F.pow(keep, F.col("_off") + 1)
-    return df.withColumns(local).withColumns(carry).withColumns(result).drop("_blk", "_off", *local, *carry)
+        keep = f"{1.0 - alpha!r}D"
+        weight = f"CASE WHEN rn = 1 THEN 1D ELSE {alpha!r}D END"
+        local[f"_loc_{out}"] = f"sum({weight} * {src} * pow({keep}, -_off)) {inside} * pow({keep}, _off)"
+        carry[f"_car_{out}"] = (
+            f"last(CASE WHEN _off = {length - 1} THEN _loc_{out} END, true) {rows('first', -1)}")
+        result[out] = f"_loc_{out} + coalesce(_car_{out}, 0D) * pow({keep}, _off + 1)"
+    return add(add(add(df, local), carry), result).drop("_blk", "_off", *local, *carry)

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidebars.functions.candles import flag
+from tidebars.functions.flags import flag
 from tidebars.series import MOVE_KEY, Running, running, span_bars
 
 TOUCH_BAND = 0.03

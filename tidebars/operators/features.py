@@ -6,10 +6,9 @@ The bars after the pivot and the swings around it make every result retrospectiv
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebars.functions.candles import flag
 from tidebars.operators.indicators import POLE_LENGTHS
 from tidebars.series import CHUNK, MOVE_KEY, span_bars
 
@@ -51,199 +50,136 @@ def context_bars(pivot_table: DataFrame, frame: DataFrame, chunk_rows: int = CHU
     return span_bars(spans, frame, "rn_first", "rn_last", chunk_rows)
 
 
-def at(rn: str, column: str) -> Column:
-    """Value of a column on the bar with row number ``rn``."""
-    return F.max(F.when(F.col("rn") == F.col(rn), F.col(column)))
-
-
-def within(first: Column | str, last: Column | str) -> Column:
-    first = F.col(first) if isinstance(first, str) else first
-    last = F.col(last) if isinstance(last, str) else last
-    return F.col("rn").between(first, last)
+# bars of a move's context that a measurement is taken over
+IN_BASE = "rn BETWEEN rn_base_start AND rn_base_end"
+IN_CUP = "rn BETWEEN rn_edge AND rn_base_start"
+IN_WAVE = f"rn BETWEEN rn_pivot - {WAVE_BARS - 1} AND rn_pivot"
+GAP_FROM = f"rn > greatest(1, rn_pivot - {GAP_BACK})"
 
 
-def gap_window_columns(w) -> dict[str, Column]:
-    """What happened in the bars after each bar, up to the end of the context."""
-    after, two = w.rowsBetween(1, POST_GAP_BARS), w.rowsBetween(1, 2)
-    return {
-        "post_bars": F.count(F.lit(1)).over(after),
-        "post_high": F.max("high").over(after),
-        "post_low": F.min("low").over(after),
-        "two_low": F.min("low").over(two),
-        "post_close_pos": F.first("close_pos", ignorenulls=True).over(after),
-    }
+def at(rn: str, column: str, name: str) -> str:
+    """Value of a column on the bar with row number ``rn``."""
+    return f"max(CASE WHEN rn = {rn} THEN {column} END) AS {name}"
 
 
-def best_ep() -> Column:
+def best_ep() -> str:
     """Strongest gap of the episodic-pivot window, earliest on ties."""
-    in_window = within(F.greatest(F.lit(1), F.col("rn_pivot") - GAP_BACK) + 1, F.col("rn_pivot") + AHEAD - 1)
-    hit = (
-        in_window & (F.col("post_bars") >= 1) & (F.col("gap_pct") >= EP_GAP)
-        & (F.col("avg_vol_50") > 0) & (F.col("rel_vol") >= EP_REL_VOL)
-    )
-    post_range = F.when(F.col("post_high") > 0, (F.col("post_high") - F.col("post_low")) / F.col("post_high"))
-    opened = F.col("open") - F.col("prev_close")
-    filled = F.when(opened > 0, (F.col("open") - F.col("two_low")) / opened)
-    event = F.struct(
-        (F.col("gap_pct") * F.col("rel_vol")).alias("strength"), (-F.col("rn")).alias("o"), "ts", "gap_pct", "rel_vol",
-        flag(F.col("post_low") >= F.col("low") * 0.98).alias("held"),
-        F.coalesce(post_range, F.lit(1.0)).alias("post_range"),
-        F.coalesce(filled, F.lit(0.0)).alias("gap_fill"),
-        F.coalesce(F.col("post_close_pos"), F.lit(0.0)).alias("close_pos"),
-        F.col("post_bars"),
-    )
-    return F.max(F.when(hit, event))
+    return f"""max(CASE WHEN {GAP_FROM} AND rn <= rn_pivot + {AHEAD - 1} AND post_bars >= 1
+        AND gap_pct >= {EP_GAP} AND avg_vol_50 > 0 AND rel_vol >= {EP_REL_VOL} THEN named_struct(
+      'strength', gap_pct * rel_vol, 'o', -rn, 'ts', ts, 'gap_pct', gap_pct, 'rel_vol', rel_vol,
+      'held', coalesce(post_low >= low * 0.98, false),
+      'post_range', coalesce(CASE WHEN post_high > 0 THEN (post_high - post_low) / post_high END, 1D),
+      'gap_fill', coalesce(CASE WHEN open > prev_close THEN (open - two_low) / (open - prev_close) END, 0D),
+      'close_pos', coalesce(post_close_pos, 0D), 'post_bars', post_bars) END) AS ep"""
 
 
-def best_go() -> Column:
+def best_go() -> str:
     """Strongest gap of the gap-and-go window; those that pass the gate come first."""
-    in_window = within(F.greatest(F.lit(1), F.col("rn_pivot") - GAP_BACK) + 1, "rn_pivot")
-    hit = in_window & (F.col("gap_pct") >= GO_GAP) & (F.col("avg_vol_50") > 0) & (F.col("rel_vol") >= GO_REL_VOL)
-    above_open = flag(F.col("close") > F.col("open"))
-    unfilled = flag(F.col("low") > F.col("prev_close"))
-    event = F.struct(
-        (above_open & unfilled).alias("gate"), (F.col("gap_pct") * F.col("rel_vol")).alias("strength"),
-        (-F.col("rn")).alias("o"), "ts", "gap_pct", "rel_vol",
-        above_open.alias("above_open"), unfilled.alias("unfilled"),
-        F.coalesce(F.col("close_pos"), F.lit(0.5)).alias("close_pos"),
-    )
-    return F.max(F.when(hit, event))
+    above, unfilled = "coalesce(close > open, false)", "coalesce(low > prev_close, false)"
+    return f"""max(CASE WHEN {GAP_FROM} AND rn <= rn_pivot
+        AND gap_pct >= {GO_GAP} AND avg_vol_50 > 0 AND rel_vol >= {GO_REL_VOL} THEN named_struct(
+      'gate', {above} AND {unfilled}, 'strength', gap_pct * rel_vol, 'o', -rn, 'ts', ts, 'gap_pct', gap_pct,
+      'rel_vol', rel_vol, 'above_open', {above}, 'unfilled', {unfilled},
+      'close_pos', coalesce(close_pos, 0.5D)) END) AS go"""
 
 
-def swing_list(condition: Column) -> Column:
+def swing_list(condition: str, name: str) -> str:
     """Swings of the context as an array in time order; bounded by the context length."""
-    item = F.struct(
-        "rn", F.col("swing_kind").alias("kind"), F.col("swing_price").alias("price"), "ts", "close", "prior_start_close"
-    )
-    return F.sort_array(F.collect_list(F.when(condition & F.col("swing_kind").isNotNull(), item)))
-
-
-def contraction_depths(swings: Column) -> Column:
-    """Depth of each drop from a swing high to the next swing in the base, in order."""
-    pairs = F.transform(
-        swings,
-        lambda s, i: F.when(
-            (s["kind"] == "high") & (i + 1 < F.size(swings)) & (s["price"] > 0),
-            (s["price"] - F.get(swings, i + 1)["price"]) / s["price"],
-        ),
-    )
-    return F.filter(pairs, lambda d: d > 0)
+    return f"""sort_array(collect_list(CASE WHEN {condition} AND swing_kind IS NOT NULL THEN named_struct(
+      'rn', rn, 'kind', swing_kind, 'price', swing_price, 'ts', ts, 'close', close,
+      'prior_start_close', prior_start_close) END)) AS {name}"""
 
 
-def count_rises(depths: Column) -> Column:
-    """How often a contraction is deeper than the one before."""
-    rises = F.transform(depths, lambda d, i: F.when((i > 0) & (d > F.get(depths, i - 1)), 1).otherwise(0))
-    return F.aggregate(rises, F.lit(0), lambda acc, x: acc + x)
+PIVOT_BAR = ("close", "low", "volume", "prev_close", "close_pos", "high_252", "sma50", "sma200", "ema10",
+             "sma50_back", "max_down_vol", "n_down_days")
+MOVE_CONSTANTS = ("rn_pivot", "rn_base_start", "base_len", "base_high", "base_low", "base_depth_pct")
 
 
 def move_features(pivot_table: DataFrame, frame: DataFrame, chunk_rows: int = CHUNK) -> DataFrame:
-    """All measurements, one row per move with a pivot. ``frame`` carries indicators and swings."""
-    whole = Window.partitionBy(*MOVE_KEY)
-    w = whole.orderBy("rn")
-    bars = context_bars(pivot_table, frame, chunk_rows)
-    near_high = F.col("high").between(F.col("base_high") * 0.98, F.col("base_high") * 1.02)
-    before_base = within(F.col("rn_base_start") - CUP_BACK, F.col("rn_base_start") - 1)
-    bars = bars.withColumns(gap_window_columns(w)).withColumn(
-        "rn_edge", F.max(F.when(before_base & near_high, F.col("rn"))).over(whole)
-    )
-    in_base = within("rn_base_start", "rn_base_end")
-    in_cup = within("rn_edge", "rn_base_start")
-    bars = bars.withColumn("cup_low", F.min(F.when(in_cup, F.col("low"))).over(whole))
-    pos = (F.col("rn") - F.col("rn_base_start")).cast("double")
-    gathered = bars.groupBy(*MOVE_KEY).agg(
-        F.first("rn_pivot").alias("rn_pivot"),
-        F.first("rn_base_start").alias("rn_base_start"),
-        F.first("base_len").alias("base_len"),
-        F.first("base_high").alias("base_high"),
-        F.first("base_low").alias("base_low"),
-        F.first("base_depth_pct").alias("base_depth_pct"),
-        F.first("breakout_rel_vol").alias("rel_vol"),
+    """All measurements, one row per move with a pivot. ``frame`` carries indicators and swings.
+
+    The windows and the aggregation share one exchange on the move.
+    """
+    whole = f"OVER (PARTITION BY {', '.join(MOVE_KEY)})"
+    ahead = f"OVER (PARTITION BY {', '.join(MOVE_KEY)} ORDER BY rn ROWS BETWEEN 1 FOLLOWING AND "
+    after, two = f"{ahead} {POST_GAP_BARS} FOLLOWING)", f"{ahead} 2 FOLLOWING)"
+    bars = context_bars(pivot_table, frame, chunk_rows).selectExpr(
+        "*",
+        f"count(1) {after} AS post_bars", f"max(high) {after} AS post_high", f"min(low) {after} AS post_low",
+        f"min(low) {two} AS two_low", f"first(close_pos, true) {after} AS post_close_pos",
+        f"max(CASE WHEN rn BETWEEN rn_base_start - {CUP_BACK} AND rn_base_start - 1 "
+        f"AND high BETWEEN base_high * 0.98 AND base_high * 1.02 THEN rn END) {whole} AS rn_edge",
+    ).selectExpr("*", f"min(CASE WHEN {IN_CUP} THEN low END) {whole} AS cup_low")
+    measures = [
+        *[f"first({c}) AS {c}" for c in (*MOVE_CONSTANTS, "rn_edge", "cup_low")],
+        "first(breakout_rel_vol) AS rel_vol",
         # base
-        at("rn_base_start", "close").alias("start_close"),
-        at("rn_base_start", "prior_start_close").alias("prior_start_close"),
-        at("rn_base_start", "sma50").alias("start_sma50"),
-        at("rn_base_end", "sma50").alias("end_sma50"),
-        F.avg(F.when(in_base, F.col("volume"))).alias("base_volume"),
-        F.avg(F.when(in_base & (F.col("rn") > F.col("rn_base_end") - 10), F.col("volume"))).alias("last10_volume"),
-        F.regr_slope(F.when(in_base, F.col("close")), F.when(in_base, pos)).alias("close_slope"),
-        F.avg(F.when(in_base, F.col("close"))).alias("mean_close"),
+        *[at("rn_base_start", c, n) for c, n in (
+            ("close", "start_close"), ("prior_start_close", "prior_start_close"), ("sma50", "start_sma50"))],
+        at("rn_base_end", "sma50", "end_sma50"),
+        f"avg(CASE WHEN {IN_BASE} THEN volume END) AS base_volume",
+        "avg(CASE WHEN rn BETWEEN rn_base_end - 9 AND rn_base_end THEN volume END) AS last10_volume",
+        f"regr_slope(CASE WHEN {IN_BASE} THEN close END, CAST(rn - rn_base_start AS DOUBLE)) AS close_slope",
+        f"avg(CASE WHEN {IN_BASE} THEN close END) AS mean_close",
         # pole
-        *[at("rn_base_start", f"close_back_{n}").alias(f"close_back_{n}") for n in POLE_LENGTHS],
-        *[at("rn_base_start", f"vol_before_{n}").alias(f"vol_before_{n}") for n in POLE_LENGTHS],
+        *[at("rn_base_start", c, c) for n in POLE_LENGTHS for c in (f"close_back_{n}", f"vol_before_{n}")],
         # pivot bar
-        *[at("rn_pivot", c).alias(f"p_{c}") for c in (
-            "close", "low", "volume", "prev_close", "close_pos", "high_252", "sma50", "sma200", "ema10",
-            "sma50_back", "max_down_vol", "n_down_days",
-        )],
+        *[at("rn_pivot", c, f"p_{c}") for c in PIVOT_BAR],
         # cup
-        F.first("rn_edge").alias("rn_edge"),
-        F.first("cup_low").alias("cup_low"),
-        F.max(F.when(in_cup, F.col("high"))).alias("cup_high"),
-        F.count(F.when(in_cup & (F.col("low") <= F.col("cup_low") * 1.05), 1)).alias("cup_bottom_bars"),
-        at("rn_edge", "close").alias("edge_close"),
-        at("rn_edge", "ts").alias("edge_date"),
-        at("rn_edge", "prior_start_close").alias("edge_prior_close"),
-        # swings
-        swing_list(in_base).alias("base_swings"),
-        swing_list(within(F.col("rn_pivot") - (WAVE_BARS - 1), "rn_pivot")).alias("wave_swings"),
-        # gaps
-        best_ep().alias("ep"),
-        best_go().alias("go"),
-    )
-    return derived(gathered)
+        f"max(CASE WHEN {IN_CUP} THEN high END) AS cup_high",
+        f"count(CASE WHEN {IN_CUP} AND low <= cup_low * 1.05 THEN 1 END) AS cup_bottom_bars",
+        *[at("rn_edge", c, n) for c, n in (
+            ("close", "edge_close"), ("ts", "edge_date"), ("prior_start_close", "edge_prior_close"))],
+        # swings and gaps
+        swing_list(IN_BASE, "base_swings"), swing_list(IN_WAVE, "wave_swings"), best_ep(), best_go(),
+    ]
+    return derived(bars.groupBy(*MOVE_KEY).agg(*[F.expr(m) for m in measures]))
+
+
+def since(anchor: str, close: str, start: str) -> str:
+    """Gain of a close over the one up to 63 bars earlier; needs five bars of history."""
+    return f"CASE WHEN {anchor} >= 6 AND {start} > 0 THEN {close} / {start} - 1D END"
+
+
+def share(part: str, of: str) -> str:
+    return f"CASE WHEN {of} > 0 THEN {part} / {of} END"
 
 
 def derived(gathered: DataFrame) -> DataFrame:
     """Measurements that follow from the gathered ones."""
-    lows = F.filter("wave_swings", lambda s: s["kind"] == "low")
-    with_swings = gathered.withColumns({
-        "contractions": contraction_depths(F.col("base_swings")),
-        "wave_lows": lows,
-    }).withColumns({
-        "low1": F.when(F.size("wave_lows") >= 2, F.element_at("wave_lows", -2)),
-        "low2": F.when(F.size("wave_lows") >= 2, F.element_at("wave_lows", -1)),
-    })
-    between = F.filter(
-        "wave_swings",
-        lambda s: (s["kind"] == "high") & (s["rn"] > F.col("low1.rn")) & (s["rn"] < F.col("low2.rn")),
-    )
-    tops = F.transform(
-        between, lambda s: F.struct(s["price"].alias("price"), (-s["rn"]).alias("o"), s["ts"].alias("ts")))
-    gains = [
-        F.when(
-            (F.col("rn_base_start") > n) & (F.col(f"close_back_{n}") > 0),
-            F.struct(
-                (F.col("start_close") / F.col(f"close_back_{n}") - 1.0).alias("gain"), F.lit(-n).alias("o"),
-                F.col(f"vol_before_{n}").alias("volume"),
-            ),
-        )
-        for n in POLE_LENGTHS
-    ]
-    pole = F.array_max(F.filter(F.array(*gains), lambda g: g["gain"] > 0))
-    prior = F.when(
-        (F.col("rn_base_start") >= 6) & (F.col("prior_start_close") > 0),
-        F.col("start_close") / F.col("prior_start_close") - 1.0,
-    )
-    edge_prior = F.when(
-        (F.col("rn_edge") >= 6) & (F.col("edge_prior_close") > 0),
-        F.col("edge_close") / F.col("edge_prior_close") - 1.0,
-    )
-    low1_prior = F.when(
-        (F.col("low1.rn") >= 6) & (F.col("low1.prior_start_close") > 0),
-        F.col("low1.close") / F.col("low1.prior_start_close") - 1.0,
+    drop = "(s.price - get(base_swings, i + 1).price) / s.price"
+    poles = ", ".join(
+        f"CASE WHEN rn_base_start > {n} AND close_back_{n} > 0 THEN named_struct('gain', start_close / close_back_{n} - 1D, "
+        f"'o', -{n}, 'volume', vol_before_{n}) END" for n in POLE_LENGTHS)
+    listed = gathered.selectExpr(
+        "*",
+        # depth of each drop from a swing high to the next swing of the base
+        "filter(transform(base_swings, (s, i) -> CASE WHEN s.kind = 'high' AND i + 1 < size(base_swings) AND s.price > 0 "
+        f"THEN {drop} END), d -> d > 0) AS contractions",
+        "filter(wave_swings, s -> s.kind = 'low') AS wave_lows",
+        f"array_max(filter(array({poles}), g -> g.gain > 0)) AS pole",
+    ).selectExpr(
+        "*",
+        "size(contractions) AS n_contractions",
+        "size(filter(transform(contractions, (d, i) -> i > 0 AND d > get(contractions, i - 1)), x -> x)) AS n_rises",
+        "get(contractions, size(contractions) - 1) AS last_contraction",
+        "CASE WHEN size(wave_lows) >= 2 THEN element_at(wave_lows, -2) END AS low1",
+        "CASE WHEN size(wave_lows) >= 2 THEN element_at(wave_lows, -1) END AS low2",
+    ).selectExpr(
+        "*",
+        "array_max(transform(filter(wave_swings, s -> s.kind = 'high' AND s.rn > low1.rn AND s.rn < low2.rn), "
+        "s -> named_struct('price', s.price, 'o', -s.rn, 'ts', s.ts))) AS peak",
     )
-    return with_swings.withColumns({
-        "n_contractions": F.size("contractions"),
-        "n_rises": count_rises(F.col("contractions")),
-        "last_contraction": F.get("contractions", F.size("contractions") - 1),
-        "prior_gain": prior,
-        "edge_prior_gain": edge_prior,
-        "low1_prior_gain": low1_prior,
-        "slope_ratio": F.when(F.col("mean_close") > 0, F.abs(F.col("close_slope")) / F.col("mean_close")),
-        "pole": pole,
-        "peak": F.array_max(tops),
-        "off_high": F.when(F.col("p_high_252") > 0, (F.col("p_high_252") - F.col("p_close")) / F.col("p_high_252")),
-        "cup_days": F.col("rn_base_start") - F.col("rn_edge") + 1,
-        "cup_depth": F.when(F.col("cup_high") > 0, (F.col("cup_high") - F.col("cup_low")) / F.col("cup_high")),
-        "handle_depth": F.when(F.col("base_high") > 0, (F.col("base_high") - F.col("base_low")) / F.col("base_high")),
-    }).drop("wave_lows")
+    return listed.selectExpr(
+        "*",
+        since("rn_base_start", "start_close", "prior_start_close") + " AS prior_gain",
+        since("rn_edge", "edge_close", "edge_prior_close") + " AS edge_prior_gain",
+        since("low1.rn", "low1.close", "low1.prior_start_close") + " AS low1_prior_gain",
+        "CASE WHEN low1.price > 0 THEN abs(low2.price - low1.price) / low1.price ELSE 1D END AS lows_apart",
+        "CASE WHEN low1.price > 0 THEN (peak.price - low1.price) / low1.price ELSE 0D END AS rally",
+        share("abs(close_slope)", "mean_close") + " AS slope_ratio",
+        share("(p_high_252 - p_close)", "p_high_252") + " AS off_high",
+        "rn_base_start - rn_edge + 1 AS cup_days",
+        share("(cup_high - cup_low)", "cup_high") + " AS cup_depth",
+        share("(base_high - base_low)", "base_high") + " AS handle_depth",
+    ).drop("wave_lows")

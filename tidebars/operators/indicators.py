@@ -3,11 +3,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebars.functions import candles, rolling
-from tidebars.series import CHUNK, Running, bars_at, chunk_window, core, locate_moves, running, with_halo
+from tidebars.functions import rolling
+from tidebars.series import CHUNK, Running, back, bars_at, core, locate_moves, rows, running, with_halo
 
 SMA_SPANS = (50, 150, 200)
 EMA_SPANS = (10, 20)
@@ -32,7 +32,7 @@ def moving_averages(indexed: DataFrame, sma: Sequence[int] = SMA_SPANS, ema: Seq
     halo = max([*(n - 1 for n in sma), rolling.ema_halo(ema), 1])
     df = with_halo(indexed, before=halo, chunk_rows=chunk_rows)
     if sma:
-        df = rolling.rolling_means(df, chunk_window(), {f"sma{n}": ("close", n) for n in sma})
+        df = rolling.rolling_means(df, {f"sma{n}": ("close", n) for n in sma})
     if ema:
         df = rolling.exponential_means(df, {f"ema{n}": ("close", n) for n in ema})
     return core(df)
@@ -41,19 +41,20 @@ def moving_averages(indexed: DataFrame, sma: Sequence[int] = SMA_SPANS, ema: Seq
 def volume_baseline(indexed: DataFrame, span: int = VOLUME_SPAN, chunk_rows: int = CHUNK) -> DataFrame:
     """Mean volume, and the bar's volume relative to it (the mean includes the bar)."""
     df = with_halo(indexed, before=span - 1, chunk_rows=chunk_rows)
-    df = rolling.rolling_means(df, chunk_window(), {f"avg_vol_{span}": ("volume", span)})
-    return core(df.withColumn("rel_vol", F.try_divide("volume", f"avg_vol_{span}")))
+    df = rolling.rolling_means(df, {f"avg_vol_{span}": ("volume", span)})
+    return rolling.add(core(df), {"rel_vol": f"try_divide(volume, avg_vol_{span})"})
+
+
+RANGE_PCT = "try_divide(high - low, close) * 100D"
+# the previous close is missing on the first bar; greatest skips nulls
+TRUE_RANGE = f"greatest(high - low, abs(high - {back('close')}), abs(low - {back('close')}))"
 
 
 def range_measures(indexed: DataFrame, span: int = RANGE_SPAN, chunk_rows: int = CHUNK) -> DataFrame:
     """Mean range in percent of the close, true range, and its plain mean."""
-    w = chunk_window()
     df = with_halo(indexed, before=span, chunk_rows=chunk_rows)
-    df = df.withColumns({
-        "range_pct": candles.range_pct(F.col("high"), F.col("low"), F.col("close")),
-        "true_range": candles.true_range(F.col("high"), F.col("low"), F.lag("close").over(w)),
-    })
-    df = rolling.rolling_means(df, w, {f"adr_pct_{span}": ("range_pct", span), f"atr_{span}": ("true_range", span)})
+    df = rolling.add(df, {"range_pct": RANGE_PCT, "true_range": TRUE_RANGE})
+    df = rolling.rolling_means(df, {f"adr_pct_{span}": ("range_pct", span), f"atr_{span}": ("true_range", span)})
     return core(df).drop("range_pct")
 
 
@@ -73,13 +74,15 @@ def align_benchmark(indexed: DataFrame, benchmark: DataFrame) -> DataFrame:
     return indexed.join(known.select("ts", "bench_close"), "ts", "left")
 
 
+def strength(span: int = STRENGTH_SPAN) -> str:
+    own, other = f"try_divide(close, {back('close', span)})", f"try_divide(bench_close, {back('bench_close', span)})"
+    return f"try_divide({own}, {other})"
+
+
 def relative_strength(aligned: DataFrame, span: int = STRENGTH_SPAN, chunk_rows: int = CHUNK) -> DataFrame:
     """Return over ``span`` bars divided by the benchmark's over the same bars."""
-    w = chunk_window()
     df = with_halo(aligned, before=span, chunk_rows=chunk_rows)
-    own = F.try_divide(F.col("close"), F.lag("close", span).over(w))
-    other = F.try_divide(F.col("bench_close"), F.lag("bench_close", span).over(w))
-    return core(df.withColumn(f"rel_strength_{span}", F.try_divide(own, other)))
+    return core(rolling.add(df, {f"rel_strength_{span}": strength(span)}))
 
 
 def benchmark_overlay(aligned: DataFrame) -> DataFrame:
@@ -104,16 +107,12 @@ def all_indicators(indexed: DataFrame, benchmark: DataFrame | None = None, chunk
     """
     source = align_benchmark(indexed, benchmark) if benchmark is not None else indexed
     halo = max(HIGH_SPAN, rolling.ema_halo(EMA_SPANS), max(SMA_SPANS) + SLOPE_BACK)
-    w = chunk_window()
     df = with_halo(source, before=halo, chunk_rows=chunk_rows)
-    prev = F.lag("close").over(w)
-    df = df.withColumns({
-        "prev_close": prev,
-        "range_pct": candles.range_pct(F.col("high"), F.col("low"), F.col("close")),
-        "true_range": candles.true_range(F.col("high"), F.col("low"), prev),
-        "first_close": F.first("close").over(w.rowsBetween(Window.unboundedPreceding, 0)),
+    df = rolling.add(df, {
+        "prev_close": back("close"), "range_pct": RANGE_PCT, "true_range": TRUE_RANGE,
+        "first_close": f"first(close) {rows('first')}",
     })
-    df = rolling.rolling_means(df, w, {
+    df = rolling.rolling_means(df, {
         **{f"sma{n}": ("close", n) for n in SMA_SPANS},
         f"avg_vol_{VOLUME_SPAN}": ("volume", VOLUME_SPAN),
         f"adr_pct_{RANGE_SPAN}": ("range_pct", RANGE_SPAN),
@@ -121,28 +120,20 @@ def all_indicators(indexed: DataFrame, benchmark: DataFrame | None = None, chunk
         **{f"vol_mean_{n}": ("volume", n) for n in POLE_LENGTHS},
     })
     df = rolling.exponential_means(df, {f"ema{n}": ("close", n) for n in EMA_SPANS})
-    df = rolling.rolling_extreme(df, w, f"high_{HIGH_SPAN}", "high", HIGH_SPAN)
-    down = F.when(F.col("close") < F.col("prev_close"), F.col("volume"))
-    earlier = w.rowsBetween(-DOWN_DAYS, -1)
-    df = df.withColumns({
-        "rel_vol": F.try_divide("volume", f"avg_vol_{VOLUME_SPAN}"),
-        "gap_pct": candles.gap(F.col("open"), F.col("prev_close")),
-        "close_pos": candles.close_position(F.col("high"), F.col("low"), F.col("close")),
-        "prior_start_close": F.coalesce(
-            F.lag("close", PRIOR_SPAN).over(w), F.when(F.col("rn") <= PRIOR_SPAN, F.col("first_close"))
-        ),
-        "sma50_back": F.lag("sma50", SLOPE_BACK).over(w),
-        "max_down_vol": F.max(down).over(earlier),
-        "n_down_days": F.count(down).over(earlier),
-        **{f"close_back_{n}": F.lag("close", n).over(w) for n in POLE_LENGTHS},
-        **{f"vol_before_{n}": F.lag(f"vol_mean_{n}").over(w) for n in POLE_LENGTHS},
+    df = rolling.rolling_extreme(df, f"high_{HIGH_SPAN}", "high", HIGH_SPAN)
+    down = f"(CASE WHEN close < prev_close THEN volume END) {rows(-DOWN_DAYS, -1)}"
+    df = rolling.add(df, {
+        "rel_vol": f"try_divide(volume, avg_vol_{VOLUME_SPAN})",
+        "gap_pct": "CASE WHEN prev_close > 0 THEN (open - prev_close) / prev_close END",
+        "close_pos": "CASE WHEN high > low THEN (close - low) / (high - low) END",
+        "prior_start_close": f"coalesce({back('close', PRIOR_SPAN)}, CASE WHEN rn <= {PRIOR_SPAN} THEN first_close END)",
+        "sma50_back": back("sma50", SLOPE_BACK),
+        "max_down_vol": f"max{down}",
+        "n_down_days": f"count{down}",
+        **{f"close_back_{n}": back("close", n) for n in POLE_LENGTHS},
+        **{f"vol_before_{n}": back(f"vol_mean_{n}") for n in POLE_LENGTHS},
+        f"rel_strength_{STRENGTH_SPAN}": strength() if benchmark is not None else "CAST(NULL AS DOUBLE)",
     })
-    if benchmark is not None:
-        own = F.try_divide(F.col("close"), F.lag("close", STRENGTH_SPAN).over(w))
-        other = F.try_divide(F.col("bench_close"), F.lag("bench_close", STRENGTH_SPAN).over(w))
-        df = df.withColumn(f"rel_strength_{STRENGTH_SPAN}", F.try_divide(own, other))
-    else:
-        df = df.withColumn(f"rel_strength_{STRENGTH_SPAN}", F.lit(None).cast("double"))
     return core(df).drop("range_pct", "first_close", *[f"vol_mean_{n}" for n in POLE_LENGTHS if n != GAP_SCAN_SPAN])
 
 

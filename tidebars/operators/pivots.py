@@ -6,10 +6,10 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebars.series import CHUNK, MOVE_KEY, bars_at, chunk_of, chunk_window, core, with_halo
+from tidebars.series import CHUNK, MOVE_KEY, back, bars_at, chunk_of, core, rows, with_halo
 
 
 class PivotRules(NamedTuple):
@@ -20,12 +20,12 @@ class PivotRules(NamedTuple):
     min_rel_vol: float = 1.4
 
 
-def quality(length: Column, depth: Column, rel_vol: Column, max_depth: float) -> Column:
+def quality(max_depth: float) -> str:
     """Longer, tighter bases and larger volume score higher; 0 to 1."""
-    long_part = F.least(length, F.lit(50)) / F.lit(50.0)
-    tight_part = F.greatest(F.lit(0.0), F.lit(1.0) - depth / F.lit(max_depth))
-    volume_part = F.least(rel_vol / F.lit(3.0), F.lit(1.0))
-    return F.lit(0.45) * long_part + F.lit(0.40) * tight_part + F.lit(0.15) * volume_part
+    long_part = "least(base_len, 50) / 50D"
+    tight_part = f"greatest(0D, 1D - depth / {max_depth!r}D)"
+    volume_part = "least(rel_vol / 3D, 1D)"
+    return f"0.45D * ({long_part}) + 0.40D * {tight_part} + 0.15D * {volume_part}"
 
 
 def base_extremes(frame: DataFrame, rules: PivotRules = PivotRules(), chunk_rows: int = CHUNK) -> DataFrame:
@@ -34,28 +34,21 @@ def base_extremes(frame: DataFrame, rules: PivotRules = PivotRules(), chunk_rows
     The shortest base is one frame; each longer base adds ``stride`` bars, whose extremes are
     lags of one short frame. ``more_highs[k]`` are the bars that step k+1 adds.
     """
-    w = chunk_window()
     steps = (rules.max_base - rules.min_base) // rules.stride
     df = with_halo(
-        frame.select("symbol", "chunk", "rn", "ts", "high", "low", "close", "rel_vol"),
+        frame.select("symbol", "chunk", "rn", "high", "low", "close", "rel_vol"),
         before=rules.max_base + 1, chunk_rows=chunk_rows,
     )
-    first, step = w.rowsBetween(-rules.min_base, -1), w.rowsBetween(-(rules.stride - 1), 0)
-    df = df.withColumns({
-        "first_high": F.max("high").over(first), "first_low": F.min("low").over(first),
-        "step_high": F.max("high").over(step), "step_low": F.min("low").over(step),
-    })
-    lags = {}
-    for k in range(steps):
-        back = rules.min_base + k * rules.stride + 1
-        lags[f"h{k}"] = F.lag("step_high", back).over(w)
-        lags[f"l{k}"] = F.lag("step_low", back).over(w)
-    busy = F.col("rel_vol") >= rules.min_rel_vol
-    return core(df.withColumns(lags)).filter(busy & F.col("close").isNotNull()).select(
-        "symbol", "chunk", "rn", "close", "rel_vol", "first_high", "first_low",
-        F.array(*[F.col(f"h{k}") for k in range(steps)]).alias("more_highs"),
-        F.array(*[F.col(f"l{k}") for k in range(steps)]).alias("more_lows"),
+    first, step = rows(-rules.min_base, -1), rows(-(rules.stride - 1))
+    df = df.selectExpr(
+        "*", f"max(high) {first} AS first_high", f"min(low) {first} AS first_low",
+        f"max(high) {step} AS step_high", f"min(low) {step} AS step_low",
     )
+    offsets = [rules.min_base + k * rules.stride + 1 for k in range(steps)]
+    lags = [f"{back(f'step_{c}', n)} AS {c}_{n}" for n in offsets for c in ("high", "low")]
+    busy = core(df.selectExpr("*", *lags)).filter(F.col("rel_vol") >= rules.min_rel_vol).filter("close IS NOT NULL")
+    gathered = [f"array({', '.join(f'{c}_{n}' for n in offsets)}) AS more_{c}s" for c in ("high", "low")]
+    return busy.selectExpr("symbol", "chunk", "rn", "close", "rel_vol", "first_high", "first_low", *gathered)
 
 
 def candidates(located: DataFrame, frame: DataFrame, rules: PivotRules = PivotRules(),
@@ -74,25 +67,21 @@ def candidates(located: DataFrame, frame: DataFrame, rules: PivotRules = PivotRu
         .withColumn("chunk", F.explode(F.sequence(
             chunk_of("first_day", chunk_rows), chunk_of("last_day", chunk_rows))))
     )
-    in_move = windows.join(days, ["symbol", "chunk"]).filter(F.col("rn").between(F.col("first_day"), F.col("last_day")))
+    in_move = windows.join(days, ["symbol", "chunk"]).filter("rn BETWEEN first_day AND last_day")
     steps = (rules.max_base - rules.min_base) // rules.stride
-    paired = in_move.withColumn("pos", (F.col("rn") - F.col("rn_lo")).cast("int")).withColumn(
-        "k", F.explode(F.sequence(
-            F.lit(0),
-            F.least(F.lit(steps), F.floor((F.col("pos") - rules.min_base) / F.lit(rules.stride)).cast("int")),
-        ))
+    fitting = f"least({steps}, floor((rn - rn_lo - {rules.min_base}) / {rules.stride}))"
+    key = list(MOVE_KEY)
+    paired = in_move.selectExpr("*", "CAST(rn - rn_lo AS INT) AS pos",
+                                f"explode(sequence(0, CAST({fitting} AS INT))) AS k")
+    with_base = paired.selectExpr(
+        *key, "rn", "pos", "close", "rel_vol", f"{rules.min_base} + k * {rules.stride} AS base_len",
+        "greatest(first_high, array_max(slice(more_highs, 1, k))) AS base_high",
+        "least(first_low, array_min(slice(more_lows, 1, k))) AS base_low",
     )
-    length = F.lit(rules.min_base) + F.col("k") * F.lit(rules.stride)
-    with_base = paired.select(
-        *MOVE_KEY, "rn", "pos", "close", "rel_vol", length.cast("int").alias("base_len"),
-        F.greatest("first_high", F.array_max(F.slice("more_highs", F.lit(1), F.col("k")))).alias("base_high"),
-        F.least("first_low", F.array_min(F.slice("more_lows", F.lit(1), F.col("k")))).alias("base_low"),
-    )
-    depth = F.when(F.col("base_high") > 0, (F.col("base_high") - F.col("base_low")) / F.col("base_high"))
-    kept = with_base.withColumn("depth", depth).filter(
+    kept = with_base.selectExpr("*", "CASE WHEN base_high > 0 THEN (base_high - base_low) / base_high END AS depth").filter(
         (F.col("depth") <= rules.max_depth) & (F.col("close") > F.col("base_high"))
     )
-    return kept.withColumn("quality_score", quality(F.col("base_len"), F.col("depth"), F.col("rel_vol"), rules.max_depth))
+    return kept.selectExpr("*", f"{quality(rules.max_depth)} AS quality_score")
 
 
 def best_candidates(pairs: DataFrame) -> DataFrame:

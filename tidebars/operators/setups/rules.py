@@ -1,7 +1,7 @@
 """How a detector is written down: a list of criteria, a match rule and extras.
 
-A criterion is met (true), failed (false) or not recorded (null). Only met
-criteria score.
+Conditions and values are SQL expressions over the columns of ``move_features``. A
+criterion is met (true), failed (false) or not recorded (null). Only met criteria score.
 """
 from __future__ import annotations
 
@@ -11,8 +11,6 @@ from typing import NamedTuple
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidebars.functions.candles import flag
-
 RESULT_TYPE = (
     "struct<setup:string,matched:boolean,score:int,"
     "criteria:array<struct<name:string,value:double,met:boolean>>,extra:map<string,string>>"
@@ -21,50 +19,41 @@ RESULT_TYPE = (
 
 class Criterion(NamedTuple):
     name: str
-    met: Column
-    points: int | Column = 0
-    value: Column | None = None
+    met: str
+    points: int = 0
+    value: str = "NULL"
 
 
-def required(condition: Column, when: Column | None = None) -> Column:
-    """True or false; not recorded where ``when`` is false."""
-    return flag(condition) if when is None else F.when(flag(when), flag(condition))
+def required(condition: str, when: str | None = None) -> str:
+    """True or false; not recorded where ``when`` does not hold."""
+    held = f"coalesce({condition}, false)"
+    return held if when is None else f"CASE WHEN {when} THEN {held} END"
 
 
-def bonus(condition: Column, when: Column | None = None) -> Column:
+def bonus(condition: str, when: str | None = None) -> str:
     """True or not recorded: a miss is not a failure."""
-    condition = flag(condition) if when is None else flag(condition) & flag(when)
-    return F.when(condition, F.lit(True))
+    held = f"({condition})" if when is None else f"({condition}) AND ({when})"
+    return f"CASE WHEN {held} THEN true END"
 
 
-def total(criteria: Sequence[Criterion]) -> Column:
-    score = F.lit(0)
-    for c in criteria:
-        points = F.lit(c.points) if isinstance(c.points, int) else c.points
-        score = score + F.when(c.met, points).otherwise(0)
-    return F.least(score, F.lit(100))
+def failure(condition: str) -> str:
+    """False where the condition holds, else not recorded."""
+    return f"CASE WHEN {condition} THEN false END"
 
 
-def result(setup: str, criteria: Sequence[Criterion], critical: Column, extra: Mapping[str, Column],
+def result(setup: str, criteria: Sequence[Criterion], critical: str, extra: Mapping[str, str],
            min_score: int = 60) -> Column:
     """Struct of setup, matched, score, recorded criteria and extras."""
-    score = total(criteria)
-    entries = F.array(*[
-        F.struct(
-            F.lit(c.name).alias("name"),
-            (F.lit(None) if c.value is None else c.value).cast("double").alias("value"),
-            c.met.alias("met"),
-        )
-        for c in criteria
-    ])
-    pairs = [x for k, v in extra.items() for x in (F.lit(k), v.cast("string"))]
-    return F.struct(
-        F.lit(setup).alias("setup"),
-        ((score >= min_score) & flag(critical)).alias("matched"),
-        score.cast("int").alias("score"),
-        F.filter(entries, lambda e: e["met"].isNotNull()).alias("criteria"),
-        F.create_map(*pairs).alias("extra"),
-    ).cast(RESULT_TYPE)
+    points = " + ".join(f"CASE WHEN {c.met} THEN {c.points} ELSE 0 END" for c in criteria if c.points)
+    score = f"least({points}, 100)"
+    entries = ", ".join(
+        f"named_struct('name', '{c.name}', 'value', CAST({c.value} AS DOUBLE), 'met', {c.met})" for c in criteria)
+    pairs = ", ".join(f"'{k}', CAST({v} AS STRING)" for k, v in extra.items())
+    return F.expr(
+        f"CAST(named_struct('setup', '{setup}', 'matched', {score} >= {min_score} AND coalesce({critical}, false), "
+        f"'score', {score}, 'criteria', filter(array({entries}), c -> c.met IS NOT NULL), 'extra', map({pairs})) "
+        f"AS {RESULT_TYPE})"
+    )
 
 
 def failed_result(setup: str, message: str) -> Column:

@@ -8,31 +8,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebars.series import CHUNK, Running, chunk_window, core, running, with_halo
+from tidebars.series import CHUNK, Running, core, rows, running, with_halo
 
 LOOKBACK = 3
 
 
 def raw_swings(indexed: DataFrame, lookback: int = LOOKBACK, chunk_rows: int = CHUNK) -> DataFrame:
     """Bars whose high is strictly above, or else whose low is strictly below, both sides."""
-    w = chunk_window()
-    left, right = w.rowsBetween(-lookback, -1), w.rowsBetween(1, lookback)
-    df = with_halo(indexed, before=lookback, after=lookback, chunk_rows=chunk_rows)
-    df = df.withColumns({
-        "left_high": F.max("high").over(left),
-        "right_high": F.max("high").over(right),
-        "left_low": F.min("low").over(left),
-        "right_low": F.min("low").over(right),
-        "n_left": F.count(F.lit(1)).over(left),
-        "n_right": F.count(F.lit(1)).over(right),
-    })
-    full = (F.col("n_left") == lookback) & (F.col("n_right") == lookback)
-    is_high = (F.col("high") > F.col("left_high")) & (F.col("high") > F.col("right_high"))
-    is_low = (F.col("low") < F.col("left_low")) & (F.col("low") < F.col("right_low"))
-    kind = F.when(full & is_high, F.lit("high")).when(full & is_low, F.lit("low"))
-    out = core(df.withColumn("kind", kind)).filter(F.col("kind").isNotNull())
-    price = F.when(F.col("kind") == "high", F.col("high")).otherwise(F.col("low"))
-    return out.select("symbol", "chunk", "rn", "ts", "kind", price.alias("price"))
+    left, right = rows(-lookback, -1), rows(1, lookback)
+    df = with_halo(indexed, before=lookback, after=lookback, chunk_rows=chunk_rows).selectExpr(
+        "*",
+        f"max(high) {left} AS left_high", f"max(high) {right} AS right_high",
+        f"min(low) {left} AS left_low", f"min(low) {right} AS right_low",
+        f"count(1) {left} = {lookback} AND count(1) {right} = {lookback} AS full",
+    )
+    kind = ("CASE WHEN full AND high > left_high AND high > right_high THEN 'high' "
+            "WHEN full AND low < left_low AND low < right_low THEN 'low' END AS kind")
+    return core(df).selectExpr("*", kind).filter("kind IS NOT NULL").selectExpr(
+        "symbol", "chunk", "rn", "ts", "kind", "CASE kind WHEN 'high' THEN high ELSE low END AS price")
 
 
 def collapse(raw: DataFrame) -> DataFrame:

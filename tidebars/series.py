@@ -20,7 +20,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK = 8192
@@ -60,28 +60,20 @@ def index_series(bars: DataFrame, bar_seconds: int = DAY_SECONDS, chunk_rows: in
 def with_halo(indexed: DataFrame, before: int = 0, after: int = 0, chunk_rows: int = CHUNK) -> DataFrame:
     """Copy the edge rows of each chunk into its neighbours.
 
-    Adds ``is_core``: true for a row in its own chunk. Windows over
-    ``chunk_window()`` then see ``before`` rows ahead of every core row and
+    Adds ``is_core``: true for a row in its own chunk. Windows over a chunk
+    (``rows``, ``back``) then see ``before`` rows ahead of every core row and
     ``after`` rows behind it; drop the copies with ``core``.
     """
     if max(before, after) > chunk_rows:
         raise ValueError("a halo cannot be wider than a chunk")
-    slot = F.pmod(F.col("rn") - 1, F.lit(chunk_rows))
-    targets = F.array_compact(
-        F.array(
-            F.col("chunk"),
-            F.when(slot >= chunk_rows - before, F.col("chunk") + 1),
-            F.when((slot < after) & (F.col("chunk") > 0), F.col("chunk") - 1),
-        )
-    )
-    own = F.col("home_chunk") == F.col("chunk")
-    return (
-        indexed.withColumn("targets", targets)
-        .withColumnRenamed("chunk", "home_chunk")
-        .withColumn("chunk", F.explode("targets"))
-        .withColumn("is_core", own)
-        .drop("targets", "home_chunk")
+    slot = f"pmod(rn - 1, {chunk_rows})"
+    targets = (
+        f"array_compact(array(chunk, CASE WHEN {slot} >= {chunk_rows - before} THEN chunk + 1 END, "
+        f"CASE WHEN {slot} < {after} AND chunk > 0 THEN chunk - 1 END))"
     )
+    kept = [c for c in indexed.columns if c != "chunk"]
+    copied = indexed.selectExpr(*kept, "chunk AS home_chunk", f"explode({targets}) AS chunk")
+    return copied.selectExpr(*kept, "chunk", "home_chunk = chunk AS is_core")
 
 
 def core(df: DataFrame) -> DataFrame:
@@ -89,8 +81,25 @@ def core(df: DataFrame) -> DataFrame:
     return df.filter("is_core").drop("is_core")
 
 
-def chunk_window() -> WindowSpec:
-    return Window.partitionBy("symbol", "chunk").orderBy("rn")
+# the window of a chunk with its halo, for SQL expressions
+IN_CHUNK = "PARTITION BY symbol, chunk ORDER BY rn"
+
+
+def rows(before: int | str, after: int | str = 0) -> str:
+    """``OVER (...)`` clause for the rows from ``before`` to ``after`` around the current one.
+
+    Negative numbers lie before it; "first" is the start of the chunk with its halo.
+    """
+    def bound(n: int | str) -> str:
+        if n == "first":
+            return "UNBOUNDED PRECEDING"
+        return "CURRENT ROW" if n == 0 else f"{abs(n)} {'PRECEDING' if n < 0 else 'FOLLOWING'}"
+    return f"OVER ({IN_CHUNK} ROWS BETWEEN {bound(before)} AND {bound(after)})"
+
+
+def back(column: str, n: int = 1) -> str:
+    """Value ``n`` bars earlier."""
+    return f"lag({column}, {n}) OVER ({IN_CHUNK})"
 
 
 class Running(NamedTuple):

@@ -107,7 +107,7 @@ def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     utc(spark)
     ticks = event_ticks(spark, sf_dir).withColumn("symbol", F.lit("ALL"))
     sums = staged(spark, sf_dir, "benchmark_sums", lambda: tick_sums(ticks, F.date_trunc("hour", "at")))
-    return walk(sums, 0.002)
+    return staged(spark, sf_dir, "benchmark", lambda: walk(sums, 0.002))
 
 
 def swing_table(spark: SparkSession, sf_dir: str) -> DataFrame:
