@@ -5,6 +5,7 @@ together from short ones: a ten-row total, then one lag per ten rows.
 """
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Mapping, Sequence
 
@@ -29,41 +30,74 @@ def add(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
     return df.selectExpr("*", *[f"{sql} AS {name}" for name, sql in columns.items()]) if columns else df
 
 
-def rolling_means(df: DataFrame, specs: Mapping[str, tuple[str, int]]) -> DataFrame:
-    """Add ``out = mean of the last n values of src`` for each ``out: (src, n)``."""
-    blocks: dict[str, str] = {}
-    lags: dict[str, str] = {}
-    result: dict[str, str] = {}
-    for out, (src, n) in specs.items():
+def apply(df: DataFrame, *plans: Sequence[Mapping[str, str]]) -> DataFrame:
+    """Add the columns of several plans, phase by phase.
+
+    A plan is a list of phases; the columns of a phase may use those of earlier ones. Phases of
+    all plans are merged, so that Spark evaluates them in as few passes as possible. Helper
+    columns, whose names start with an underscore, are dropped at the end.
+    """
+    helpers: list[str] = []
+    for phase in itertools.zip_longest(*plans, fillvalue={}):
+        columns = {name: sql for part in phase for name, sql in part.items()}
+        helpers += [c for c in columns if c.startswith("_")]
+        df = add(df, columns)
+    return df.drop(*helpers)
+
+
+def later(plan: Sequence[Mapping[str, str]], phases: int = 1) -> list[Mapping[str, str]]:
+    """The same plan, some phases later: for inputs that are themselves computed."""
+    return [{}] * phases + list(plan)
+
+
+def rolling_means(specs: Mapping[str, tuple[str, int]]) -> list[dict[str, str]]:
+    """Plan for ``out = mean of the last n values of src`` for each ``out: (src, n)``.
+
+    A span is built from the largest shorter span of the same source that divides it, else
+    from ten-row totals plus a remainder. Few columns per pass keep the generated code small.
+    """
+    phases: list[dict[str, str]] = [{}]
+    built: dict[tuple[str, int], int] = {}     # (source, span) -> phase that has its total
+
+    def put(phase: int, name: str, sql: str) -> None:
+        while len(phases) <= phase:
+            phases.append({})
+        phases[phase][name] = sql
+
+    for out, (src, n) in sorted(specs.items(), key=lambda item: item[1]):
         if n <= SHORT:
-            result[out] = f"({total(src, n)}) / {float(n)}D"
+            put(0, out, f"({total(src, n)}) / {float(n)}D")
             continue
-        whole, rest = divmod(n, BLOCK)
-        block = f"_sum{BLOCK}_{src}"
-        blocks[block] = total(src, BLOCK)
-        parts = [block]
-        for j in range(1, whole):
-            lags[f"{block}_{j}"] = back(block, BLOCK * j)
-            parts.append(f"{block}_{j}")
+        put(0, f"_sum{BLOCK}_{src}", total(src, BLOCK))
+        built.setdefault((src, BLOCK), 0)
+        block = max(m for s, m in built if s == src and (m == BLOCK or n % m == 0))
+        whole, rest = divmod(n, block)
+        name, phase = f"_sum{block}_{src}", built[src, block] + 1
+        parts = [name, *[back(name, block * j) for j in range(1, whole)]]
         if rest:
             tail = f"_sum{rest}_{src}"
-            blocks[tail] = total(src, rest)
-            lags[f"{tail}_{whole}"] = back(tail, BLOCK * whole)
-            parts.append(f"{tail}_{whole}")
-        result[out] = f"({' + '.join(parts)}) / {float(n)}D"
-    return add(add(add(df, blocks), lags), result).drop(*blocks, *lags)
-
-
-def rolling_extreme(df: DataFrame, out: str, src: str, n: int, largest: bool = True) -> DataFrame:
-    """Maximum (or minimum) of the last ``n`` values that exist, n a multiple of 12."""
-    width = 12
-    if n % width:
-        raise ValueError("n must be a multiple of 12")
+            put(0, tail, total(src, rest))
+            parts.append(back(tail, block * whole))
+        put(phase, f"_sum{n}_{src}", " + ".join(parts))
+        put(phase, out, f"({' + '.join(parts)}) / {float(n)}D")
+        built[src, n] = phase
+    needed = " ".join(sql for phase in phases for sql in phase.values())
+    return [{k: v for k, v in phase.items() if not k.startswith("_") or k in needed} for phase in phases]
+
+
+def rolling_extreme(out: str, src: str, widths: Sequence[int], largest: bool = True) -> list[dict[str, str]]:
+    """Plan for the maximum (or minimum) of the last rows, as many as exist.
+
+    ``widths`` are the spans of the steps, each a multiple of the one before; the last is the
+    span of the result.
+    """
     fn, pick = ("max", "greatest") if largest else ("min", "least")
-    block = f"_{fn}{width}_{src}"
-    lags = {f"{block}_{j}": back(block, width * j) for j in range(1, n // width)}
-    df = add(add(df, {block: f"{fn}({src}) {rows(-(width - 1))}"}), lags)
-    return add(df, {out: f"{pick}({', '.join([block, *lags])})"}).drop(block, *lags)
+    names = [f"_{fn}{n}_{src}" for n in widths[:-1]] + [out]
+    plan = [{names[0]: f"{fn}({src}) {rows(-(widths[0] - 1))}"}]
+    for small, wide, name, result in zip(widths, widths[1:], names, names[1:]):
+        parts = [name, *[back(name, small * j) for j in range(1, wide // small)]]
+        plan.append({result: f"{pick}({', '.join(parts)})"})
+    return plan
 
 
 def ema_block(spans: Sequence[int]) -> int:
@@ -80,16 +114,17 @@ def ema_halo(spans: Sequence[int]) -> int:
     return 2 * ema_block(spans) if spans else 0
 
 
-def exponential_means(df: DataFrame, specs: Mapping[str, tuple[str, int]]) -> DataFrame:
-    """Add ``y = a*x + (1-a)*y_prev`` (``y = x`` on the first bar) for each ``out: (src, span)``.
+def exponential_means(specs: Mapping[str, tuple[str, int]]) -> list[dict[str, str]]:
+    """Plan for ``y = a*x + (1-a)*y_prev`` (``y = x`` on the first bar) for each ``out: (src, span)``.
 
     Closed form in blocks of rows: inside a block a weighted running sum, plus the
     final value of the block before; anything older is below double precision.
     Needs ``ema_halo`` rows of halo and no null inputs.
     """
     length = ema_block([n for _, n in specs.values()])
-    df = add(df, {"_blk": f"floor((rn - 1) / {length})", "_off": f"pmod(rn - 1, {length})"})
-    inside = "OVER (PARTITION BY symbol, chunk, _blk ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    offset = f"pmod(rn - 1, {length})"
+    inside = (f"OVER (PARTITION BY symbol, chunk, floor((rn - 1) / {length}) ORDER BY rn "
+              "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
     local: dict[str, str] = {}
     carry: dict[str, str] = {}
     result: dict[str, str] = {}
@@ -97,8 +132,8 @@ def exponential_means(df: DataFrame, specs: Mapping[str, tuple[str, int]]) -> Da
         alpha = 2.0 / (n + 1)
         keep = f"{1.0 - alpha!r}D"
         weight = f"CASE WHEN rn = 1 THEN 1D ELSE {alpha!r}D END"
-        local[f"_loc_{out}"] = f"sum({weight} * {src} * pow({keep}, -_off)) {inside} * pow({keep}, _off)"
+        local[f"_loc_{out}"] = f"sum({weight} * {src} * pow({keep}, -{offset})) {inside} * pow({keep}, {offset})"
         carry[f"_car_{out}"] = (
-            f"last(CASE WHEN _off = {length - 1} THEN _loc_{out} END, true) {rows('first', -1)}")
-        result[out] = f"_loc_{out} + coalesce(_car_{out}, 0D) * pow({keep}, _off + 1)"
-    return add(add(add(df, local), carry), result).drop("_blk", "_off", *local, *carry)
+            f"last(CASE WHEN {offset} = {length - 1} THEN _loc_{out} END, true) {rows('first', -1)}")
+        result[out] = f"_loc_{out} + coalesce(_car_{out}, 0D) * pow({keep}, {offset} + 1)"
+    return [local, carry, result]

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidebars.functions.flags import flag
-from tidebars.series import MOVE_KEY, Running, running, span_bars
+from tidebars.series import CHUNK, MOVE_KEY, Running, bars_at, running, span_bars
 
 TOUCH_BAND = 0.03
 UNDERWATER = -0.10
@@ -114,22 +114,22 @@ def trend_slope(inside: DataFrame) -> DataFrame:
 def swing_legs(swing_table: DataFrame) -> DataFrame:
     """Each swing high with the swing lows before and after it.
 
-    Swings alternate, so the neighbours are the ones numbered just below and above.
+    Swings alternate: the run of lows before a high ends where the high's run begins.
     """
     lows = swing_table.filter(F.col("kind") == "low")
-    before = lows.select("symbol", (F.col("seq") + 1).alias("seq"), F.col("rn").alias("rn_before"),
+    before = lows.select("symbol", F.col("last_rn").alias("after_rn"), F.col("rn").alias("rn_before"),
                          F.col("price").alias("low_before"))
-    after = lows.select("symbol", (F.col("seq") - 1).alias("seq"), F.col("rn").alias("rn_after"),
+    after = lows.select("symbol", F.col("after_rn").alias("last_rn"), F.col("rn").alias("rn_after"),
                         F.col("price").alias("low_after"))
     highs = swing_table.filter(F.col("kind") == "high")
-    return highs.join(before, ["symbol", "seq"]).join(after, ["symbol", "seq"])
+    return highs.join(before, ["symbol", "after_rn"]).join(after, ["symbol", "last_rn"])
 
 
-def retracements(located: DataFrame, swing_table: DataFrame) -> DataFrame:
+def retracements(located: DataFrame, swing_table: DataFrame, chunk_rows: int = CHUNK) -> DataFrame:
     """Pullback as a share of the advance before it, per swing high inside a move."""
     legs = swing_legs(swing_table)
     spans = located.select(*MOVE_KEY, "rn_lo", "rn_hi")
-    inside = span_bars(spans, legs, "rn_lo", "rn_hi").filter(
+    inside = span_bars(spans, legs, "rn_lo", "rn_hi", chunk_rows).filter(
         (F.col("rn_before") >= F.col("rn_lo")) & (F.col("rn_after") <= F.col("rn_hi"))
     )
     rise = F.col("price") - F.col("low_before")
@@ -297,11 +297,10 @@ def leg_rollup(legs: DataFrame) -> DataFrame:
 STOP_DISTANCE = 0.08
 
 
-def stop_levels(pivot_table: DataFrame, features: DataFrame, frame: DataFrame) -> DataFrame:
+def stop_levels(pivot_table: DataFrame, features: DataFrame, frame: DataFrame, chunk_rows: int = CHUNK) -> DataFrame:
     """Stops 8% below the base and, when there is a qualifying gap, 8% below the gap day's low."""
     base = pivot_table.select(*MOVE_KEY, "pivot_date", (F.col("base_low") * (1 - STOP_DISTANCE)).alias("base_stop"))
-    gap_row = features.select(*MOVE_KEY, (-F.col("ep.o")).alias("rn"), F.col("ep.ts").alias("gap_date"))
-    lows = span_bars(gap_row.filter(F.col("rn").isNotNull()).withColumnRenamed("rn", "rn_gap"),
-                     frame.select("symbol", "chunk", "rn", "low"), "rn_gap", "rn_gap")
-    stops = lows.select(*MOVE_KEY, "gap_date", (F.col("low") * (1 - STOP_DISTANCE)).alias("gap_stop"))
+    gaps = features.selectExpr(*MOVE_KEY, "-ep.o AS rn_gap", "ep.ts AS gap_date").filter("rn_gap IS NOT NULL")
+    lows = bars_at(gaps, frame, {"gap": "rn_gap"}, ["low"], chunk_rows=chunk_rows)
+    stops = lows.select(*MOVE_KEY, "gap_date", (F.col("gap_low") * (1 - STOP_DISTANCE)).alias("gap_stop"))
     return base.join(stops, list(MOVE_KEY), "left")

@@ -14,7 +14,7 @@ EMA_SPANS = (10, 20)
 VOLUME_SPAN = 50
 RANGE_SPAN = 20
 STRENGTH_SPAN = 63
-HIGH_SPAN = 252
+HIGH_STEPS = (12, 84, 252)   # the 252-bar high, put together from shorter ones
 PRIOR_SPAN = 63
 POLE_LENGTHS = (20, 30, 40)
 DOWN_DAYS = 10
@@ -31,17 +31,16 @@ def moving_averages(indexed: DataFrame, sma: Sequence[int] = SMA_SPANS, ema: Seq
     """Any set of simple and exponential means of the close: ``sma<n>`` and ``ema<n>``."""
     halo = max([*(n - 1 for n in sma), rolling.ema_halo(ema), 1])
     df = with_halo(indexed, before=halo, chunk_rows=chunk_rows)
-    if sma:
-        df = rolling.rolling_means(df, {f"sma{n}": ("close", n) for n in sma})
+    plans = [rolling.rolling_means({f"sma{n}": ("close", n) for n in sma})]
     if ema:
-        df = rolling.exponential_means(df, {f"ema{n}": ("close", n) for n in ema})
-    return core(df)
+        plans.append(rolling.exponential_means({f"ema{n}": ("close", n) for n in ema}))
+    return core(rolling.apply(df, *plans))
 
 
 def volume_baseline(indexed: DataFrame, span: int = VOLUME_SPAN, chunk_rows: int = CHUNK) -> DataFrame:
     """Mean volume, and the bar's volume relative to it (the mean includes the bar)."""
     df = with_halo(indexed, before=span - 1, chunk_rows=chunk_rows)
-    df = rolling.rolling_means(df, {f"avg_vol_{span}": ("volume", span)})
+    df = rolling.apply(df, rolling.rolling_means({f"avg_vol_{span}": ("volume", span)}))
     return rolling.add(core(df), {"rel_vol": f"try_divide(volume, avg_vol_{span})"})
 
 
@@ -53,9 +52,9 @@ TRUE_RANGE = f"greatest(high - low, abs(high - {back('close')}), abs(low - {back
 def range_measures(indexed: DataFrame, span: int = RANGE_SPAN, chunk_rows: int = CHUNK) -> DataFrame:
     """Mean range in percent of the close, true range, and its plain mean."""
     df = with_halo(indexed, before=span, chunk_rows=chunk_rows)
-    df = rolling.add(df, {"range_pct": RANGE_PCT, "true_range": TRUE_RANGE})
-    df = rolling.rolling_means(df, {f"adr_pct_{span}": ("range_pct", span), f"atr_{span}": ("true_range", span)})
-    return core(df).drop("range_pct")
+    ranges = [{"_range_pct": RANGE_PCT, "true_range": TRUE_RANGE}]
+    means = rolling.rolling_means({f"adr_pct_{span}": ("_range_pct", span), f"atr_{span}": ("true_range", span)})
+    return core(rolling.apply(df, ranges, rolling.later(means)))
 
 
 def align_benchmark(indexed: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -106,35 +105,40 @@ def all_indicators(indexed: DataFrame, benchmark: DataFrame | None = None, chunk
     All frames share (symbol, chunk): one exchange, then windows over the same order.
     """
     source = align_benchmark(indexed, benchmark) if benchmark is not None else indexed
-    halo = max(HIGH_SPAN, rolling.ema_halo(EMA_SPANS), max(SMA_SPANS) + SLOPE_BACK)
+    halo = max(HIGH_STEPS[-1], rolling.ema_halo(EMA_SPANS), max(SMA_SPANS) + SLOPE_BACK)
     df = with_halo(source, before=halo, chunk_rows=chunk_rows)
-    df = rolling.add(df, {
-        "prev_close": back("close"), "range_pct": RANGE_PCT, "true_range": TRUE_RANGE,
-        "first_close": f"first(close) {rows('first')}",
-    })
-    df = rolling.rolling_means(df, {
-        **{f"sma{n}": ("close", n) for n in SMA_SPANS},
-        f"avg_vol_{VOLUME_SPAN}": ("volume", VOLUME_SPAN),
-        f"adr_pct_{RANGE_SPAN}": ("range_pct", RANGE_SPAN),
-        f"atr_{RANGE_SPAN}": ("true_range", RANGE_SPAN),
-        **{f"vol_mean_{n}": ("volume", n) for n in POLE_LENGTHS},
-    })
-    df = rolling.exponential_means(df, {f"ema{n}": ("close", n) for n in EMA_SPANS})
-    df = rolling.rolling_extreme(df, f"high_{HIGH_SPAN}", "high", HIGH_SPAN)
+    bar_columns = {
+        "prev_close": back("close"), "_range_pct": RANGE_PCT, "true_range": TRUE_RANGE,
+        "close_pos": "CASE WHEN high > low THEN (close - low) / (high - low) END",
+        "prior_start_close": f"coalesce({back('close', PRIOR_SPAN)}, "
+                             f"CASE WHEN rn <= {PRIOR_SPAN} THEN first(close) {rows('first')} END)",
+        **{f"close_back_{n}": back("close", n) for n in POLE_LENGTHS},
+        f"rel_strength_{STRENGTH_SPAN}": strength() if benchmark is not None else "CAST(NULL AS DOUBLE)",
+    }
     down = f"(CASE WHEN close < prev_close THEN volume END) {rows(-DOWN_DAYS, -1)}"
-    df = rolling.add(df, {
-        "rel_vol": f"try_divide(volume, avg_vol_{VOLUME_SPAN})",
+    since_previous = {
         "gap_pct": "CASE WHEN prev_close > 0 THEN (open - prev_close) / prev_close END",
-        "close_pos": "CASE WHEN high > low THEN (close - low) / (high - low) END",
-        "prior_start_close": f"coalesce({back('close', PRIOR_SPAN)}, CASE WHEN rn <= {PRIOR_SPAN} THEN first_close END)",
+        "max_down_vol": f"max{down}", "n_down_days": f"count{down}",
+    }
+    from_means = {
+        "rel_vol": f"try_divide(volume, avg_vol_{VOLUME_SPAN})",
         "sma50_back": back("sma50", SLOPE_BACK),
-        "max_down_vol": f"max{down}",
-        "n_down_days": f"count{down}",
-        **{f"close_back_{n}": back("close", n) for n in POLE_LENGTHS},
         **{f"vol_before_{n}": back(f"vol_mean_{n}") for n in POLE_LENGTHS},
-        f"rel_strength_{STRENGTH_SPAN}": strength() if benchmark is not None else "CAST(NULL AS DOUBLE)",
-    })
-    return core(df).drop("range_pct", "first_close", *[f"vol_mean_{n}" for n in POLE_LENGTHS if n != GAP_SCAN_SPAN])
+    }
+    df = rolling.apply(
+        df, [bar_columns, since_previous, from_means],
+        rolling.rolling_means({
+            **{f"sma{n}": ("close", n) for n in SMA_SPANS},
+            f"avg_vol_{VOLUME_SPAN}": ("volume", VOLUME_SPAN),
+            **{f"vol_mean_{n}": ("volume", n) for n in POLE_LENGTHS},
+        }),
+        rolling.later(rolling.rolling_means({
+            f"adr_pct_{RANGE_SPAN}": ("_range_pct", RANGE_SPAN), f"atr_{RANGE_SPAN}": ("true_range", RANGE_SPAN),
+        })),
+        rolling.exponential_means({f"ema{n}": ("close", n) for n in EMA_SPANS}),
+        rolling.rolling_extreme(f"high_{HIGH_STEPS[-1]}", "high", HIGH_STEPS),
+    )
+    return core(df).drop(*[f"vol_mean_{n}" for n in POLE_LENGTHS if n != GAP_SCAN_SPAN])
 
 
 def long_form(frame: DataFrame, columns: Sequence[str] = PUBLIC_COLUMNS) -> DataFrame:

@@ -45,10 +45,10 @@ def base_extremes(frame: DataFrame, rules: PivotRules = PivotRules(), chunk_rows
         f"max(high) {step} AS step_high", f"min(low) {step} AS step_low",
     )
     offsets = [rules.min_base + k * rules.stride + 1 for k in range(steps)]
-    lags = [f"{back(f'step_{c}', n)} AS {c}_{n}" for n in offsets for c in ("high", "low")]
-    busy = core(df.selectExpr("*", *lags)).filter(F.col("rel_vol") >= rules.min_rel_vol).filter("close IS NOT NULL")
-    gathered = [f"array({', '.join(f'{c}_{n}' for n in offsets)}) AS more_{c}s" for c in ("high", "low")]
-    return busy.selectExpr("symbol", "chunk", "rn", "close", "rel_vol", "first_high", "first_low", *gathered)
+    for c in ("high", "low"):    # one pass each: fewer columns in flight
+        df = df.selectExpr("*", f"array({', '.join(back(f'step_{c}', n) for n in offsets)}) AS more_{c}s")
+    return core(df).filter(F.col("rel_vol") >= rules.min_rel_vol).filter("close IS NOT NULL").select(
+        "symbol", "chunk", "rn", "close", "rel_vol", "first_high", "first_low", "more_highs", "more_lows")
 
 
 def candidates(located: DataFrame, frame: DataFrame, rules: PivotRules = PivotRules(),

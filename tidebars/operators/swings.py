@@ -31,18 +31,22 @@ def raw_swings(indexed: DataFrame, lookback: int = LOOKBACK, chunk_rows: int = C
 def collapse(raw: DataFrame) -> DataFrame:
     """Keep the most extreme swing of each run of one kind, the earliest on ties.
 
-    ``seq`` counts the swings of a symbol from 1. The runs are found with scans over chunks; a run may cross chunks.
+    A run is named by the last swing of the other kind before it (``after_rn``, 0 at the
+    start), found with a scan over chunks, so a run may cross chunks. ``last_rn`` is the last
+    raw swing of the run: the next run has it as its ``after_rn``.
     """
-    earlier = running(raw, ["symbol"], [Running("prev_kind", "last", F.col("kind"), exclusive=True)])
-    flips = earlier.withColumn(
-        "flip", F.when(F.col("prev_kind").isNull() | (F.col("prev_kind") != F.col("kind")), 1).otherwise(0)
+    seen = running(raw, ["symbol"], [
+        Running("last_high", "max", F.expr("CASE kind WHEN 'high' THEN rn END"), exclusive=True),
+        Running("last_low", "max", F.expr("CASE kind WHEN 'low' THEN rn END"), exclusive=True),
+    ])
+    runs = seen.selectExpr(
+        "*", "coalesce(CASE kind WHEN 'high' THEN last_low ELSE last_high END, 0) AS after_rn",
+        "CASE kind WHEN 'high' THEN price ELSE -price END AS extreme",
     )
-    runs = running(flips, ["symbol"], [Running("run", "sum", F.col("flip"))])
-    extreme = F.when(F.col("kind") == "high", F.col("price")).otherwise(-F.col("price"))
-    best = F.max(F.struct(extreme.alias("x"), (-F.col("rn")).alias("o"), "chunk", "rn", "ts", "kind", "price"))
+    best = F.expr("max(named_struct('x', extreme, 'o', -rn, 'chunk', chunk, 'rn', rn, 'ts', ts, 'price', price))")
     return (
-        runs.groupBy("symbol", "run").agg(best.alias("s"))
-        .select("symbol", F.col("run").alias("seq"), "s.chunk", "s.rn", "s.ts", "s.kind", "s.price")
+        runs.groupBy("symbol", "kind", "after_rn").agg(best.alias("s"), F.max("rn").alias("last_rn"))
+        .select("symbol", "s.chunk", "s.rn", "s.ts", "kind", "s.price", "after_rn", "last_rn")
     )
 
 

@@ -190,17 +190,20 @@ def bars_at(df: DataFrame, indexed: DataFrame, rows: dict[str, str], columns: Se
             key: Sequence[str] = MOVE_KEY, chunk_rows: int = CHUNK) -> DataFrame:
     """Look up bars by row number: adds ``<tag>_<column>`` for each ``{tag: rn column}``."""
     key = list(key)
+    rest = [c for c in df.columns if c not in key]
     picks = F.array(*[F.struct(F.lit(t).alias("tag"), F.col(c).alias("rn")) for t, c in rows.items()])
     wanted = (
-        df.select(*key, F.explode(picks).alias("p"))
-        .select(*key, "p.tag", "p.rn").filter(F.col("rn").isNotNull())
+        df.select(*key, F.struct(*rest).alias("_row"), F.explode(picks).alias("p"))
+        .select(*key, "_row", "p.tag", "p.rn")
         .withColumn("chunk", chunk_of("rn", chunk_rows))
     )
-    found = wanted.join(indexed.select("symbol", "chunk", "rn", *columns), ["symbol", "chunk", "rn"])
+    # a left join: a move without row numbers keeps its row
+    found = wanted.join(indexed.select("symbol", "chunk", "rn", *columns), ["symbol", "chunk", "rn"], "left")
     values = [
         F.max(F.when(F.col("tag") == t, F.col(c))).alias(f"{t}_{c}") for t in rows for c in columns
     ]
-    return df.join(found.groupBy(*key).agg(*values), key, "left")
+    looked_up = found.groupBy(*key).agg(F.first("_row").alias("_row"), *values)
+    return looked_up.select(*key, "_row.*", *[f"{t}_{c}" for t in rows for c in columns])
 
 
 def span_bars(spans: DataFrame, indexed: DataFrame, rn_from: str, rn_to: str, chunk_rows: int = CHUNK) -> DataFrame:

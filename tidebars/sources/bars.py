@@ -1,8 +1,8 @@
 """Bars from directories of delimited files with mixed layouts.
 
 The files are read as text, so that each file's own header decides where its
-columns are. The header lines are one small row per file; Spark picks the join by
-their size.
+columns are. The headers, one small row per file, are staged first: Spark then knows
+their true size and sends them to the lines, or shuffles both if there are too many.
 """
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebars.functions import parsing
+from tidebars.session import stage
 
 FILE_SYMBOL = r"([^/]+)\.[A-Za-z]+$"
 
@@ -98,7 +99,7 @@ def read_bars(spark: SparkSession, path: str, rules: ReadRules = CORE, symbol_pa
     symbol = F.upper("raw_symbol")
     spelling = F.max_by("raw_symbol", F.struct((F.col("raw_symbol") == symbol).alias("u"), F.col("raw_symbol")))
     chosen = heads.groupBy(symbol.alias("symbol")).agg(spelling.alias("raw_symbol"))
-    wanted = heads.join(chosen, "raw_symbol").select("file", "symbol", "header")
+    wanted = stage(heads.join(chosen, "raw_symbol").select("file", "symbol", "header"), "headers")
     body = lines.filter(~is_header(F.col("line"))).drop("raw_symbol").join(wanted, "file")
     names = F.transform(cells(F.col("header")), F.lower)
     layout = layout_by_name(names) if rules.by_name else layout_by_position(names)
@@ -141,7 +142,7 @@ def date_audit(spark: SparkSession, path: str, symbol_pattern: str = FILE_SYMBOL
     second = F.coalesce(F.get(names, F.lit(1)).contains("date"), F.lit(False))
     first = F.coalesce(F.get(names, F.lit(0)).contains("date"), F.lit(False))
     date_col = F.when(second, 1).when(first, 0)
-    body = lines.filter(~is_header(F.col("line"))).join(headers(lines), "file")
+    body = lines.filter(~is_header(F.col("line"))).join(stage(headers(lines), "headers"), "file")
     date = F.get(cells(F.col("line")), F.col("date_col"))
     slashed = F.coalesce((F.length(date) >= 10) & (F.substring(date, 3, 1) == "/"), F.lit(False))
     return (

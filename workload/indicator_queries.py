@@ -120,9 +120,9 @@ def raw_swings(spark, sf_dir):
     return swings.raw_swings(t.bars(spark, sf_dir)).select("symbol", when("ts"), whole("rn"), "kind", "price")
 
 
-@query("swings", q.with_([q.BARS, q.SWINGS], f"SELECT symbol, {STAMP}, rn, seq, kind, price FROM swings"))
+@query("swings", q.with_([q.BARS, q.SWINGS], f"SELECT symbol, {STAMP}, rn, kind, price, after_rn, last_rn FROM swings"))
 def swing_points(spark, sf_dir):
-    return swings.swings(t.bars(spark, sf_dir)).select("symbol", when("ts"), whole("rn"), whole("seq"), "kind", "price")
+    return swings.swings(t.bars(spark, sf_dir)).select("symbol", when("ts"), whole("rn"), "kind", "price", whole("after_rn"), whole("last_rn"))
 
 
 def resampled(unit: str) -> str:

@@ -120,9 +120,10 @@ sides AS (
     - row_number() OVER (PARTITION BY symbol, kind ORDER BY rn) AS island FROM raw_swings
 ), ranked_swings AS (
   SELECT *, row_number() OVER (PARTITION BY symbol, kind, island
-    ORDER BY CASE kind WHEN 'high' THEN -price ELSE price END, rn) AS k FROM islands
+    ORDER BY CASE kind WHEN 'high' THEN -price ELSE price END, rn) AS k,
+    max(rn) OVER (PARTITION BY symbol, kind, island) AS last_rn FROM islands
 ), swings AS MATERIALIZED (
-  SELECT symbol, rn, ts, kind, price, row_number() OVER (PARTITION BY symbol ORDER BY rn) AS seq
+  SELECT symbol, rn, ts, kind, price, last_rn, coalesce(lag(last_rn) OVER (PARTITION BY symbol ORDER BY rn), 0) AS after_rn
   FROM ranked_swings WHERE k = 1
 )"""
 
