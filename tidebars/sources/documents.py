@@ -40,7 +40,7 @@ def keyed(spark: SparkSession, path: str, fields: str, under: str | None = None)
     """Rows of a document that maps move keys to objects, optionally below a member."""
     kind = T.MapType(T.StringType(), T.StructType.fromDDL(fields))
     document = T.StructType([T.StructField(under, kind)]) if under else kind
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     parsed = F.from_json(F.regexp_replace("value", "^\ufeff", ""), document)
     items = parsed.getField(under) if under else parsed
     return text.select(F.explode(items).alias("move_key", "v")).select("move_key", "v.*")
@@ -57,7 +57,7 @@ def read_annotations(spark: SparkSession, path: str, layout: str = "keyed") -> D
 
 def read_custom_tags(spark: SparkSession, path: str) -> DataFrame:
     """The tags a person added, from the keyed document."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     parsed = F.from_json(F.regexp_replace("value", "^\ufeff", ""), "struct<customTags:array<string>>")
     return text.select(F.explode(parsed.getField("customTags")).alias("tag"))
 

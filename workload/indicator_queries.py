@@ -319,7 +319,7 @@ PIVOT_SELECT = f"""
 SELECT p.symbol, p.year, {q.at(q.bar('ts', 'p.rn_pivot'))} AS pivot_date, p.pos AS pivot_idx_in_window,
   {q.at(q.bar('ts', 'p.rn_bs'))} AS base_start, {q.at(q.bar('ts', 'p.rn_be'))} AS base_end, base_high, base_low,
   {r('depth_pct')} AS base_depth_pct, {r('rel_vol')} AS breakout_rel_vol, close AS breakout_close,
-  {r('quality')} AS quality_score FROM pivots p"""
+  {r('quality')} AS quality_score"""
 
 
 def shown_pivots(df):
@@ -328,11 +328,13 @@ def shown_pivots(df):
         "base_high", "base_low", num("base_depth_pct"), num("breakout_rel_vol"), "breakout_close", num("quality_score"))
 
 
-@query("pivots", q.with_(q.TO_PIVOTS, PIVOT_SELECT))
+@query("pivots", q.with_(q.TO_PIVOTS, PIVOT_SELECT + " FROM pivots p"))
 def pivot_records(spark, sf_dir):
     return shown_pivots(pivots.pivots(t.moves(spark, sf_dir), t.frame(spark, sf_dir)))
 
 
-@query("pivot_lookup", q.with_(q.TO_PIVOTS, PIVOT_SELECT + " WHERE p.symbol = 'click_1' AND p.year = 2818"))
+@query("pivot_lookup", q.with_(q.TO_PIVOTS, PIVOT_SELECT + """
+FROM (SELECT m.symbol, m.year, v.* EXCLUDE (symbol, year) FROM moves m
+      LEFT JOIN pivots v ON v.symbol = m.symbol AND v.year = m.year WHERE m.symbol = 'click_1' AND m.year = 2818) p"""))
 def pivot_lookup(spark, sf_dir):
     return shown_pivots(pivots.pivot_lookup(t.moves(spark, sf_dir), t.pivot_table(spark, sf_dir), "CLICK_1", 2818))

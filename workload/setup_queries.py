@@ -119,7 +119,7 @@ def criteria_counts(spark, sf_dir):
 
 @query("detector_registry", q.with_((*TO_FEATURES, q.DETECTED), """
 SELECT setup, count(*) AS moves, sum(matched::INT)::BIGINT AS matched, sum(score)::BIGINT AS score FROM detected GROUP BY setup
-UNION ALL SELECT 'Broken', count(*), 0, 0 FROM pivots"""))
+UNION ALL SELECT 'Broken', count(*), 0, 0 FROM pivots HAVING count(*) > 0"""))
 def detector_registry(spark, sf_dir):
     """All detectors plus a registered one that cannot be resolved: it never stops the others."""
     table = register("Broken", lambda: F.col("no_such_column"))
