@@ -21,8 +21,11 @@ class Prepared(NamedTuple):
 
 def prepare(bars: DataFrame, benchmark: DataFrame | None = None, bar_seconds: int = DAY_SECONDS,
             chunk_rows: int = CHUNK) -> Prepared:
-    """Everything about bars that does not depend on moves; each table is staged once."""
-    indexed = stage(index_series(bars, bar_seconds, chunk_rows), "bars")
+    """Everything about bars that does not depend on moves; each table is staged once.
+
+    The source is staged first: numbering reads it twice, and text would be parsed twice.
+    """
+    indexed = stage(index_series(stage(bars, "source_bars"), bar_seconds, chunk_rows), "bars")
     raw = stage(swings.raw_swings(indexed, chunk_rows=chunk_rows), "raw_swings")
     collapsed = stage(swings.collapse(raw), "swings")
     wide = indicators.all_indicators(indexed, benchmark, chunk_rows)

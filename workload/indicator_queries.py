@@ -4,10 +4,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidebars.operators import best_moves as bm
-from tidebars.operators import features, indicators, pivots, swings
+from tidebars.operators import indicators, pivots, supertrend, swings
 from tidebars.operators.resample import resample
-from tidebars.series import Running, index_series, locate_moves, move_bars, running
-from tidebars.session import stage
+from tidebars.series import index_series, locate_moves, move_bars
 from workload import sql as q
 from workload import tables as t
 from workload.registry import num, query, when, whole
@@ -338,3 +337,39 @@ FROM (SELECT m.symbol, m.year, v.* EXCLUDE (symbol, year) FROM moves m
       LEFT JOIN pivots v ON v.symbol = m.symbol AND v.year = m.year WHERE m.symbol = 'click_1' AND m.year = 2818) p"""))
 def pivot_lookup(spark, sf_dir):
     return shown_pivots(pivots.pivot_lookup(t.moves(spark, sf_dir), t.pivot_table(spark, sf_dir), "CLICK_1", 2818))
+
+
+# ---------- trend bands ----------
+
+BAND_FACTORS = (1.0, 3.0)
+BAND_STEPS = [q.BARS, q.IND, """
+first_band AS (SELECT symbol, min(rn) AS rn FROM ind WHERE atr_20 IS NOT NULL GROUP BY symbol
+), bands AS (
+  SELECT i.symbol, i.rn, g.f, (i.high + i.low) / 2 + g.f * i.atr_20 AS u, (i.high + i.low) / 2 - g.f * i.atr_20 AS l,
+    i.close, 1 AS trend
+  FROM ind i JOIN first_band USING (symbol, rn), (SELECT unnest([1.0::DOUBLE, 3.0::DOUBLE]) AS f) g
+  UNION ALL
+  SELECT symbol, rn, f, u, l, close, CASE WHEN close > u THEN 1 WHEN close < l THEN -1 ELSE trend END
+  FROM (
+    SELECT i.symbol, i.rn, b.f, i.close, b.trend,
+      CASE WHEN (i.high + i.low) / 2 + b.f * i.atr_20 < b.u OR b.close > b.u THEN (i.high + i.low) / 2 + b.f * i.atr_20 ELSE b.u END AS u,
+      CASE WHEN (i.high + i.low) / 2 - b.f * i.atr_20 > b.l OR b.close < b.l THEN (i.high + i.low) / 2 - b.f * i.atr_20 ELSE b.l END AS l
+    FROM bands b JOIN ind i ON i.symbol = b.symbol AND i.rn = b.rn + 1)
+)"""]
+
+
+@query("trend_bands", q.with_(BAND_STEPS, f"""
+SELECT symbol, rn, f AS factor, trend, {r('CASE WHEN trend > 0 THEN l ELSE u END')} AS line FROM bands"""))
+def trend_bands(spark, sf_dir):
+    df = supertrend.trend_bands(t.frame(spark, sf_dir), BAND_FACTORS)
+    tried = f"array({', '.join(f'{f!r}D' for f in BAND_FACTORS)})"
+    each = f"explode(transform(trend, (x, i) -> named_struct('factor', {tried}[i], 'trend', x, 'line', line[i])))"
+    return df.select("symbol", whole("rn"), F.expr(each).alias("b")).select(
+        "symbol", "rn", "b.factor", "b.trend", num("b.line", "line"))
+
+
+@query("adaptive_bands")
+def adaptive_bands(spark, sf_dir):
+    """No SQL twin: it clusters by iteration. The tests compare it with brute force."""
+    df = supertrend.adaptive_bands(t.frame(spark, sf_dir))
+    return df.select("symbol", whole("rn"), "factor", "trend", num("line"))

@@ -5,11 +5,10 @@ from pyspark.sql import functions as F
 
 from tidebars.operators import features as feat
 from tidebars.operators import resolve, tables
-from tidebars.operators.setups import DETECTORS, detect, detect_all, register
-from tidebars.series import span_bars
+from tidebars.operators.setups import detect, detect_all, register
 from workload import sql as q
 from workload import tables as t
-from workload.indicator_queries import daily, daily_bars
+from workload.indicator_queries import daily
 from workload.registry import num, query, when, whole
 
 r = q.r

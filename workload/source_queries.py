@@ -22,7 +22,7 @@ from workload import sql as q
 from workload import tables as t
 from workload.analytics_queries import NOTES, annotations
 from workload.indicator_queries import daily
-from workload.registry import num, query, when, whole
+from workload.registry import num, query
 from workload.setup_queries import CLASSIFIED_COLUMNS, classified
 
 r = q.r
