@@ -14,15 +14,19 @@ from pyspark.sql import DataFrame
 from tidebars.series import back, rows
 
 BLOCK = 10
-SHORT = 25
+SHORT = 15   # spans up to this are one frame
+MANY = 5     # spans of more blocks than this are built from a shorter span, if one divides them
 NEGLIGIBLE_EXPONENT = 40.0   # exp(-40) is below double precision
 LARGEST_EXPONENT = 600.0     # exp(600) is still a double
 
 
 def total(src: str, n: int) -> str:
-    """Sum of the last ``n`` values; null until ``n`` non-null values exist."""
-    over = rows(-(n - 1))
-    return f"CASE WHEN count({src}) {over} = {n} THEN sum({src}) {over} END"
+    """Sum of the last ``n`` values; null until ``n`` bars exist or if one of them is null.
+
+    A null is summed as NaN, which the sum keeps: one running value instead of a sum and a count.
+    """
+    kept = f"sum(coalesce({src}, double('NaN'))) {rows(-(n - 1))}"
+    return f"CASE WHEN rn >= {n} THEN nullif({kept}, double('NaN')) END"
 
 
 def add(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
@@ -53,8 +57,8 @@ def later(plan: Sequence[Mapping[str, str]], phases: int = 1) -> list[Mapping[st
 def rolling_means(specs: Mapping[str, tuple[str, int]]) -> list[dict[str, str]]:
     """Plan for ``out = mean of the last n values of src`` for each ``out: (src, n)``.
 
-    A span is built from the largest shorter span of the same source that divides it, else
-    from ten-row totals plus a remainder. Few columns per pass keep the generated code small.
+    A span is built from ten-row totals plus a remainder; a long one from the largest shorter
+    span of the same source that divides it. Few columns per pass keep the generated code small.
     """
     phases: list[dict[str, str]] = [{}]
     built: dict[tuple[str, int], int] = {}     # (source, span) -> phase that has its total
@@ -70,7 +74,7 @@ def rolling_means(specs: Mapping[str, tuple[str, int]]) -> list[dict[str, str]]:
             continue
         put(0, f"_sum{BLOCK}_{src}", total(src, BLOCK))
         built.setdefault((src, BLOCK), 0)
-        block = max(m for s, m in built if s == src and (m == BLOCK or n % m == 0))
+        block = max(m for s, m in built if s == src and (m == BLOCK or (n > MANY * BLOCK and n % m == 0)))
         whole, rest = divmod(n, block)
         name, phase = f"_sum{block}_{src}", built[src, block] + 1
         parts = [name, *[back(name, block * j) for j in range(1, whole)]]

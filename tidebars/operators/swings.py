@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebars.series import CHUNK, Running, core, rows, running, with_halo
+from tidebars.series import CHUNK, IN_CHUNK, Running, core, rows, running, with_halo
 
 LOOKBACK = 3
 
@@ -20,7 +20,7 @@ def raw_swings(indexed: DataFrame, lookback: int = LOOKBACK, chunk_rows: int = C
         "*",
         f"max(high) {left} AS left_high", f"max(high) {right} AS right_high",
         f"min(low) {left} AS left_low", f"min(low) {right} AS right_low",
-        f"count(1) {left} = {lookback} AND count(1) {right} = {lookback} AS full",
+        f"rn > {lookback} AND lead(rn, {lookback}) OVER ({IN_CHUNK}) IS NOT NULL AS full",
     )
     kind = ("CASE WHEN full AND high > left_high AND high > right_high THEN 'high' "
             "WHEN full AND low < left_low AND low < right_low THEN 'low' END AS kind")
