@@ -104,8 +104,8 @@ def targets(sizes: DataFrame, share: float = SHARE, most: float = MOST, weights:
 
 def mix(docs: DataFrame, share: float = SHARE, most: float = MOST, weights: tuple[float, ...] = WEIGHTS,
         seed: str = SEED) -> DataFrame:
-    """``docs`` (doc_id, text, source, ...) as (doc_id, size, source, source_size, target, taken, text_hash)."""
-    sized = stage(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash")), "sizes")
+    """``docs`` (doc_id, text, source, ...) as (doc_id, size, source, source_size, target, taken, row_hash)."""
+    sized = stage(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), row_hash(docs).alias("row_hash")), "sizes")
     n = sized.count()
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     goals = stage(targets(per_source, share, most, weights), "targets")
@@ -123,32 +123,27 @@ def mix(docs: DataFrame, share: float = SHARE, most: float = MOST, weights: tupl
     plan = histogram.groupBy("source").applyInPandas(fit, "source string, size long, whole long, more long")
     plan = stage(plan, "plan")
     keyed = sized.withColumns({"skey": F.coalesce("source", F.lit("")), "snull": F.col("source").isNull().cast("int"),
-                               "draw": F.xxhash64(F.lit(seed), "doc_id", "text_hash")})
-    ranked = running_totals(keyed, ["snull", "skey", "size"], ["draw", "doc_id", "text_hash"], {"rank": F.lit(1)}, tiles_for(n))
+                               "draw": F.xxhash64(F.lit(seed), "doc_id", "row_hash")})
+    ranked = running_totals(keyed, ["snull", "skey", "size"], ["draw", "doc_id", "row_hash"], {"rank": F.lit(1)}, tiles_for(n))
     out = (ranked.alias("d").join(goals.alias("g"), F.expr("d.source <=> g.source"))
            .join(plan.alias("p"), F.expr("d.source <=> p.source and d.size = p.size"), "left"))
     taken = F.coalesce(F.col("p.whole") + (F.col("d.rank") < F.col("p.more")).cast("long"), F.lit(0)).cast("long")
-    return out.select("d.doc_id", "d.size", "d.source", "g.source_size", "g.target", taken.alias("taken"), "d.text_hash")
+    return out.select("d.doc_id", "d.size", "d.source", "g.source_size", "g.target", taken.alias("taken"), "d.row_hash")
 
 
 def report(docs: DataFrame) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
-def repeat(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` as often as the mix takes them; rows equal in doc_id, source and text are told apart by count only.
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of the whole row (maps left out); rows that share it and their doc_id are taken as repeats of one row."""
+    return F.xxhash64(*(f"`{c}`" for c, kind in docs.dtypes if "map<" not in kind and kind != "void"))
 
-    The draw counts rows equal in all three as one kind: of n such rows the first ``taken`` sums stay.
-    """
-    takes = mix(docs).groupBy("doc_id", "source", "text_hash").agg(F.sum("taken").alias("takes"), F.count(F.lit(1)).alias("n"))
-    joined = docs.withColumn("_hash", F.xxhash64("text")).alias("d").join(
-        takes.alias("t"), F.expr("d.doc_id <=> t.doc_id and d.source <=> t.source and d._hash = t.text_hash"))
-    # equal rows share what they take together: each comes takes div n times, and the rest is given to as many of them
-    even = F.expr("t.takes div t.n")
-    rest = F.expr("t.takes % t.n")
-    plain = joined.where("t.n = 1").select("d.*", even.alias("_k"))
-    tied = joined.where("t.n > 1").groupBy(*(F.col(f"d.{c}") for c in docs.columns)).agg(
-        F.count(F.lit(1)).alias("_m"), F.first(even).alias("_even"), F.first(rest).alias("_rest"))
-    tied = tied.select(*docs.columns, (F.col("_m") * F.col("_even") + F.least("_rest", "_m")).alias("_k"))
-    out = plain.select(*docs.columns, "_k").unionByName(tied)
-    return out.where("_k > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_k"))).alias("_i")).drop("_i")
+
+def repeat(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs`` as often as the mix takes them; repeated rows share what they take together."""
+    takes = mix(docs).groupBy("doc_id", "row_hash").agg(F.sum("taken").alias("takes"))
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", row_hash(docs).alias("_hash"))
+    one = keyed.groupBy("doc_id", "_hash").agg(F.first("_row").alias("_row"))
+    out = one.alias("d").join(takes.alias("t"), F.expr("d.doc_id <=> t.doc_id and d._hash = t.row_hash and t.takes > 0"))
+    return out.select("d._row.*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("t.takes"))).alias("_i")).drop("_i")
