@@ -5,14 +5,25 @@ All stages but the last return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tidebars.llm import mixing, packing, pii
+from tidebars.llm import jaccard, language, mixing, packing, pii
 from tidebars.llm.common import table
-from tidebars.llm.queries import set_up, tokenizer_path
+from tidebars.llm.queries import set_up, tokenizer_paths
 from tidebars.session import stage
 
 
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without a language go: null, or without a letter."""
+    set_up(spark)
+    return language.known(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: five words a shingle, similarity 0.8."""
+    set_up(spark)
+    return jaccard.keep_one(docs, 5, 80)
+
+
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind."""
     set_up(spark)
@@ -27,10 +38,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     set_up(spark)
-    return packing.pack(docs, tokenizer_path())
+    return packing.pack(docs, tokenizer_paths()[0])
 
 
-STAGES = [("pii", private), ("mixing", mix), ("packing", pack)]
+STAGES = [("language", languages), ("jaccard", near_copies), ("pii", private), ("mixing", mix), ("packing", pack)]
 
 #: Trained models, hashed draws and token ids are beyond SQL; tests/llm holds the stages against plain Python.
 ORACLE_SQL = None

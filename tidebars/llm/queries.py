@@ -6,7 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidebars.llm import mixing, packing, pii
+from tidebars.llm import fingerprint, jaccard, language, mixing, packing, pii, quality, sharding
 from tidebars.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,10 +22,11 @@ def set_up(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
-def tokenizer_path() -> str:
+def tokenizer_paths() -> tuple[str, str]:
+    """The vocabulary for tokenizers, and the same as ranks."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def query(name: str) -> Callable[[Query], Query]:
@@ -45,9 +46,34 @@ def op1(spark, sf_dir):
 
 @query("op3_packing")
 def op3(spark, sf_dir):
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_paths()[0])
 
 
 @query("op5_mixing")
 def op5(spark, sf_dir):
     return mixing.report(table(spark, sf_dir, "documents"))
+
+
+@query("op4_sharding")
+def op4(spark, sf_dir):
+    return sharding.report(table(spark, sf_dir, "documents"))
+
+
+@query("op6_fingerprints")
+def op6(spark, sf_dir):
+    return fingerprint.report(table(spark, sf_dir, "documents"))
+
+
+@query("op7_language")
+def op7(spark, sf_dir):
+    return language.report(table(spark, sf_dir, "documents"))
+
+
+@query("op8_quality")
+def op8(spark, sf_dir):
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op9_jaccard")
+def op9(spark, sf_dir):
+    return jaccard.report(table(spark, sf_dir, "documents"))
