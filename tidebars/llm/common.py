@@ -2,7 +2,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -72,3 +75,30 @@ def components(edges: DataFrame) -> DataFrame:
     roots = now.select(F.col("b").alias("node")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         roots.select("node", F.col("node").alias("root")))
+
+
+def map_groups(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame | None], schema: str) -> DataFrame:
+    """``fn`` over the rows of each key, as one stream per partition: small groups cost no call to Python each.
+
+    The caller bounds the size of a group. ``fn`` may return None for no rows.
+    """
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for batch in batches:
+            batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            new = np.zeros(len(batch), bool)
+            for key in keys:
+                column = batch[key].to_numpy()
+                new[1:] |= column[1:] != column[:-1]
+            at = [0, *np.flatnonzero(new).tolist()]
+            found = [fn(batch.iloc[a:b]) for a, b in zip(at, at[1:], strict=False)]
+            found = [f for f in found if f is not None and len(f)]
+            if found:
+                yield pd.concat(found, ignore_index=True)
+            rest = batch.iloc[at[-1]:]
+        if rest is not None and len(rest):
+            last = fn(rest)
+            if last is not None and len(last):
+                yield last
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(stream, schema)

@@ -6,7 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidebars.llm import fingerprint, jaccard, language, mixing, packing, pii, quality, sharding
+from tidebars.llm import fingerprint, jaccard, language, mixing, packing, pii, quality, sharding, suffixes
 from tidebars.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,3 +77,8 @@ def op8(spark, sf_dir):
 @query("op9_jaccard")
 def op9(spark, sf_dir):
     return jaccard.report(table(spark, sf_dir, "documents"))
+
+
+@query("op2_suffix_dedup")
+def op2(spark, sf_dir):
+    return suffixes.report(table(spark, sf_dir, "documents"))
