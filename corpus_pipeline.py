@@ -38,7 +38,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     set_up(spark)
-    return packing.pack(docs, tokenizer_paths()[0])
+    return packing.pack(docs, *tokenizer_paths())
 
 
 STAGES = [("language", languages), ("jaccard", near_copies), ("pii", private), ("mixing", mix), ("packing", pack)]

@@ -10,8 +10,11 @@ no pieces. Other columns are ignored.
 """
 from __future__ import annotations
 
+import base64
+import functools
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,46 +36,73 @@ class Encoder:
     """Token ids as little-endian 32-bit bytes, word by word.
 
     Byte-level pairs never join across a blank that follows a non-blank, so a text is the ids of its words with their
-    leading blank; equal words are encoded once. Texts with other white space before a blank, or with a special
-    token, are encoded whole.
+    leading blank; equal words are encoded once while they are remembered. ``path`` is the vocabulary for tokenizers; with
+    ``ranks`` (the same vocabulary as ranks) words are encoded by tiktoken, which gives the same ids in a sixth of the
+    time. Texts with other white space before a blank are encoded whole, and those with a special token by tokenizers.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ranks: str | None = None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo: dict[str, bytes] = {}
+        self.plain = None
+        if ranks is not None:
+            import tiktoken
+            from public_tokenizers import PATTERN
+
+            with open(ranks, "rb") as lines:
+                table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+            self.plain = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if self.plain is not None:
+            return [array("I", self.plain(t)).tobytes() for t in texts]
+        return self.by_tokenizers(texts)
 
-    def whole(self, text: str) -> bool:
-        return bool(re.search(r"\s ", text)) or any(s in text for s in self.special)
+    def by_tokenizers(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if self.whole(t) else t.split(" ") for t in texts]
         memo = self.memo
         if len(memo) > MEMO:
             memo.clear()
-        new = {w for ws in split if ws for w in ws[1:]} - memo.keys()
-        new = list(new)
-        memo.update(zip(new, self.ids([" " + w for w in new]), strict=True))
-        first = iter(self.ids([ws[0] if ws else t for ws, t in zip(split, texts, strict=True)]))
-        return [next(first) + b"".join(map(memo.__getitem__, ws[1:])) if ws else next(first) for ws in split]
+        out = []
+        for text in texts:
+            if any(s in text for s in self.special):
+                out += self.by_tokenizers([text])
+                continue
+            if _BLANKS.search(text):
+                out += self.ids([text])
+                continue
+            first, *rest = text.split(" ")
+            new = [w for w in set(rest) if w not in memo]
+            memo.update(zip(new, self.ids([" " + w for w in new]), strict=True))
+            out.append(self.ids([first])[0] + b"".join(map(memo.__getitem__, rest)))
+        return out
+
+
+_BLANKS = re.compile(r"\s ")
+
+
+@functools.cache
+def encoder(path: str, ranks: str | None) -> Encoder:
+    """One for each worker process."""
+    return Encoder(path, ranks)
 
 
-def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = END) -> DataFrame:
+def pieces(docs: DataFrame, path: str, ranks: str | None = None, length: int = LENGTH, end: int = END) -> DataFrame:
     """Every document cut into pieces of ``length`` ids and a rest; the ids themselves stay in the task."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, closing = Encoder(path), np.asarray([end], "<u4").tobytes()
+        coder, closing = encoder(path, ranks), np.asarray([end], "<u4").tobytes()
         for batch in batches:
             texts = [t or "" for t in batch.text]
             rows = []
             step = 256
             for k in range(0, len(texts), step):
-                for doc, ids in zip(batch.doc_id[k:k + step], encoder.encode(texts[k:k + step]), strict=True):
+                for doc, ids in zip(batch.doc_id[k:k + step], coder.encode(texts[k:k + step]), strict=True):
                     ids += closing
                     n = len(ids) // 4
                     rows += [(doc, s, min(length, n - s), zlib.crc32(memoryview(ids)[4 * s:4 * (s + length)]), n)
@@ -120,10 +150,10 @@ def _put(open_packs, done, lengths, often, length) -> None:
         open_packs.setdefault(fill, []).append([lengths, often])
 
 
-def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = END) -> DataFrame:
+def pack(docs: DataFrame, path: str, ranks: str | None = None, length: int = LENGTH, end: int = END) -> DataFrame:
     """Pieces of all documents with sequence_id and offset."""
     spark = docs.sparkSession
-    cut = stage(pieces(docs, path, length, end), "pieces")
+    cut = stage(pieces(docs, path, ranks, length, end), "pieces")
     counts = {r.length: r.n for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     n, n_full = sum(counts.values()), counts.pop(length, 0)
     order = ["doc_id", "start", "ids_crc32", "doc_tokens"]

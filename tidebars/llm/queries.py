@@ -6,7 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidebars.llm import fingerprint, jaccard, language, mixing, packing, pii, quality, sharding, suffixes
+from tidebars.llm import fingerprint, jaccard, language, mixing, packing, pii, quality, sharding, suffixes, templates
 from tidebars.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,7 +46,7 @@ def op1(spark, sf_dir):
 
 @query("op3_packing")
 def op3(spark, sf_dir):
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_paths()[0])
+    return packing.pack(table(spark, sf_dir, "documents"), *tokenizer_paths())
 
 
 @query("op5_mixing")
@@ -82,3 +82,8 @@ def op9(spark, sf_dir):
 @query("op2_suffix_dedup")
 def op2(spark, sf_dir):
     return suffixes.report(table(spark, sf_dir, "documents"))
+
+
+@query("op10_templates")
+def op10(spark, sf_dir):
+    return templates.report(table(spark, sf_dir, "pages"))
