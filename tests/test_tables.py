@@ -250,5 +250,6 @@ def test_stream_is_idempotent(spark, tmp_path):
     def have():
         return [(r["symbol"], r["ts"].day, r["close"]) for r in rows(extend.read_table(spark, table), "symbol", "ts")]
     assert have() == want
-    extend.add_batch(first, 0, table)        # the first batch again, as after a failure
+    again = first.withColumn("seq", F.lit(1))
+    extend.add_batch(again, 0, table, extend.feed_id(spark, check))        # the first batch again, as after a failure
     assert have() == want

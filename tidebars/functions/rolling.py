@@ -104,27 +104,45 @@ def rolling_extreme(out: str, src: str, widths: Sequence[int], largest: bool = T
     return plan
 
 
+def rate(span: int) -> float:
+    """What a bar's weight loses with every later bar, as an exponent; a span of 1 forgets at once."""
+    return -math.log(1 - 2.0 / (span + 1)) if span > 1 else math.inf
+
+
 def ema_block(spans: Sequence[int]) -> int:
-    """Block length that serves all spans: long enough to forget, short enough not to overflow."""
-    rates = [-math.log(1 - 2.0 / (n + 1)) for n in spans]
-    length = math.ceil(NEGLIGIBLE_EXPONENT / min(rates))
-    if length * max(rates) > LARGEST_EXPONENT:
-        raise ValueError("spans too far apart for one pass; compute them separately")
-    return length
+    """Block length of spans that share a pass: long enough for the slowest to forget."""
+    return math.ceil(NEGLIGIBLE_EXPONENT / rate(max(spans)))
+
+
+def ema_passes(spans: Sequence[int]) -> list[list[int]]:
+    """Spans in groups whose blocks are short enough for the fastest not to overflow."""
+    groups: list[list[int]] = []
+    for n in sorted({n for n in spans if n > 1}, reverse=True):
+        if groups and ema_block(groups[-1]) * rate(n) <= LARGEST_EXPONENT:
+            groups[-1].append(n)
+        else:
+            groups.append([n])
+    return groups
 
 
 def ema_halo(spans: Sequence[int]) -> int:
     """Rows needed ahead of a chunk so that its first bar has its carry."""
-    return 2 * ema_block(spans) if spans else 0
+    return max((2 * ema_block(group) for group in ema_passes(spans)), default=0)
 
 
 def exponential_means(specs: Mapping[str, tuple[str, int]]) -> list[dict[str, str]]:
     """Plan for ``y = a*x + (1-a)*y_prev`` (``y = x`` on the first bar) for each ``out: (src, span)``.
 
     Closed form in blocks of rows: inside a block a weighted running sum, plus the
-    final value of the block before; anything older is below double precision.
+    final value of the block before; anything older is below double precision. Spans far apart get blocks of their own.
     Needs ``ema_halo`` rows of halo and no null inputs.
     """
+    plans = [_means_of_pass({o: (s, n) for o, (s, n) in specs.items() if n in group}) for group in ema_passes([n for _, n in specs.values()])]
+    plans.append([{o: src for o, (src, n) in specs.items() if n == 1}])
+    return [{k: v for part in phase for k, v in part.items()} for phase in itertools.zip_longest(*plans, fillvalue={})]
+
+
+def _means_of_pass(specs: Mapping[str, tuple[str, int]]) -> list[dict[str, str]]:
     length = ema_block([n for _, n in specs.values()])
     offset = f"pmod(rn - 1, {length})"
     inside = (f"OVER (PARTITION BY symbol, chunk, floor((rn - 1) / {length}) ORDER BY rn "

@@ -29,13 +29,13 @@ def pct(condition: Column) -> Column:
 def window_stats(inside: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Trend and pain measures per move, or per slice of a move with ``by``.
 
-    The drawdown is from the running maximum of closes, which restarts with each group.
+    The drawdown is from the running maximum of closes, which restarts with each group; it is null while that is zero.
     """
     keys = [*MOVE_KEY, *by]
     columns = ["chunk", "rn", "ts", "close", "high", "low", "ema10", "ema20", "sma50", "adr_pct_20"]
     ran = running(inside.select(*keys, *columns), keys, [Running("top", "max", F.col("close"))])
-    drop = (F.col("low") - F.col("top")) / F.col("top")
-    off_50 = F.abs(F.col("close") - F.col("sma50")) / F.col("sma50")
+    drop = F.try_divide(F.col("low") - F.col("top"), F.col("top"))
+    off_50 = F.try_divide(F.abs(F.col("close") - F.col("sma50")), F.col("sma50"))
     first, last = F.min(F.struct("rn", "close", "ts")), F.max(F.struct("rn", "close", "ts"))
     return ran.withColumn("drop", drop).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("days"),

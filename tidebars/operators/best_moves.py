@@ -13,15 +13,16 @@ def best_moves(indexed: DataFrame, period: Column | None = None) -> DataFrame:
     """Largest low-to-high gain on closes inside each (symbol, period).
 
     The low comes at or before the high; ties go to the earliest high and the earliest low of
-    that price. Periods without a gain are left out. ``period`` defaults to the calendar year
+    that price. A low at or below zero gives no gain, nor do later bars of the period, whose low it stays; null closes are
+    skipped. Periods without a gain are left out. ``period`` defaults to the calendar year
     and must not decrease with time. Values are not rounded, see ``rounded_moves``.
     """
     period = F.year("ts") if period is None else period
     closes = indexed.select("symbol", "chunk", "rn", "ts", "close", "volume", period.alias("year"))
-    positive = F.when(F.col("close") > 0, F.struct("close", "rn", "ts"))
-    lows = running(closes, ["symbol", "year"], [Running("low", "min", positive)])
-    gain = (F.col("close") / F.col("low.close") - 1) * 100.0
-    gained = lows.withColumn("gain_pct", F.when(F.col("low").isNotNull(), gain))
+    known = F.when(F.col("close").isNotNull(), F.struct("close", "rn", "ts"))
+    lows = running(closes, ["symbol", "year"], [Running("low", "min", known)])
+    gain = (F.try_divide("close", "low.close") - 1) * 100.0
+    gained = lows.withColumn("gain_pct", F.when(F.col("low.close") > 0, gain))
     best = F.max(F.when(
         F.col("gain_pct").isNotNull(),
         F.struct("gain_pct", (-F.col("rn")).alias("o"), "low", F.struct("close", "rn", "ts").alias("high")),
@@ -77,7 +78,11 @@ def repair_plan(moves: DataFrame, indexed: DataFrame, period: Column | None = No
     exists, no_bars or no_move. The new values are in the ``new_*`` columns.
     """
     touched = periods_covered(cross_period(moves, low_period, high_period), low_period, high_period)
-    found = rounded_moves(best_moves(indexed, period)).select(
+    # only the bars of touched symbols and periods are searched
+    asked = touched.select("symbol", F.col("covered").alias("_period")).distinct()
+    own_period = F.year("ts") if period is None else period
+    near = indexed.withColumn("_period", own_period.cast("int")).join(asked, ["symbol", "_period"], "left_semi").drop("_period")
+    found = rounded_moves(best_moves(near, period)).select(
         "symbol", F.col("year").cast("int").alias("covered"),
         *[F.col(c).alias(f"new_{c}") for c in MOVE_COLUMNS if c not in ("year", "symbol")],
     )

@@ -36,7 +36,7 @@ def build(features: DataFrame, name: str, detector: Detector) -> Column:
         features.select(column).schema
         return column
     except Exception as error:
-        return failed_result(name, str(error).splitlines()[0][:200])
+        return failed_result(name, str(error))
 
 
 def detect(features: DataFrame, name: str, detectors: dict[str, Detector] | None = None) -> DataFrame:

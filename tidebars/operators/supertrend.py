@@ -147,12 +147,13 @@ def best_factor(performances: Sequence[float], factors: Sequence[float]) -> floa
     """Mean factor of the best of three clusters of performances."""
     p, f = np.asarray(performances, dtype=float), np.asarray(factors, dtype=float)
     centers = np.percentile(p, [25, 50, 75])
-    for _ in range(100):
+    seen = None
+    while True:      # until the labels repeat
         label = np.abs(p[:, None] - centers).argmin(axis=1)
-        moved = np.array([p[label == k].mean() if (label == k).any() else centers[k] for k in range(3)])
-        if (moved == centers).all():
+        if seen is not None and (label == seen).all():
             break
-        centers = moved
+        seen = label
+        centers = np.array([p[label == k].mean() if (label == k).any() else centers[k] for k in range(3)])
     used = [k for k in range(3) if (label == k).any()]
     best = max(used, key=lambda k: centers[k])
     return float(f[label == best].mean())

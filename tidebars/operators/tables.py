@@ -26,8 +26,9 @@ def merge_classifications(fresh: DataFrame, prior: DataFrame | None) -> DataFram
         return fresh
     computed = [c for c in fresh.columns if c != "move_key" and c not in USER_COLUMNS]
     users = [c for c in prior.columns if c in USER_COLUMNS]
+    others = [c for c in prior.columns if c not in fresh.columns and c not in USER_COLUMNS]
     new = fresh.select("move_key", F.struct(*computed).alias("new"))
-    old = prior.select("move_key", F.struct(*[c for c in computed if c in prior.columns]).alias("old"), *users)
+    old = prior.select("move_key", F.struct(*[c for c in computed if c in prior.columns]).alias("old"), *others, *users)
     joined = new.join(old, "move_key", "full_outer")
     held = set(prior.columns)
     return joined.select(
@@ -37,7 +38,7 @@ def merge_classifications(fresh: DataFrame, prior: DataFrame | None) -> DataFram
              else F.col(f"new.{c}")).alias(c)
             for c in computed
         ],
-        *users,
+        *others, *users,
     )
 
 
@@ -77,8 +78,14 @@ def upsert(table: DataFrame, rows: DataFrame, key: Sequence[str]) -> DataFrame:
 
 
 def upsert_moves(moves: DataFrame, rows: DataFrame) -> DataFrame:
-    """Add or update moves on (symbol, year); columns the new rows lack keep their old value."""
+    """Add or update moves on (symbol, year); columns the new rows lack keep their old value.
+
+    Of several rows for one key the last by ``saved_at`` counts; without that column the one with the largest values.
+    """
     key = ["symbol", "year"]
+    rows = latest(rows, key, ["saved_at"] if "saved_at" in rows.columns else [c for c in rows.columns if c not in key])
+    if "saved_at" not in moves.columns:
+        rows = rows.drop("saved_at")
     extra = [c for c in moves.columns if c not in rows.columns]
     if extra:
         rows = rows.join(moves.select(*key, *extra), key, "left")
@@ -98,33 +105,39 @@ def remove_bars(bars: DataFrame, removals: DataFrame) -> DataFrame:
 BAR_COLUMNS = ("symbol", "ts", "open", "high", "low", "close", "volume")
 
 
-def clean_feed(feed: DataFrame) -> DataFrame:
+def clean_feed(feed: DataFrame, order: Sequence[str] = ("seq",)) -> DataFrame:
     """Complete bars with a positive close, one per (symbol, ts); the last one sent wins.
 
-    ``seq`` orders rows of one time when the feed has it.
+    ``order`` names the columns that tell which row was sent last.
     """
+    missing = [c for c in order if c not in feed.columns]
+    if missing:
+        raise ValueError(f"the feed has no {', '.join(missing)} to tell which bar was sent last")
     whole = feed.dropna(subset=["symbol", "ts", "open", "high", "low", "close"]).filter(F.col("close") > 0)
     whole = whole.withColumn("volume", F.coalesce("volume", F.lit(0.0)))
-    order = ["seq"] if "seq" in feed.columns else ["close", "open", "high", "low", "volume"]
     return latest(whole, ["symbol", "ts"], order).select(*BAR_COLUMNS)
 
 
-def unseen_bars(bars: DataFrame, feed: DataFrame) -> DataFrame:
+def unseen_bars(bars: DataFrame, feed: DataFrame, order: Sequence[str] = ("seq",)) -> DataFrame:
     """Feed bars after the last one of their symbol; a new symbol takes all of them."""
     last = bars.groupBy("symbol").agg(F.max("ts").alias("last_ts"))
-    joined = clean_feed(feed).join(last, "symbol", "left")
+    joined = clean_feed(feed, order).join(last, "symbol", "left")
     return joined.filter(F.col("last_ts").isNull() | (F.col("ts") > F.col("last_ts"))).drop("last_ts")
 
 
-def extend_bars(bars: DataFrame, feed: DataFrame) -> DataFrame:
+def extend_bars(bars: DataFrame, feed: DataFrame, order: Sequence[str] = ("seq",)) -> DataFrame:
     """Bars plus the unseen ones of the feed; existing bars are never changed."""
-    return bars.select(*BAR_COLUMNS).unionByName(unseen_bars(bars, feed))
+    return bars.select(*BAR_COLUMNS).unionByName(unseen_bars(bars, feed, order))
+
+
+def absent_bars(bars: DataFrame, feed: DataFrame, order: Sequence[str] = ("seq",)) -> DataFrame:
+    """Feed bars of times that their symbol does not have yet."""
+    return clean_feed(feed, order).join(bars.select("symbol", "ts"), ["symbol", "ts"], "left_anti")
 
 
-def fill_bars(bars: DataFrame, feed: DataFrame) -> DataFrame:
+def fill_bars(bars: DataFrame, feed: DataFrame, order: Sequence[str] = ("seq",)) -> DataFrame:
     """As ``extend_bars`` but on any missing time, also before the last bar."""
-    fresh = clean_feed(feed).join(bars.select("symbol", "ts"), ["symbol", "ts"], "left_anti")
-    return bars.select(*BAR_COLUMNS).unionByName(fresh)
+    return bars.select(*BAR_COLUMNS).unionByName(absent_bars(bars, feed, order))
 
 
 def range_summary(bars: DataFrame, by: Sequence[str] = ("symbol",)) -> DataFrame:

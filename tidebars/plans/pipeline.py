@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 
 from tidebars.operators import analytics, best_moves, features, indicators, pivots, resolve, swings, tables
 from tidebars.operators.setups import DETECTORS, detect_all
-from tidebars.series import CHUNK, DAY_SECONDS, index_series, locate_moves, move_bars
+from tidebars.series import CHUNK, index_series, locate_moves, move_bars
 from tidebars.session import stage
 
 
@@ -19,13 +19,13 @@ class Prepared(NamedTuple):
     frame: DataFrame
 
 
-def prepare(bars: DataFrame, benchmark: DataFrame | None = None, bar_seconds: int = DAY_SECONDS,
+def prepare(bars: DataFrame, benchmark: DataFrame | None = None, bar_seconds: float | None = None,
             chunk_rows: int = CHUNK) -> Prepared:
     """Everything about bars that does not depend on moves; each table is staged once.
 
-    The source is staged first: numbering reads it twice, and text would be parsed twice.
+    The source is staged first: numbering reads it twice, and text would be parsed twice. Bars without a close are left out.
     """
-    indexed = stage(index_series(stage(bars, "source_bars"), bar_seconds, chunk_rows), "bars")
+    indexed = stage(index_series(stage(bars.filter("close is not null"), "source_bars"), bar_seconds, chunk_rows), "bars")
     raw = stage(swings.raw_swings(indexed, chunk_rows=chunk_rows), "raw_swings")
     collapsed = stage(swings.collapse(raw), "swings")
     wide = indicators.all_indicators(indexed, benchmark, chunk_rows)

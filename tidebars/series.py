@@ -34,12 +34,23 @@ def chunk_of(rn: Column | str, chunk_rows: int = CHUNK) -> Column:
     return F.floor((rn - 1) / F.lit(chunk_rows)).cast("bigint")
 
 
-def index_series(bars: DataFrame, bar_seconds: int = DAY_SECONDS, chunk_rows: int = CHUNK) -> DataFrame:
-    """Add ``rn`` and ``chunk``; expects one bar per (symbol, ts).
+def mean_step(bars: DataFrame) -> float:
+    """Mean seconds between the bars of the symbol that has them closest together (a day if there are none)."""
+    seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
+    per_symbol = bars.groupBy("symbol").agg(((F.max(seconds) - F.min(seconds)) / F.count(F.lit(1))).alias("step"))
+    step = per_symbol.agg(F.min(F.when(F.col("step") > 0, F.col("step")))).first()[0]
+    return step or float(DAY_SECONDS)
+
+
+def index_series(bars: DataFrame, bar_seconds: float | None = None, chunk_rows: int = CHUNK) -> DataFrame:
+    """Add ``rn`` and ``chunk``; expects one bar per (symbol, ts), or ``seq`` to order bars of one time.
 
     Rows are numbered inside time tiles that can hold at most about ``chunk_rows``
-    bars; the offsets of the tiles come from a running sum over tile counts.
+    bars; the offsets of the tiles come from a running sum over tile counts. Without ``bar_seconds`` the width of a tile
+    comes from the densest symbol: its mean distance between bars.
     """
+    if bar_seconds is None:
+        bar_seconds = mean_step(bars)
     tile = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / F.lit(bar_seconds * chunk_rows))
     tiled = bars.withColumn("tile", tile)
     across = Window.partitionBy("symbol").orderBy("tile").rowsBetween(Window.unboundedPreceding, -1)
@@ -48,7 +59,7 @@ def index_series(bars: DataFrame, bar_seconds: int = DAY_SECONDS, chunk_rows: in
         .agg(F.count(F.lit(1)).alias("tile_rows"))
         .select("symbol", "tile", F.coalesce(F.sum("tile_rows").over(across), F.lit(0)).alias("tile_offset"))
     )
-    inside = Window.partitionBy("symbol", "tile").orderBy("ts")
+    inside = Window.partitionBy("symbol", "tile").orderBy("ts", *(["seq"] if "seq" in bars.columns else []))
     return (
         tiled.join(offsets, ["symbol", "tile"])
         .withColumn("rn", F.col("tile_offset") + F.row_number().over(inside))
@@ -64,13 +75,11 @@ def with_halo(indexed: DataFrame, before: int = 0, after: int = 0, chunk_rows: i
     (``rows``, ``back``) then see ``before`` rows ahead of every core row and
     ``after`` rows behind it; drop the copies with ``core``.
     """
-    if max(before, after) > chunk_rows:
-        raise ValueError("a halo cannot be wider than a chunk")
     slot = f"pmod(rn - 1, {chunk_rows})"
-    targets = (
-        f"array_compact(array(chunk, CASE WHEN {slot} >= {chunk_rows - before} THEN chunk + 1 END, "
-        f"CASE WHEN {slot} < {after} AND chunk > 0 THEN chunk - 1 END))"
-    )
+    # a wide halo reaches over several chunks
+    ahead = [f"CASE WHEN {slot} >= {j * chunk_rows - before} THEN chunk + {j} END" for j in range(1, -(-before // chunk_rows) + 1)]
+    behind = [f"CASE WHEN {slot} < {after - (j - 1) * chunk_rows} AND chunk >= {j} THEN chunk - {j} END" for j in range(1, -(-after // chunk_rows) + 1)]
+    targets = f"array_compact(array({', '.join(['chunk', *ahead, *behind])}))"
     kept = [c for c in indexed.columns if c != "chunk"]
     copied = indexed.selectExpr(*kept, "chunk AS home_chunk", f"explode({targets}) AS chunk")
     return copied.selectExpr(*kept, "chunk", "home_chunk = chunk AS is_core")

@@ -20,21 +20,21 @@ FILE_SYMBOL = r"([^/]+)\.[A-Za-z]+$"
 class ReadRules(NamedTuple):
     """How strict a read is.
 
-    ``by_name`` finds columns by their header (else by position); ``positive_close`` drops
-    closes at or below zero; ``drop_incomplete`` drops rows with an unreadable price;
+    ``by_name`` finds columns by their header (else by position, the first line being the header whatever it says);
+    ``positive_close`` drops closes at or below zero; rows lacking one of ``required`` are dropped;
     ``blank_volume`` reads an empty volume as 0; ``one_per_date`` keeps the last row of a date.
     """
 
     by_name: bool = True
     positive_close: bool = False
-    drop_incomplete: bool = False
+    required: tuple[str, ...] = ()
     blank_volume: bool = False
     one_per_date: bool = True
 
 
 CORE = ReadRules()
-TOLERANT = ReadRules(by_name=False, positive_close=True, drop_incomplete=True, one_per_date=False)
-REPAIR = ReadRules(by_name=False, drop_incomplete=True, blank_volume=True, one_per_date=False)
+TOLERANT = ReadRules(by_name=False, positive_close=True, required=("open", "high", "low", "close", "volume"), one_per_date=False)
+REPAIR = ReadRules(by_name=False, required=("close", "volume"), blank_volume=True, one_per_date=False)
 
 
 def raw_lines(spark: SparkSession, path: str, symbol_pattern: str = FILE_SYMBOL) -> DataFrame:
@@ -60,11 +60,16 @@ def is_header(line: Column) -> Column:
     return F.arrays_overlap(names, F.array(F.lit("close"), F.lit("price")))
 
 
-def headers(lines: DataFrame) -> DataFrame:
-    """First header of each file."""
-    return lines.filter(is_header(F.col("line"))).groupBy("file").agg(
-        F.min(F.struct("block", "at", "line")).getField("line").alias("header")
-    )
+def headers(lines: DataFrame, by_name: bool = True) -> DataFrame:
+    """Header of each file: its first line, or by name the first line that names a close (else its first line).
+
+    Every file has a row, so none is lost for want of a known header.
+    """
+    first = F.min(F.struct("block", "at", "line"))
+    if by_name:
+        named = F.min(F.when(is_header(F.col("line")), F.struct("block", "at", "line")))
+        first = F.coalesce(named, first)
+    return lines.groupBy("file").agg(first.getField("line").alias("header"))
 
 
 def position(names: Column, *wanted: str) -> Column:
@@ -92,15 +97,16 @@ def read_bars(spark: SparkSession, path: str, rules: ReadRules = CORE, symbol_pa
     """Bars (symbol, ts, open, high, low, close, volume) of all files under ``path``.
 
     The symbol is the file (or folder) name, upper-cased; where a symbol has both spellings
-    the upper-case one is used. Unreadable numbers are null, never NaN.
+    the upper-case one is used. Unreadable numbers are null, never NaN. A file whose header names no close gives bars
+    with null closes when read by name. Where dates may repeat, ``seq`` has the rows' order in their files.
     """
     lines = raw_lines(spark, path, symbol_pattern)
-    heads = headers(lines).withColumn("raw_symbol", F.regexp_extract("file", symbol_pattern, 1))
+    heads = headers(lines, rules.by_name).withColumn("raw_symbol", F.regexp_extract("file", symbol_pattern, 1))
     symbol = F.upper("raw_symbol")
     spelling = F.max_by("raw_symbol", F.struct((F.col("raw_symbol") == symbol).alias("u"), F.col("raw_symbol")))
     chosen = heads.groupBy(symbol.alias("symbol")).agg(spelling.alias("raw_symbol"))
     wanted = stage(heads.join(chosen, "raw_symbol").select("file", "symbol", "header"), "headers")
-    body = lines.filter(~is_header(F.col("line"))).drop("raw_symbol").join(wanted, "file")
+    body = lines.drop("raw_symbol").join(wanted, "file").filter((F.col("line") != F.col("header")) & ~is_header(F.col("line")))
     names = F.transform(cells(F.col("header")), F.lower)
     layout = layout_by_name(names) if rules.by_name else layout_by_position(names)
     cell = {c: F.get(F.col("cell"), p) for c, p in layout.items()}
@@ -111,15 +117,16 @@ def read_bars(spark: SparkSession, path: str, rules: ReadRules = CORE, symbol_pa
         "symbol", "file", "block", "at", parsing.to_day(cell["date"]).cast("timestamp").alias("ts"),
         *[parsing.number(cell[c]).alias(c) for c in ("open", "high", "low", "close")], volume.alias("volume"),
     ).filter(F.col("ts").isNotNull())
-    if rules.drop_incomplete:
-        bars = bars.dropna(subset=["open", "high", "low", "close", "volume"])
+    if rules.required:
+        bars = bars.dropna(subset=list(rules.required))
     if rules.positive_close:
         bars = bars.filter(F.col("close") > 0)
     values = F.struct("open", "high", "low", "close", "volume")
     if rules.one_per_date:
         bars = bars.groupBy("symbol", "ts").agg(F.max_by(values, F.struct("file", "block", "at")).alias("v")).select(
             "symbol", "ts", "v.*")
-    return bars.select("symbol", "ts", "open", "high", "low", "close", "volume")
+        return bars.select("symbol", "ts", "open", "high", "low", "close", "volume")
+    return bars.select("symbol", "ts", "open", "high", "low", "close", "volume", F.struct("file", "block", "at").alias("seq"))
 
 
 def with_bars_flag(moves: DataFrame, bars: DataFrame) -> DataFrame:
@@ -142,7 +149,7 @@ def date_audit(spark: SparkSession, path: str, symbol_pattern: str = FILE_SYMBOL
     second = F.coalesce(F.get(names, F.lit(1)).contains("date"), F.lit(False))
     first = F.coalesce(F.get(names, F.lit(0)).contains("date"), F.lit(False))
     date_col = F.when(second, 1).when(first, 0)
-    body = lines.filter(~is_header(F.col("line"))).join(stage(headers(lines), "headers"), "file")
+    body = lines.join(stage(headers(lines), "headers"), "file").filter((F.col("line") != F.col("header")) & ~is_header(F.col("line")))
     date = F.get(cells(F.col("line")), F.col("date_col"))
     slashed = F.coalesce((F.length(date) >= 10) & (F.substring(date, 3, 1) == "/"), F.lit(False))
     return (

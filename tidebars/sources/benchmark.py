@@ -27,14 +27,14 @@ def read_benchmark(spark: SparkSession, path: str, tolerant: bool = True) -> Dat
 
     Tolerant: close may be called Price and volume Vol. (K, M, B suffixes); rows with a missing
     price or a close at or below zero are dropped. Otherwise only rows without a date are dropped.
-    The last row of a date is kept.
+    The last row of a date is kept, by the path of its file and its place there.
     """
     df = spark.read.option("header", True).option("escape", '"').csv(path)
     present = _columns(df)
     closes = ("close", "price") if tolerant else ("close",)
     volumes = [F.nullif(parsing.volume(F.col(f"`{present[n]}`")), F.lit(0.0)) for n in ("volume", "vol.") if n in present]
     bars = df.select(
-        F.monotonically_increasing_id().alias("at"),
+        F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row")).alias("at"),
         parsing.to_day(_cell(present, "date", "datetime")).cast("timestamp").alias("ts"),
         *[_parsed(present, parsing.number, n).alias(n) for n in ("open", "high", "low")],
         _parsed(present, parsing.number, *closes).alias("close"),

@@ -1,45 +1,63 @@
 """Bars that arrive as a stream.
 
-The table of bars is a folder of batches, ``batch=<id>``, plus ``batch=-1`` for the
-bars it started with. A batch only ever writes its own folder, so a batch that is
-run again after a failure replaces what it wrote and adds nothing twice.
+The table of bars is a folder of batches, ``feed=<id>/batch=<id>``, plus ``feed=start/batch=-1`` for the bars it started
+with. A feed's id is the one its checkpoint was given, so feeds never write to each other's folders; a batch only
+ever writes its own folder, so a batch that is run again after a failure replaces what it wrote and adds nothing twice.
+
+A batch adds every valid bar whose time its symbol does not have yet, as ``tables.fill_bars`` does: late bars and late
+symbols are kept, bars of the table never change, and an invalid bar never hides a valid one. Of bars of one time
+the last sent counts within a batch (by ``seq``), the first batch among batches. One feed writes at a time.
 """
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidebars.operators.tables import BAR_COLUMNS, unseen_bars
+from tidebars.operators.tables import BAR_COLUMNS, absent_bars
 
 BAR_SCHEMA = "symbol string, ts timestamp, open double, high double, low double, close double, volume double"
 
 
 def start_table(bars: DataFrame, path: str) -> None:
     """Create the table from existing bars."""
-    bars.select(*BAR_COLUMNS).write.parquet(f"{path}/batch=-1")
+    bars.select(*BAR_COLUMNS).write.parquet(f"{path}/feed=start/batch=-1")
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(f"{BAR_SCHEMA}, batch bigint").parquet(path)
+    return spark.read.schema(f"{BAR_SCHEMA}, feed string, batch bigint").parquet(path)
+
 
+def add_batch(rows: DataFrame, batch_id: int, path: str, feed: str) -> None:
+    """Write the bars of ``rows`` that the table lacks as one batch of ``feed``; ``seq`` tells which was sent last.
 
-def add_batch(feed: DataFrame, batch_id: int, path: str) -> None:
-    """Write the feed's unseen bars as one batch of the table."""
-    before = read_table(feed.sparkSession, path).filter(F.col("batch") < batch_id)
-    unseen_bars(before, feed).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    Only the times that the batch spans are read from the table.
+    """
+    first, last = rows.agg(F.min("ts"), F.max("ts")).first()
+    before = read_table(rows.sparkSession, path).filter((F.col("feed") != feed) | (F.col("batch") < batch_id))
+    if first is not None:
+        before = before.filter(F.col("ts").between(F.lit(first), F.lit(last)))
+    absent_bars(before, rows).write.mode("overwrite").parquet(f"{path}/feed={feed}/batch={batch_id}")
 
 
-def read_feed(spark: SparkSession, path: str, delay: str = "7 days", files_per_batch: int = 100) -> DataFrame:
-    """New bars from a folder; copies of a bar within ``delay`` of each other are dropped."""
+def read_feed(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
+    """New bars from a folder; ``seq`` orders them by the time of their file, its path and their place in it."""
     feed = spark.readStream.schema(BAR_SCHEMA).option("maxFilesPerTrigger", files_per_batch).parquet(path)
-    return feed.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["symbol", "ts"])
+    sent = F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.row_index")
+    return feed.select("*", sent.alias("seq"))
+
+
+def feed_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a streaming query keeps in its checkpoint."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first().value)["id"]
 
 
 def extend_stream(feed: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
     """Keep the table at ``path`` up to date from ``feed``; ``once`` stops when it is drained."""
     writer = feed.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
-        lambda df, batch_id: add_batch(df, batch_id, path)
+        lambda df, batch_id: add_batch(df, batch_id, path, feed_id(df.sparkSession, checkpoint))
     )
     if once:
         writer = writer.trigger(availableNow=True)

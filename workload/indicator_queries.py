@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tidebars.operators import best_moves as bm
 from tidebars.operators import indicators, pivots, supertrend, swings
 from tidebars.operators.resample import resample
+from tidebars.plans.pipeline import prepare
 from tidebars.series import index_series, locate_moves, move_bars
 from workload import sql as q
 from workload import tables as t
@@ -37,17 +38,41 @@ def ema(spark, sf_dir):
     return indicators.moving_averages(t.bars(spark, sf_dir), sma=()).select(*averages(["ema10", "ema20"]))
 
 
-@query("custom_averages", q.with_([q.BARS, """
-ema35 AS (
-  SELECT symbol, rn, close AS ema5, close AS ema35 FROM bars WHERE rn = 1
+SPANS = (1, 5, 20, 200, 400)
+
+
+def ema_sql(bars: str) -> str:
+    """Recursive exponential means of ``SPANS`` over ``bars``."""
+    first = ", ".join(f"close AS ema{n}" for n in SPANS)
+    step = ", ".join(f"2 / {n + 1}::DOUBLE * b.close + {n - 1} / {n + 1}::DOUBLE * e.ema{n}" for n in SPANS)
+    return f"""
+emas AS (
+  SELECT symbol, rn, {first} FROM {bars} WHERE rn = 1
   UNION ALL
-  SELECT b.symbol, b.rn, b.close / 3 + e.ema5 * 2 / 3, b.close / 18 + e.ema35 * 17 / 18
-  FROM ema35 e JOIN bars b ON b.symbol = e.symbol AND b.rn = e.rn + 1)"""],
+  SELECT b.symbol, b.rn, {step} FROM emas e JOIN {bars} b ON b.symbol = e.symbol AND b.rn = e.rn + 1)"""
+
+
+SHOW_EMAS = ", ".join(f"{r(f'ema{n}')} AS ema{n}" for n in SPANS)
+
+
+@query("custom_averages", q.with_([q.BARS, ema_sql("bars")],
     f"SELECT symbol, {q.at('b.ts')} AS ts, {r(q.full('avg', 'close', 45))} AS sma45, "
-    f"{r('ema5')} AS ema5, {r('ema35')} AS ema35 FROM ema35 JOIN bars b USING (symbol, rn)"))
+    f"{SHOW_EMAS} FROM emas JOIN bars b USING (symbol, rn)"))
 def custom_averages(spark, sf_dir):
-    df = indicators.moving_averages(t.bars(spark, sf_dir), sma=(45,), ema=(5, 35))
-    return df.select(*averages(["sma45", "ema5", "ema35"]))
+    df = indicators.moving_averages(t.bars(spark, sf_dir), sma=(45,), ema=SPANS)
+    return df.select(*averages(["sma45", *[f"ema{n}" for n in SPANS]]))
+
+
+@query("averages_of_dirty_bars", q.with_([q.BARS, """
+numbered AS MATERIALIZED (
+  SELECT symbol, ts, close, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn FROM bars WHERE minute(ts) % 7 <> 3
+)""", ema_sql("numbered")], f"SELECT symbol, {q.at('b.ts')} AS ts, {SHOW_EMAS} FROM emas JOIN numbered b USING (symbol, rn)"))
+def averages_of_dirty_bars(spark, sf_dir):
+    """Every seventh close is missing; ``prepare`` leaves such bars out before it numbers the rest."""
+    raw = t.staged(spark, sf_dir, "raw_bars", lambda: t.raw_bars(spark, sf_dir))
+    dirty = raw.withColumn("close", F.when(F.minute("ts") % 7 != 3, F.col("close")))
+    ready = t.staged(spark, sf_dir, "dirty_bars", lambda: prepare(dirty).bars)
+    return indicators.moving_averages(ready, sma=(), ema=SPANS).select(*averages([f"ema{n}" for n in SPANS]))
 
 
 @query("volume_baseline", q.with_(
@@ -213,6 +238,28 @@ def best_moves_yearly(spark, sf_dir):
     return shown_moves(bm.best_moves(daily_bars(spark, sf_dir)))
 
 
+DIRTY = """
+dirty AS (
+  SELECT *, CASE day(ts) % 9 WHEN 1 THEN NULL WHEN 2 THEN CASE WHEN month(ts) = 11 THEN 0 ELSE close END ELSE close END AS c FROM dbars
+), dirty_lows AS (
+  SELECT *, year(ts)::INT AS year, min(c) OVER (PARTITION BY symbol, year(ts) ORDER BY ts ROWS UNBOUNDED PRECEDING) AS floor FROM dirty WHERE c IS NOT NULL
+), dirty_tops AS (
+  SELECT *, (c / floor - 1) * 100 AS gain_pct, row_number() OVER (PARTITION BY symbol, year ORDER BY (c / floor - 1) DESC, ts) AS k
+  FROM dirty_lows WHERE floor > 0
+)"""
+
+
+@query("best_moves_dirty_prices", q.with_([q.DAILY, DIRTY], f"""
+SELECT symbol, year, {r('gain_pct')} AS gain_pct, {q.at('ts')} AS high_date, floor AS low_price, c AS high_price
+FROM dirty_tops WHERE k = 1 AND gain_pct > 0"""))
+def best_moves_dirty_prices(spark, sf_dir):
+    """Null closes are skipped; a close of zero ends the gains of its period."""
+    day, month = F.dayofmonth("ts"), F.month("ts")
+    close = F.when(day % 9 == 1, F.lit(None)).when((day % 9 == 2) & (month == 11), F.lit(0.0)).otherwise(F.col("close"))
+    bars = daily_bars(spark, sf_dir).withColumn("close", close)
+    return bm.best_moves(bars).select("symbol", "year", num("gain_pct"), when("high_date"), "low_price", "high_price")
+
+
 # Moves over the whole history of a symbol, filed under the year of their low: they cross years.
 LONG_MOVES = """
 all_lows AS (
@@ -358,16 +405,19 @@ first_band AS (SELECT symbol, min(rn) AS rn FROM ind WHERE atr_20 IS NOT NULL GR
 )"""]
 
 
-@query("trend_bands", q.with_(BAND_STEPS, f"""
-SELECT symbol, rn, f AS factor, trend, {r('CASE WHEN trend > 0 THEN l ELSE u END')} AS line FROM bands"""))
-def trend_bands(spark, sf_dir):
-    df = supertrend.trend_bands(t.frame(spark, sf_dir), BAND_FACTORS)
+def shown_bands(df):
     tried = f"array({', '.join(f'{f!r}D' for f in BAND_FACTORS)})"
     each = f"explode(transform(trend, (x, i) -> named_struct('factor', {tried}[i], 'trend', x, 'line', line[i])))"
     return df.select("symbol", whole("rn"), F.expr(each).alias("b")).select(
         "symbol", "rn", "b.factor", "b.trend", num("b.line", "line"))
 
 
+@query("trend_bands", q.with_(BAND_STEPS, f"""
+SELECT symbol, rn, f AS factor, trend, {r('CASE WHEN trend > 0 THEN l ELSE u END')} AS line FROM bands"""))
+def trend_bands(spark, sf_dir):
+    return shown_bands(supertrend.trend_bands(t.frame(spark, sf_dir), BAND_FACTORS))
+
+
 @query("adaptive_bands")
 def adaptive_bands(spark, sf_dir):
     """No SQL twin: it clusters by iteration. The tests compare it with brute force."""

@@ -277,7 +277,7 @@ def remove_bars(spark, sf_dir):
 def existing_and_feed(spark, sf_dir):
     bars = daily(spark, sf_dir)
     old = bars.filter((F.year("ts") < 2000) & (F.col("symbol") != "5-LOW"))
-    new = bars.filter(F.year("ts") >= 1999).withColumn("close", F.col("close") + 1).withColumn("seq", F.lit(2))
+    new = bars.filter((F.year("ts") >= 1999) | (F.col("symbol") == "5-LOW")).withColumn("close", F.col("close") + 1).withColumn("seq", F.lit(2))
     stale = new.withColumn("close", F.lit(-5.0)).withColumn("seq", F.lit(3)).filter(F.dayofmonth("ts") == 1)
     first = new.withColumn("close", F.col("close") + 9).withColumn("seq", F.lit(1))
     return old, new.unionByName(first).unionByName(stale)
@@ -288,7 +288,8 @@ SELECT symbol, {q.at('ts')} AS ts, {r('close')} AS close, volume FROM dbars WHER
 UNION ALL
 SELECT d.symbol, {q.at('d.ts')}, {r('d.close + 1')}, d.volume FROM dbars d
 WHERE year(d.ts) >= 1999 AND NOT EXISTS (
-  SELECT 1 FROM dbars o WHERE o.symbol = d.symbol AND o.symbol <> '5-LOW' AND year(o.ts) < 2000 AND o.ts >= d.ts)"""))
+  SELECT 1 FROM dbars o WHERE o.symbol = d.symbol AND o.symbol <> '5-LOW' AND year(o.ts) < 2000 AND o.ts >= d.ts)"""
+).replace("WHERE year(d.ts) >= 1999 AND NOT", "WHERE (year(d.ts) >= 1999 OR d.symbol = '5-LOW') AND NOT"))
 def extend_bars(spark, sf_dir):
     old, feed = existing_and_feed(spark, sf_dir)
     return tables.extend_bars(old, feed).select("symbol", when("ts"), num("close"), "volume")
@@ -300,7 +301,7 @@ UNION ALL SELECT symbol, {q.at('ts')}, {r('close + 1')} FROM dbars WHERE year(ts
 def fill_bars(spark, sf_dir):
     bars = daily(spark, sf_dir)
     have = bars.filter(F.year("ts") == 1998)
-    feed = bars.withColumn("close", F.col("close") + 1)
+    feed = bars.withColumn("close", F.col("close") + 1).withColumn("seq", F.lit(1))
     return tables.fill_bars(have, feed).select("symbol", when("ts"), num("close"))
 
 

@@ -301,13 +301,77 @@ def read_classifications(spark, sf_dir):
     return done.select(*CLASSIFIED_COLUMNS).join(results, "move_key", "left")
 
 
-@query("stream_extend", q.with_([q.DAILY], f"SELECT symbol, {DAY}, {r('close')} AS close, volume FROM dbars"))
+STREAM_SELECT = f"SELECT symbol, {DAY}, {r('close')} AS close, volume FROM dbars"
+
+
+def streamed(spark, start, feeds, files_per_batch):
+    """The table after each feed (a list of DataFrames, one arrival each) was drained by a query of its own."""
+    table = stage_path(spark, "stream_table")
+    extend.start_table(start, table)
+    for arrivals in feeds:
+        feed, checkpoint = stage_path(spark, "stream_feed"), stage_path(spark, "stream_checkpoint")
+        for rows in arrivals:
+            rows.select(*tables.BAR_COLUMNS).write.mode("append").parquet(feed)
+        extend.extend_stream(extend.read_feed(spark, feed, files_per_batch), table, checkpoint, once=True).awaitTermination()
+    return extend.read_table(spark, table).select("symbol", F.date_format("ts", "yyyy-MM-dd").alias("ts"), num("close"), "volume")
+
+
+@query("stream_extend", q.with_([q.DAILY], STREAM_SELECT))
 def stream_extend(spark, sf_dir):
     """The first five years are the table; the rest arrives as a stream that repeats itself."""
-    bars = daily(spark, sf_dir).select(*tables.BAR_COLUMNS)
-    table, feed, checkpoint = (stage_path(spark, n) for n in ("stream_table", "stream_feed", "stream_checkpoint"))
-    extend.start_table(bars.filter(F.year("ts") < 2000), table)
-    for year in (2000, 2001):
-        bars.filter(F.year("ts").between(1999, year)).write.mode("append").parquet(feed)
-    extend.extend_stream(extend.read_feed(spark, feed, "400 days"), table, checkpoint, once=True).awaitTermination()
-    return extend.read_table(spark, table).select("symbol", F.date_format("ts", "yyyy-MM-dd").alias("ts"), num("close"), "volume")
+    bars = daily(spark, sf_dir)
+    arrivals = [bars.filter(F.year("ts").between(1999, year)) for year in (2000, 2001)]
+    return streamed(spark, bars.filter(F.year("ts") < 2000), [arrivals], 100)
+
+
+def late_symbol(spark, sf_dir, files_per_batch):
+    """A symbol whose bars arrive after those of all others, oldest last."""
+    bars = daily(spark, sf_dir)
+    late = F.col("symbol") == "5-LOW"
+    arrivals = [bars.filter(~late), bars.filter(late & (F.year("ts") >= 1998)), bars.filter(late & (F.year("ts") < 1998))]
+    return streamed(spark, bars.filter(~late & (F.year("ts") < 1997)), [arrivals], files_per_batch)
+
+
+@query("stream_late_symbol", q.with_([q.DAILY], STREAM_SELECT))
+def stream_late_symbol(spark, sf_dir):
+    return late_symbol(spark, sf_dir, 1)
+
+
+@query("stream_late_symbol_at_once", q.with_([q.DAILY], STREAM_SELECT))
+def stream_late_symbol_at_once(spark, sf_dir):
+    return late_symbol(spark, sf_dir, 100)
+
+
+def bad_then_good(spark, sf_dir, files_per_batch):
+    """Each bar is first sent with a negative close, then with the right one."""
+    bars = daily(spark, sf_dir)
+    return streamed(spark, bars.filter(F.year("ts") < 1998), [[bars.withColumn("close", -F.col("close")), bars]], files_per_batch)
+
+
+@query("stream_bad_then_good", q.with_([q.DAILY], STREAM_SELECT))
+def stream_bad_then_good(spark, sf_dir):
+    return bad_then_good(spark, sf_dir, 1)
+
+
+@query("stream_bad_then_good_at_once", q.with_([q.DAILY], STREAM_SELECT))
+def stream_bad_then_good_at_once(spark, sf_dir):
+    return bad_then_good(spark, sf_dir, 100)
+
+
+@query("stream_two_feeds", q.with_([q.DAILY], STREAM_SELECT))
+def stream_two_feeds(spark, sf_dir):
+    """Two feeds with checkpoints of their own extend one table in turn."""
+    bars = daily(spark, sf_dir)
+    odd = F.dayofmonth("ts") % 2 == 1
+    return streamed(spark, bars.filter(F.year("ts") < 1996), [[bars.filter(odd)], [bars.filter(~odd)]], 100)
+
+
+@query("read_bars_odd_headers", q.with_([q.DAILY], BAR_SELECT))
+def read_bars_odd_headers(spark, sf_dir):
+    """No header names a close; positions decide."""
+    path = stage_path(spark, "odd_files")
+    daily(spark, sf_dir).select(
+        "symbol", F.date_format("ts", "yyyy-MM-dd").alias("Date"), F.col("open").alias("Erst"), F.col("high").alias("Top"),
+        F.col("low").alias("Tief"), F.col("close").alias("Last"), F.col("volume").alias("Vol"),
+    ).hint("rebalance", "symbol").write.partitionBy("symbol").option("header", True).csv(path)
+    return shown_bars(sb.read_bars(spark, path, sb.TOLERANT, sinks.FOLDER_SYMBOL))
