@@ -168,3 +168,25 @@ def test_asof_starts_later(spark):
     over = rows(indicators.benchmark_overlay(aligned), "rn")
     assert [r["rebased"] for r in over] == [50.0, 100.0, 150.0, 200.0, 250.0]
     assert [r["bench_rebased"] for r in over] == [None, 100.0, 100.0, 120.0, 120.0]
+
+
+@pytest.mark.parametrize("chunk", [64, 8192])
+def test_any_spans_equal_pandas(spark, chunk):
+    pdf = walk("A", 700, 5)
+    spans = (1, 2, 5, 10, 20, 200, 250)
+    cut = index_series(frame(spark, pdf), chunk_rows=chunk)
+    got = indicators.moving_averages(cut, sma=(3, 300), ema=spans, chunk_rows=chunk).orderBy("rn").toPandas()
+    for n in spans:
+        assert np.allclose(got[f"ema{n}"], pdf.close.ewm(span=n, adjust=False).mean(), rtol=1e-10)
+    assert np.allclose(got.sma300, pdf.close.rolling(300).mean(), equal_nan=True)
+
+
+def test_benchmark_by_day_equals_asof(spark):
+    times = pd.to_datetime(["2019-11-03 10:00", "2019-11-03 15:00", "2020-02-01 09:00", "2022-05-05 00:00", "2022-05-07 23:00"])
+    bench = pd.DataFrame({"ts": times, "close": [1.0, 2.0, 3.0, 4.0, 5.0]})
+    bars = pd.DataFrame({"symbol": "A", "ts": pd.date_range("2019-10-30 12:30", "2022-12-31", freq="31h"), "close": 1.0})
+    want = pd.merge_asof(bars, bench.rename(columns={"close": "bench_close"}), on="ts")
+    empty = spark.createDataFrame([], "ts timestamp, close double")
+    got = indicators.align_benchmark(spark.createDataFrame(bars), spark.createDataFrame(bench)).orderBy("ts").toPandas()
+    assert np.allclose(got.bench_close.astype(float), want.bench_close, equal_nan=True)
+    assert indicators.align_benchmark(spark.createDataFrame(bars), empty).filter("bench_close is not null").count() == 0

@@ -42,8 +42,9 @@ def test_halo_copies_only_edges(cut):
     assert copied.filter("is_core").count() == cut.count()
     # three chunks: the tails of all full chunks go on, the heads of the later ones go back
     assert copied.filter("NOT is_core").count() == 2 * 50 + 2 * 3
-    with pytest.raises(ValueError):
-        with_halo(cut, before=CUT + 1, chunk_rows=CUT)
+    # a halo wider than a chunk comes from several chunks
+    wide = with_halo(cut, before=2 * CUT, chunk_rows=CUT).filter("chunk = 2 and symbol = 'HOT'")
+    assert wide.filter("NOT is_core").count() == 2 * CUT and wide.filter("is_core").count() == cut.filter("chunk = 2").count()
 
 
 def test_running_matches_pandas(cut, pdf):

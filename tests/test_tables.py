@@ -133,6 +133,33 @@ def test_extend(spark):
     assert filled == [("A", 1, 1.0), ("A", 2, 8.0), ("A", 3, 3.0), ("A", 4, 4.5), ("B", 1, 7.0)]
 
 
+def test_feed_needs_an_order(spark):
+    feed = feed_rows(spark, ("A", 1, 10.0, 1), ("A", 1, 9.0, 2))
+    assert [r.close for r in tables.clean_feed(feed).collect()] == [9.0]
+    with pytest.raises(ValueError, match="seq"):
+        tables.clean_feed(feed.drop("seq"))
+
+
+def test_upsert_moves_takes_one_row_a_key(spark):
+    moves = spark.createDataFrame([("A", 2023, 1.0), ("A", 2024, 2.0)], "symbol string, year int, gain_pct double")
+    posts = spark.createDataFrame([("A", 2024, 5.0, 1), ("A", 2024, 4.0, 2)], "symbol string, year int, gain_pct double, saved_at int")
+    assert [(r["year"], r["gain_pct"]) for r in rows(tables.upsert_moves(moves, posts), "year")] == [(2023, 1.0), (2024, 4.0)]
+    assert tables.upsert_moves(moves, posts.drop("saved_at")).count() == 2
+
+
+def test_merge_keeps_columns_only_prior_has(spark):
+    fresh = spark.createDataFrame([("A", "VCP")], "move_key string, ai_primary string")
+    prior = spark.createDataFrame([("A", "x", "note"), ("B", "y", "old")], "move_key string, ai_primary string, remark string")
+    got = [(r["move_key"], r["ai_primary"], r["remark"]) for r in rows(tables.merge_classifications(fresh, prior), "move_key")]
+    assert got == [("A", "VCP", "note"), ("B", "y", "old")]
+
+
+def test_best_move_after_a_zero_close(spark):
+    assert moves_of(spark, [0, *range(1, 40)]) == []
+    before = moves_of(spark, [2, 3, 0, 50])[0]
+    assert (before["gain_pct"], before["high_date"]) == (50.0, day(2))
+
+
 def test_range_summary(spark):
     got = tables.range_summary(frame(spark, flat("A", [5, 9, 4, 9, 4], [1e9] * 5))).first()
     assert (got.low_date, got.high_date, got.low_price, got.high_price) == (day(3), day(2), 4.0, 9.0)
@@ -237,6 +264,31 @@ def test_agreement(spark):
 
 # ---------- stream ----------
 
+def drain(spark, table, feed, check, files=100):
+    extend.extend_stream(extend.read_feed(spark, feed, files), table, check, once=True).awaitTermination()
+    return [(r["symbol"], r["ts"].day, r["close"]) for r in rows(extend.read_table(spark, table), "symbol", "ts")]
+
+
+@pytest.mark.parametrize("files", [1, 100])
+def test_stream_keeps_late_and_corrected_bars(spark, tmp_path, files):
+    table, feed, check = (str(tmp_path / x) for x in ("table", "feed", "check"))
+    extend.start_table(frame(spark, flat("A", [1])), table)
+    for part in ([("A", 28, 5.0, 1), ("B", 28, -3.0, 1)], [("B", 28, 3.0, 1), ("NEW", 2, 7.0, 1)], [("NEW", 1, 6.0, 1)]):
+        feed_rows(spark, *part).drop("seq").coalesce(1).write.mode("append").parquet(feed)
+    assert drain(spark, table, feed, check, files) == [
+        ("A", 1, 1.0), ("A", 28, 5.0), ("B", 28, 3.0), ("NEW", 1, 6.0), ("NEW", 2, 7.0)]
+
+
+def test_feeds_do_not_overwrite_each_other(spark, tmp_path):
+    table = str(tmp_path / "table")
+    extend.start_table(frame(spark, flat("A", [1])), table)
+    for k in (2, 3):
+        feed, check = str(tmp_path / f"feed{k}"), str(tmp_path / f"check{k}")
+        feed_rows(spark, ("A", k, float(k), 1)).drop("seq").write.parquet(feed)
+        got = drain(spark, table, feed, check)
+    assert got == [("A", 1, 1.0), ("A", 2, 2.0), ("A", 3, 3.0)]
+
+
 def test_stream_is_idempotent(spark, tmp_path):
     table, feed_dir, check = (str(tmp_path / x) for x in ("table", "feed", "check"))
     extend.start_table(frame(spark, flat("A", [1, 2])), table)
