@@ -1,6 +1,8 @@
 """Setups that are read off the shape of the base."""
 from __future__ import annotations
 
+# Names of setups and labels of criteria are fixed values: they appear in the results.
+
 from pyspark.sql import Column
 
 from tidebars.operators.setups.rules import Criterion, bonus, failure, required, result
