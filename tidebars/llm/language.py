@@ -167,7 +167,7 @@ def sample(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
     labelled = docs.where("lang is not null and text is not null").select("text", "lang", F.xxhash64("text").alias("draw"))
     counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     cut = F.least(F.lit(1.0), F.lit(1.5 * per_lang + 20) / F.col("n"))
-    return labelled.join(F.broadcast(counts), "lang").where(F.pmod("draw", F.lit(1 << 30)) <= cut * F.lit(float(1 << 30)))
+    return labelled.join(counts, "lang").where(F.pmod("draw", F.lit(1 << 30)) <= cut * F.lit(float(1 << 30)))
 
 
 def fit(docs: DataFrame, per_lang: int = PER_LANG) -> tuple[list[str], Network | None]:

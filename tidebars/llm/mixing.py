@@ -38,7 +38,8 @@ def fit_lengths(lengths: list[int], counts: list[int], budget: int) -> list[int]
     """How many of each length to take, ``0 <= take <= count``, so that the sum is ``budget`` or just below it.
 
     Each length first gives its proportional part (rounded down), then long lengths give more while more than
-    ``DP_WORDS`` is missing; a bounded knapsack over the remaining counts, shortest lengths first, fits the rest.
+    ``DP_WORDS`` is missing; short lengths give some back, and a bounded knapsack over the remaining counts, shortest
+    lengths first, fits the rest.
     """
     total = sum(n * c for n, c in zip(lengths, counts, strict=True))
     take = [c * budget // total if total else 0 for c in counts]
@@ -56,10 +57,16 @@ def fit_lengths(lengths: list[int], counts: list[int], budget: int) -> list[int]
         if more > 0:
             take[i] += more
             left -= more * lengths[i]
+    # short lengths give back some of their part, so that the knapsack has a choice
+    room = min(DP_WORDS, max(4 * top, 1 << 14))
+    for i in reversed(order):
+        back = min(take[i], max(0, room - left) // lengths[i])
+        take[i] -= back
+        left += back * lengths[i]
     reach, steps, mask = 1, [], (1 << (left + 1)) - 1
     for i in reversed(order):
-        free, part = counts[i] - take[i], 1
-        while free > 0 and not (reach >> left) & 1 and lengths[i] * min(part, free) <= left:
+        free, part = min(counts[i] - take[i], left // lengths[i]), 1
+        while free > 0 and not (reach >> left) & 1:
             part = min(part, free)
             steps.append((i, part, reach))
             reach |= (reach << (lengths[i] * part)) & mask
@@ -142,8 +149,9 @@ def row_hash(docs: DataFrame) -> Column:
 
 def repeat(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` as often as the mix takes them; repeated rows share what they take together."""
-    takes = mix(docs).groupBy("doc_id", "row_hash").agg(F.sum("taken").alias("takes"))
-    keyed = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", row_hash(docs).alias("_hash"))
-    one = keyed.groupBy("doc_id", "_hash").agg(F.first("_row").alias("_row"))
-    out = one.alias("d").join(takes.alias("t"), F.expr("d.doc_id <=> t.doc_id and d._hash = t.row_hash and t.takes > 0"))
-    return out.select("d._row.*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("t.takes"))).alias("_i")).drop("_i")
+    def key(hashed: Column) -> Column:
+        return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), hashed.cast("string")).alias("_mix_key")
+
+    takes = mix(docs).select(key(F.col("row_hash")), "taken").groupBy("_mix_key").agg(F.sum("taken").alias("_takes")).where("_takes > 0")
+    rows = docs.withColumn("_mix_key", key(row_hash(docs))).join(takes, "_mix_key").dropDuplicates(["_mix_key"])
+    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_takes"))).alias("_i")).drop("_i")
