@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from tidebars.llm.shingles import mixed, powers
 
 SLOTS = {2: 16, 3: 32, 4: 16}     # slots by level
+ROWS = 20_000                     # documents of a range of ids at most, about
 CHARS = 1 << 19                   # code points parsed at a time (a longer text alone)
 _SEEDS = np.random.default_rng(77).integers(1, 2**63, sum(SLOTS.values()), dtype=np.uint64)
 
@@ -129,7 +130,7 @@ def report(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     docs = docs.withColumn("place", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count() // ROWS)
     shares = ", ".join(str(i / parts) for i in range(1, parts))
     cuts = docs.agg(F.expr(f"percentile_approx(place, array({shares}), 10000)")).first()[0] or []
     cuts = sorted(set(cuts))
