@@ -77,28 +77,36 @@ def components(edges: DataFrame) -> DataFrame:
         roots.select("node", F.col("node").alias("root")))
 
 
-def map_groups(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame | None], schema: str) -> DataFrame:
-    """``fn`` over the rows of each key, as one stream per partition: small groups cost no call to Python each.
+def map_groups(df: DataFrame, keys: list[str], fn: Callable[[dict[str, np.ndarray]], dict[str, list] | None], schema: str) -> DataFrame:
+    """``fn`` over the rows of each key, given and returned as columns, in one stream per partition: small groups are cheap.
 
     The caller bounds the size of a group. ``fn`` may return None for no rows.
     """
+    names = [part.split()[0] for part in schema.split(", ")]
+
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
+        rest: dict[str, np.ndarray] | None = None
         for batch in batches:
-            batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            new = np.zeros(len(batch), bool)
+            rows = {c: batch[c].to_numpy() for c in batch}
+            if rest is not None:
+                rows = {c: np.concatenate((rest[c], rows[c])) for c in rows}
+            new = np.zeros(len(rows[keys[0]]), bool)
             for key in keys:
-                column = batch[key].to_numpy()
-                new[1:] |= column[1:] != column[:-1]
+                new[1:] |= rows[key][1:] != rows[key][:-1]
             at = [0, *np.flatnonzero(new).tolist()]
-            found = [fn(batch.iloc[a:b]) for a, b in zip(at, at[1:], strict=False)]
-            found = [f for f in found if f is not None and len(f)]
-            if found:
-                yield pd.concat(found, ignore_index=True)
-            rest = batch.iloc[at[-1]:]
-        if rest is not None and len(rest):
-            last = fn(rest)
-            if last is not None and len(last):
-                yield last
+            yield from results(rows, at)
+            rest = {c: x[at[-1]:] for c, x in rows.items()}
+        if rest is not None and len(rest[keys[0]]):
+            yield from results(rest, [0, len(rest[keys[0]])])
+
+    def results(rows: dict[str, np.ndarray], at: list[int]) -> Iterator[pd.DataFrame]:
+        out: dict[str, list] = {c: [] for c in names}
+        for a, b in zip(at, at[1:], strict=False):
+            found = fn({c: x[a:b] for c, x in rows.items()})
+            if found is not None:
+                for c in names:
+                    out[c] += found[c]
+        if out[names[0]]:
+            yield pd.DataFrame(out)
 
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(stream, schema)

@@ -7,9 +7,9 @@ puts the ``HOT`` most frequent shingles last, so that common lines do not gather
 
 Where classes meet, a signature tree does the search: leaves hold a class's bitmap of shingles, nodes the OR of the
 bitmaps below and their range of sizes; two nodes are descended together only while the largest possible overlap
-reaches what their smallest sizes need. Two passes (smallest and largest shared shingle of a class) link most classes
-with the sets at hand; after them only meetings of different components remain, which go through the trees again with
-bitmaps alone, and the pairs left are checked exactly. Groups beyond ``BLOCK`` classes are split into blocks, and
+reaches what their smallest sizes need. The groups of each class's smallest and largest shared shingle give spanning
+pairs, which are checked by their whole sets and link most classes; after them only meetings of different components
+remain, whose pairs, all of them, go through the trees and the same check. Groups beyond ``BLOCK`` classes are split into blocks, and
 blocks meet block by block in tasks of bounded size.
 
 Text without words, empty or null has an empty set and links with nothing. Rows are told apart by their shingle sets,
@@ -25,8 +25,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tidebars.llm.common import components
+from tidebars.llm.common import WORD, components, map_groups
 from tidebars.llm.shingles import shingle_sets
 from tidebars.session import stage
 
@@ -49,8 +50,8 @@ def bitmap(shingles: np.ndarray, width: int) -> np.ndarray:
 
 
 def width_for(n: int) -> int:
-    """Bits for a set: a power of two, at least 256, about twice its size."""
-    return min(max(256, 1 << (2 * n - 1).bit_length()), 64 * BITS)
+    """Bits for a set: a power of two, at least 256, eight times the size of a small set and four times that of a large one."""
+    return min(max(256, 1 << ((8 if n <= 256 else 4) * n - 1).bit_length()), 64 * BITS)
 
 
 def fold(bits: np.ndarray, words: int) -> np.ndarray:
@@ -61,6 +62,14 @@ def fold(bits: np.ndarray, words: int) -> np.ndarray:
     return bits
 
 
+def likely(one: tuple, two: tuple, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """Whether leaves seem to link, by the size of their union as their bits tell it (linear counting)."""
+    joint = np.bitwise_count(one[0][left] | two[0][right]).sum(1, dtype=np.int64)
+    width = 64 * one[0].shape[1]
+    union = -width * np.log(np.maximum(1 - joint / width, 0.5 / width))
+    return 100 * (one[1][left] + two[1][right] - union) >= (percent - 3) * union
+
+
 class Tree:
     """Signature tree over classes: levels of OR-ed bitmaps, size ranges, and sizes less bits (hidden overlap)."""
 
@@ -75,8 +84,8 @@ class Tree:
             self.levels.append((np.bitwise_or.reduceat(b, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at),
                                 np.maximum.reduceat(h, at)))
 
-    def meet(self, other: Tree, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of leaves (positions in the classes of each tree) that may link, in batches."""
+    def meet(self, other: Tree, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Pairs of leaves (positions in the classes of each tree) that may link, and which seem to, in batches."""
         top = max(len(self.levels), len(other.levels)) - 1
         stack = [(top, np.zeros(1, np.int64), np.zeros(1, np.int64))]
         same = self is other
@@ -93,7 +102,7 @@ class Tree:
                     keep = left < right
                     left, right = left[keep], right[keep]
                 if len(left):
-                    yield self.order[left], other.order[right]
+                    yield self.order[left], other.order[right], likely(one, two, left, right, percent)
                 continue
             if not len(left):
                 continue
@@ -139,25 +148,21 @@ def meetings(sizes: np.ndarray, bits: list[np.ndarray], left: np.ndarray, right:
                     one = Tree(size_a, np.stack([fold(bits[k], words) for k in names[0][at_a]]))
                 if len(two.levels[0][0][0]) > words:
                     two = Tree(size_b, np.stack([fold(bits[k], words) for k in names[1][at_b]]))
-            for x, y in one.meet(two, percent):
-                yield names[0][at_a[x]], names[1][at_b[y]]
-
-
-def link_sets(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that span the components of ``sets`` (a pair already connected is not checked)."""
-    sizes = np.array([len(s) for s in sets], np.int64)
-    bits = [bitmap(s, width_for(len(s))) for s in sets]
-    root, found = np.arange(len(sets)), []
-    for x, y in meetings(sizes, bits, np.arange(len(sets)), None, percent):
-        open_pairs = np.flatnonzero(root[x] != root[y])
-        while len(open_pairs):
-            i, j = int(x[open_pairs[0]]), int(y[open_pairs[0]])
-            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            open_pairs = open_pairs[1:]
-            if both >= need(len(sets[i]), len(sets[j]), percent):
-                found.append((i, j))
-                root[root == root[i]] = root[j]
-                open_pairs = open_pairs[root[x[open_pairs]] != root[y[open_pairs]]]
+            for x, y, sure in one.meet(two, percent):
+                yield names[0][at_a[x]], names[1][at_b[y]], sure
+
+
+def spanning(sizes: np.ndarray, bits: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Pairs that seem to link, no more than span the groups they form."""
+    root, found = np.arange(len(sizes)), []
+    for x, y, sure in meetings(sizes, bits, np.arange(len(sizes)), None, percent):
+        apart = np.flatnonzero(sure & (root[x] != root[y]))
+        while len(apart):
+            i, j = int(x[apart[0]]), int(y[apart[0]])
+            found.append((i, j))
+            root[root == root[i]] = root[j]
+            apart = apart[1:]
+            apart = apart[root[x[apart]] != root[y[apart]]]
     return found
 
 
@@ -173,7 +178,6 @@ def _prefix(shingles: np.ndarray, hot: np.ndarray, percent: int) -> np.ndarray:
 
 def join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """One row per document: doc_id, n_shingles, set_key (equal for equal sets, null if empty), component_id."""
-    spark = docs.sparkSession
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def outline(hot: np.ndarray):
@@ -182,103 +186,172 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
                 sets = shingle_sets(list(batch.text), k)
                 yield pd.DataFrame({
                     "doc_id": batch.doc_id.astype("Int64"), "n_shingles": [len(s) for s in sets],
-                    "set_key": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
+                    "set_key": [_key(s) if len(s) else None for s in sets],
+                    "bits": [bitmap(s, width_for(len(s))).tobytes() if len(s) else b"" for s in sets],
                     "prefix": [_prefix(s, hot, percent).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]})
         return make
 
-    kinds = "doc_id long, n_shingles long, set_key binary, prefix array<long>"
-    first = narrow.mapInPandas(outline(np.zeros(0, np.uint64)), kinds)
-    often = (first.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = shingle_sets(list(batch.text), k)
+            tokens, n = np.unique(np.concatenate([_prefix(s, _NONE, percent) if len(s) else _NONE for s in sets]), return_counts=True)
+            yield pd.DataFrame({"token": tokens.view(np.int64), "n": n})
+
+    often = (narrow.select("text").mapInPandas(heads, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
              .where(F.col("n") >= HOT_COUNT).orderBy(F.desc("n"), "token").limit(HOT).collect())
     hot = np.sort(np.array([r.token for r in often], np.int64).view(np.uint64))
-    rows = stage(narrow.mapInPandas(outline(hot), kinds), "outlines")
+    rows = stage(narrow.mapInPandas(outline(hot), "doc_id long, n_shingles long, set_key binary, bits binary, prefix array<long>"), "outlines")
 
     filled = rows.where("n_shingles > 0")
-    classes = stage(filled.groupBy("set_key").agg(F.min("doc_id").alias("low"), F.first("prefix").alias("prefix")), "classes")
-    tokens = classes.select(F.explode("prefix").alias("token")).groupBy("token").count().where("count > 1").select("token")
-    postings = stage(classes.select("set_key", F.explode("prefix").alias("token")).join(tokens, "token"), "postings")
-    wanted = postings.select("set_key").distinct()
-
-    # full sets only for classes that share a shingle; one row per class
-    def full(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sets = shingle_sets(list(batch.text), k)
-            yield pd.DataFrame({"set_key": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
-                                "shingles": [s.view(np.int64) for s in sets]})
-
-    members = wanted.join(classes.select("set_key", "low"), "set_key").select("low").distinct()
-    texts = narrow.alias("d").join(members.alias("m"), F.expr("d.doc_id <=> m.low"), "left_semi")
-    sets = texts.mapInPandas(full, "set_key binary, shingles array<long>")
-    sets = stage(sets.join(wanted, "set_key", "left_semi").dropDuplicates(["set_key"]), "sets")
-
-    edges = None
-    for pick in (F.min, F.max):
-        own = postings.groupBy("set_key").agg(pick("token").alias("token"))
-        crowd = own.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        own = own.join(crowd, "token").withColumn(
-            "block", F.pmod(F.xxhash64("set_key"), F.ceil(F.col("n") / F.lit(BLOCK)))).join(sets, "set_key")
-        found = own.groupBy("token", "block").applyInPandas(_near(percent), "a binary, b binary")
-        edges = found if edges is None else edges.unionByName(found)
-    edges = stage(edges.distinct(), "near")
+    prefixes = filled.groupBy("set_key").agg(F.first("prefix").alias("prefix")).select("set_key", F.explode("prefix").alias("token"))
+    token = Window.partitionBy("token")
+    shared = prefixes.withColumns({"k1": F.min("set_key").over(token), "k2": F.max("set_key").over(token)}).where("k1 <> k2")
+    postings = stage(shared.select("token", "set_key"), "postings")
+    maps = filled.groupBy("set_key").agg(F.first("n_shingles").alias("size"), F.first("bits").alias("bits"))
+
+    # most classes link within the groups of their smallest and largest shared shingle
+    own = postings.groupBy("set_key").agg(F.array_distinct(F.array(F.min("token"), F.max("token"))).alias("tokens"))
+    own = stage(own.join(maps, "set_key").select("set_key", "size", "bits", F.explode("tokens").alias("token")), "own")
+    crowd = own.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    own = own.join(crowd, "token").withColumn("block", F.pmod(F.xxhash64("set_key"), F.ceil(F.col("n") / F.lit(BLOCK))))
+    near = map_groups(own.select("token", "block", "set_key", "size", "bits"), ["token", "block"], _span(percent), "a binary, b binary")
+    edges = stage(_verified(narrow, near.distinct(), k, percent), "near")
     roots = components(edges)
 
-    # meetings of different components, by bitmaps
+    # what still meets are different components; blocks of one shingle meet block by block
     named = stage(postings.join(roots, F.col("set_key") == F.col("node"), "left").select(
         "token", "set_key", F.coalesce("root", "set_key").alias("root")), "named")
-    mixed = named.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2")
+    mark = F.xxhash64("set_key")
+    mixed = named.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r1"), F.max("root").alias("r2"), F.bit_xor(mark).alias("m1"),
+                                       F.sum(mark.cast("decimal(38,0)")).alias("m2")).where("r1 <> r2")
+    # shingles with the same classes (a passage has many) meet once
+    mixed = mixed.groupBy("n", "r1", "r2", "m1", "m2").agg(F.min("token").alias("token"))
     open_ = named.join(mixed.select("token", "n"), "token").withColumn("blocks", F.ceil(F.col("n") / F.lit(BLOCK)))
     open_ = open_.withColumn("own", F.pmod(F.xxhash64("set_key"), F.col("blocks")))
     open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     open_ = open_.select("token", "set_key", "root", "own", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"))
-    maps = stage(sets.mapInPandas(_maps, "set_key binary, size long, bits binary"), "bitmaps")
-    pairs = open_.join(maps, "set_key").groupBy("token", "one", "two").applyInPandas(_may_link(percent), "a binary, b binary")
-    pairs = stage(pairs.distinct(), "pairs")
-    exact = (pairs.join(sets.select(F.col("set_key").alias("a"), F.col("shingles").alias("sa")), "a")
-             .join(sets.select(F.col("set_key").alias("b"), F.col("shingles").alias("sb")), "b")
-             .withColumn("both", F.size(F.array_intersect("sa", "sb")))
-             .where(f"100 * both >= {percent} * (size(sa) + size(sb) - both)").select("a", "b"))
-    roots = components(stage(edges.unionByName(exact), "links"))
-
-    named_classes = classes.join(roots, F.col("set_key") == F.col("node"), "left").select(
+    # a pair counts where its smallest common shingle is, so it comes out once
+    lists = open_.groupBy("set_key").agg(F.sort_array(F.collect_set("token")).alias("tokens"))
+    pairs = map_groups(open_.join(maps, "set_key").join(lists, "set_key"), ["token", "one", "two"], _may_link(percent), "a binary, b binary")
+    more = _verified(narrow, pairs.distinct(), k, percent)
+    roots = components(stage(edges.unionByName(more), "links"))
+
+    named_classes = filled.groupBy("set_key").agg(F.min("doc_id").alias("low"))
+    named_classes = named_classes.join(roots, F.col("set_key") == F.col("node"), "left").select(
         "set_key", "low", F.coalesce("root", "set_key").alias("root"))
     lowest = named_classes.groupBy("root").agg(F.min("low").alias("component_id"))
     final = named_classes.join(lowest, "root").select("set_key", "component_id")
-    return rows.join(final, "set_key", "left").select(
+    return rows.select("doc_id", "n_shingles", "set_key").join(final, "set_key", "left").select(
         "doc_id", "n_shingles", "set_key", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _near(percent: int):
-    def near(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("set_key")
-        keys, sets = list(group.set_key), [np.asarray(s, np.int64).view(np.uint64) for s in group.shingles]
-        found = link_sets(sets, percent)
-        return pd.DataFrame({"a": [keys[i] for i, _ in found], "b": [keys[j] for _, j in found]})
-    return near
+_NONE = np.zeros(0, np.uint64)
+SIEVE = 24       # bits of a class key in the fixed bitmap (2 MB) of classes whose sets are wanted
+
+
+def _key(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
+def _verified(narrow: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that link, by their whole sets.
+
+    A bitmap of fixed size keeps most sets that no pair asks for out of the shuffle; the join decides.
+    """
+    pairs = stage(pairs, "pairs")
+    wanted = pairs.select(F.col("a").alias("set_key")).unionByName(pairs.select(F.col("b").alias("set_key"))).distinct()
+    at = F.conv(F.hex(F.substring("set_key", 1, SIEVE // 8)), 16, 10).cast("long") + 1     # buckets are numbered from 1
+    parts = (wanted.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("part"))
+             .agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect())
+    sieve = np.zeros((1 << SIEVE) // 8, np.uint8)
+    for r in parts:      # 2**15 bits each
+        sieve[(r.part - 1) * 4096:r.part * 4096] |= np.frombuffer(bytes(r.bits), np.uint8)
+    shared = narrow.sparkSession.sparkContext.broadcast(sieve)
+
+    def full(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = shared.value
+        for batch in batches:
+            keys, packed = [], []
+            for s in shingle_sets(list(batch.text), k):
+                if len(s):
+                    key = _key(s)
+                    at = int.from_bytes(key[:SIEVE // 8])
+                    if bits[at >> 3] >> (at & 7) & 1:
+                        keys.append(key)
+                        packed.append(s.tobytes())
+            yield pd.DataFrame({"set_key": keys, "shingles": packed})
+
+    sets = narrow.select("text").mapInPandas(full, "set_key binary, shingles binary").groupBy("set_key").agg(F.first("shingles").alias("shingles"))
+    sets = stage(sets.join(wanted, "set_key", "left_semi"), "sets")
+    both = (pairs.join(sets.select(F.col("set_key").alias("a"), F.col("shingles").alias("sa")), "a")
+            .join(sets.select(F.col("set_key").alias("b"), F.col("shingles").alias("sb")), "b"))
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            links = []
+            for one, two in zip(batch.sa, batch.sb, strict=True):
+                x, y = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
+                links.append(len(np.intersect1d(x, y, assume_unique=True)) >= need(len(x), len(y), percent))
+            yield batch.loc[links, ["a", "b"]]
+
+    return both.mapInPandas(check, "a binary, b binary")
+
+
+def _span(percent: int):
+    def span(group: dict[str, np.ndarray]) -> dict[str, list] | None:
+        if len(group["set_key"]) < 2:
+            return None
+        keys, sizes, bits, _ = _classes(group)
+        found = spanning(sizes, bits, percent)
+        return {"a": [min(keys[i], keys[j]) for i, j in found], "b": [max(keys[i], keys[j]) for i, j in found]}
+    return span
 
 
-def _maps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        sets = [np.asarray(s, np.int64).view(np.uint64) for s in batch.shingles]
-        yield pd.DataFrame({"set_key": batch.set_key, "size": [len(s) for s in sets],
-                            "bits": [bitmap(s, width_for(len(s))).tobytes() for s in sets]})
+def _classes(group: dict[str, np.ndarray]):
+    """Keys in order, sizes, bitmaps, and the order taken."""
+    order = sorted(range(len(group["set_key"])), key=group["set_key"].__getitem__)
+    keys = [group["set_key"][i] for i in order]
+    return keys, group["size"][order], [np.frombuffer(group["bits"][i], np.uint64) for i in order], order
 
 
 def _may_link(percent: int):
-    def may(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("set_key").sort_values("set_key").reset_index(drop=True)
-        sizes, bits = group["size"].to_numpy(np.int64), [np.frombuffer(b, np.uint64) for b in group.bits]
-        root = pd.factorize(group.root)[0]
-        one, two = int(group.one.iloc[0]), int(group.two.iloc[0])
-        left, right = np.flatnonzero(group.own == one), None if one == two else np.flatnonzero(group.own == two)
+    def may(group: dict[str, np.ndarray]) -> dict[str, list] | None:
+        one, two = int(group["one"][0]), int(group["two"][0])
+        if len(group["set_key"]) < 2 or len(set(group["root"])) < 2:
+            return None
+        keys, sizes, bits, order = _classes(group)
+        root = np.unique([group["root"][i] for i in order], return_inverse=True)[1]
+        own, token = group["own"][order], int(group["token"][0])
+        lists = [set(group["tokens"][i].tolist()) for i in order]
+
+        def here(i: int, j: int) -> bool:
+            return min(lists[i] & lists[j]) == token
+
+        if len(keys) <= FAN and one == two:      # a leaf of the tree meets itself
+            a, b = [], []
+            for i in range(len(keys)):
+                for j in range(i):
+                    least = need(int(sizes[i]), int(sizes[j]), percent)
+                    if root[i] == root[j] or min(sizes[i], sizes[j]) < least:
+                        continue
+                    words = min(len(bits[i]), len(bits[j]))
+                    x, y = fold(bits[i], words), fold(bits[j], words)
+                    common = int(np.bitwise_count(x & y).sum())
+                    hidden = min(sizes[i] - int(np.bitwise_count(x).sum()), sizes[j] - int(np.bitwise_count(y).sum()))
+                    if hidden + common >= least and here(i, j):
+                        a.append(keys[j])
+                        b.append(keys[i])
+            return {"a": a, "b": b}
+        left, right = np.flatnonzero(own == one), None if one == two else np.flatnonzero(own == two)
         a, b = [], []
         if len(left) and (right is None or len(right)):
-            for x, y in meetings(sizes, bits, left, right, percent):
+            for x, y, _ in meetings(sizes, bits, left, right, percent):
                 apart = root[x] != root[y]
-                a.append(np.minimum(x[apart], y[apart]))
-                b.append(np.maximum(x[apart], y[apart]))
-        a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
-        keys = group.set_key.to_numpy()
-        return pd.DataFrame({"a": keys[a], "b": keys[b]})
+                for i, j in zip(np.minimum(x, y)[apart].tolist(), np.maximum(x, y)[apart].tolist(), strict=True):
+                    if here(i, j):
+                        a.append(keys[i])
+                        b.append(keys[j])
+        return {"a": a, "b": b}
     return may
 
 
@@ -287,8 +360,12 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one row per component (its smallest doc_id; repeats of that row are one); empty texts all stay."""
-    found = join(docs, k, percent).where("n_shingles = 0 or doc_id <=> component_id")
-    few = found.groupBy("doc_id").agg(F.max((F.col("n_shingles") == 0).cast("int")).alias("_empty"))
-    kept = docs.alias("d").join(few.alias("f"), F.expr("d.doc_id <=> f.doc_id")).select("d.*", "_empty")
-    return kept.where("_empty = 1").drop("_empty").unionByName(kept.where("_empty = 0").drop("_empty").dropDuplicates(["doc_id"]))
+    """``docs`` with the document of smallest doc_id of each component; texts without a word all stay.
+
+    Of rows equal in doc_id and text one stays; rows of one doc_id with different texts are not told apart as to the id.
+    """
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    kept = join(docs, k, percent).where("n_shingles > 0 and doc_id <=> component_id").select(name.alias("_keep_id")).distinct()
+    has_word = F.coalesce(F.col("text"), F.lit("")).rlike(WORD)
+    filled = docs.where(has_word).withColumn("_keep_id", name).join(kept, "_keep_id", "left_semi")
+    return filled.dropDuplicates(["_keep_id", "text"]).select(*docs.columns).unionByName(docs.where(~has_word))

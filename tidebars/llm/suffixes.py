@@ -266,12 +266,11 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     contexts = stage(texts.mapInPandas(cut, "gram long, crowd long, n long, text_key binary, place long, low long, high long, context binary"), "contexts")
 
-    def sort(group: pd.DataFrame) -> pd.DataFrame | None:
-        low = group.low.to_numpy()
-        runs = repeated_starts(list(group.context), (group.place.to_numpy() - low).tolist(), [0] * len(group),
-                               (group.high.to_numpy() - low).tolist(), length)
-        found = [(key, a + int(base), b + int(base)) for key, base, own in zip(group.text_key, low, runs, strict=True) for a, b in own]
-        return pd.DataFrame(found, columns=["text_key", "low", "high"]) if found else None
+    def sort(group: dict[str, np.ndarray]) -> dict[str, list] | None:
+        low = group["low"]
+        runs = repeated_starts(list(group["context"]), (group["place"] - low).tolist(), [0] * len(low), (group["high"] - low).tolist(), length)
+        found = [(key, a + base, b + base) for key, base, own in zip(group["text_key"], low.tolist(), runs, strict=True) for a, b in own]
+        return dict(zip(("text_key", "low", "high"), map(list, zip(*found, strict=True)), strict=True)) if found else None
 
     few = map_groups(contexts.where(F.col("crowd") <= CROWD), ["gram"], sort, "text_key binary, low long, high long")
     return whole.unionByName(few).unionByName(_crowded(contexts.where(F.col("crowd") > CROWD), length))
