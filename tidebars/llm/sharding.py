@@ -2,7 +2,7 @@
 
 Rows with equal texts are linked. Rows start in a hashed shard; in every round each group of linked rows moves towards
 the shard that holds most of it, within what room that shard has left, larger groups first. Rows of one group in one
-shard are interchangeable, so rounds join and sum cells (group, shard, rows), never pairs. At last each shard keeps
+shard are interchangeable, so rounds, which end when one changes nothing (or after as many as there are shards), join and sum cells (group, shard, rows), never pairs. At last each shard keeps
 its quota, linked rows first, and the rows beyond it fill the shards that have room: counts differ by one at most
 (law ``rows``), and a group is cut only where it exceeds a quota.
 
@@ -18,7 +18,6 @@ from tidebars.llm.common import running_totals, tiles_for
 from tidebars.session import stage
 
 SHARDS = 24
-ROUNDS = 3
 
 
 def propagate(cells: DataFrame, cap: int, tiles: int) -> DataFrame:
@@ -44,7 +43,7 @@ def propagate(cells: DataFrame, cap: int, tiles: int) -> DataFrame:
     return stage(both.groupBy("g", "shard").agg(F.sum("n").alias("n")).where("n > 0"), "cells")
 
 
-def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def assign(docs: DataFrame, shards: int = SHARDS, rounds: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, g (the group), shard, slot for every row."""
     text = F.col("text").cast("binary")
     rows = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
@@ -56,16 +55,21 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataF
     cells = rows.groupBy("g", F.col("start").alias("shard")).agg(F.count(F.lit(1)).alias("n"))
     linked = cells.groupBy("g").agg(F.sum("n").alias("n")).where("n > 1").select("g")
     cells = stage(cells.join(linked, "g", "left_semi"), "cells")
-    for _ in range(rounds):
-        cells = propagate(cells, cap, tiles)
+    seen = None
+    for _ in range(rounds or shards):
+        mark = cells.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("g", "shard", "n"))).first()
+        if mark == seen:
+            break
+        seen, cells = mark, propagate(cells, cap, tiles)
 
     # linked rows take the places of their group's cells by rank
     spans = running_totals(cells, ["g"], ["shard"], {"low": F.col("n")}, 1)
     spans = spans.select("g", F.struct("low", (F.col("low") + F.col("n")).alias("high"), "shard").alias("span"))
     spans = spans.groupBy("g").agg(F.collect_list("span").alias("spans"))      # one per shard at most
-    rows = rows.join(spans, "g", "left")
+    # both sides are plain tables, so that a hot group can be split
+    rows = stage(rows.join(stage(spans, "spans"), "g", "left"), "placed")
     lone = rows.where("spans is null").select("doc_id", "size", "text_crc32", "g", F.col("start").alias("shard"), F.lit(1).alias("lone"))
-    tied = running_totals(stage(rows.where("spans is not null"), "linked"), ["g"], ["doc_id", "start"], {"rank": F.lit(1)}, tiles)
+    tied = running_totals(rows.where("spans is not null"), ["g"], ["doc_id", "start"], {"rank": F.lit(1)}, tiles)
     tied = tied.withColumn("shard", F.expr("filter(spans, x -> rank >= x.low and rank < x.high)[0].shard"))
     tied = tied.select("doc_id", "size", "text_crc32", "g", "shard", F.lit(0).alias("lone"))
     wanted = stage(tied.unionByName(lone), "wanted")
