@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -77,6 +78,28 @@ def components(edges: DataFrame) -> DataFrame:
         roots.select("node", F.col("node").alias("root")))
 
 
+SIEVE = 24       # bits of a key in the fixed bitmap (2 MB)
+
+
+def sieve(keys: DataFrame, column: str) -> Broadcast:
+    """A bitmap of fixed size of hashed binary ``keys``; ``in_sieve`` tells keys that are surely not among them.
+
+    It keeps rows that nothing asks for out of a shuffle; a join must decide. Full, it lets everything through.
+    """
+    at = F.conv(F.hex(F.substring(column, 1, SIEVE // 8)), 16, 10).cast("long") + 1     # buckets are numbered from 1
+    parts = (keys.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("part"))
+             .agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect())
+    bits = np.zeros((1 << SIEVE) // 8, np.uint8)
+    for r in parts:      # 2**15 bits each
+        bits[(r.part - 1) * 4096:r.part * 4096] |= np.frombuffer(bytes(r.bits), np.uint8)
+    return keys.sparkSession.sparkContext.broadcast(bits)
+
+
+def in_sieve(bits: np.ndarray, key: bytes) -> bool:
+    at = int.from_bytes(key[:SIEVE // 8])
+    return bool(bits[at >> 3] >> (at & 7) & 1)
+
+
 def map_groups(df: DataFrame, keys: list[str], fn: Callable[[dict[str, np.ndarray]], dict[str, list] | None], schema: str) -> DataFrame:
     """``fn`` over the rows of each key, given and returned as columns, in one stream per partition: small groups are cheap.
 

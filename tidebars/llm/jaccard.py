@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidebars.llm.common import WORD, components, map_groups
+from tidebars.llm.common import WORD, components, in_sieve, map_groups, sieve
 from tidebars.llm.shingles import shingle_sets
 from tidebars.session import stage
 
@@ -246,7 +246,6 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
 
 
 _NONE = np.zeros(0, np.uint64)
-SIEVE = 24       # bits of a class key in the fixed bitmap (2 MB) of classes whose sets are wanted
 
 
 def _key(shingles: np.ndarray) -> bytes:
@@ -260,13 +259,7 @@ def _verified(narrow: DataFrame, pairs: DataFrame, k: int, percent: int) -> Data
     """
     pairs = stage(pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("set_key")).unionByName(pairs.select(F.col("b").alias("set_key"))).distinct()
-    at = F.conv(F.hex(F.substring("set_key", 1, SIEVE // 8)), 16, 10).cast("long") + 1     # buckets are numbered from 1
-    parts = (wanted.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("part"))
-             .agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect())
-    sieve = np.zeros((1 << SIEVE) // 8, np.uint8)
-    for r in parts:      # 2**15 bits each
-        sieve[(r.part - 1) * 4096:r.part * 4096] |= np.frombuffer(bytes(r.bits), np.uint8)
-    shared = narrow.sparkSession.sparkContext.broadcast(sieve)
+    shared = sieve(wanted, "set_key")
 
     def full(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = shared.value
@@ -275,8 +268,7 @@ def _verified(narrow: DataFrame, pairs: DataFrame, k: int, percent: int) -> Data
             for s in shingle_sets(list(batch.text), k):
                 if len(s):
                     key = _key(s)
-                    at = int.from_bytes(key[:SIEVE // 8])
-                    if bits[at >> 3] >> (at & 7) & 1:
+                    if in_sieve(bits, key):
                         keys.append(key)
                         packed.append(s.tobytes())
             yield pd.DataFrame({"set_key": keys, "shingles": packed})
