@@ -159,15 +159,17 @@ class Network:
 
 
 def sample(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
-    """The ``per_lang`` labelled rows of each language with the lowest hashes (all rows if there are fewer).
+    """The ``per_lang`` labelled texts of each language with the lowest hashes (all if there are fewer), copies once.
 
     Hash cutoffs come from counts, so no language is sorted in one task; a cutoff lets about half as many more through,
     and the collector drops those.
     """
     labelled = docs.where("lang is not null and text is not null").select("text", "lang", F.xxhash64("text").alias("draw"))
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    cut = F.least(F.lit(1.0), F.lit(1.5 * per_lang + 20) / F.col("n"))
-    return labelled.join(counts, "lang").where(F.pmod("draw", F.lit(1 << 30)) <= cut * F.lit(float(1 << 30)))
+    counts = labelled.groupBy("lang").count().collect()      # the network has an output for each of them
+    if not counts:
+        return labelled
+    cut = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(int(min(1.0, (1.5 * per_lang + 20) / r["count"]) * (1 << 30))))))
+    return labelled.where(F.pmod("draw", F.lit(1 << 30)) <= cut[F.col("lang")]).dropDuplicates(["lang", "draw"])
 
 
 def fit(docs: DataFrame, per_lang: int = PER_LANG) -> tuple[list[str], Network | None]:
