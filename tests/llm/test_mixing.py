@@ -65,6 +65,19 @@ def test_words_come_near_targets(spark):
     assert sorted(rows) == sorted(mixing.mix(df.repartition(2)).collect())
 
 
+def test_reported_words_come_near_targets(spark):
+    """The report gives words, so its sums per source are the target without any factor."""
+    texts = [(i, "w " * (1 + i % 17), ["a", "b", "Z", "é", None][i % 5]) for i in range(400)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    taken, target = Counter(), {}
+    for r in mixing.report(df).collect():
+        source = texts[r.doc_id][2]
+        taken[source] += r.taken
+        target[source] = r.target
+        assert r.taken % r.size == 0
+    assert len(target) == 5 and all(abs(taken[s] - t) <= 1 for s, t in target.items())
+
+
 def test_repeat_follows_the_mix(spark):
     texts = [(i, "w " * (1 + i % 7), ["a", "b"][i % 2]) for i in range(100)] + [(5, "w " * 6, "b")] * 3
     df = spark.createDataFrame(texts, "doc_id long, text string, source string")

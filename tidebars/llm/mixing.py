@@ -139,7 +139,9 @@ def mix(docs: DataFrame, share: float = SHARE, most: float = MOST, weights: tupl
 
 
 def report(docs: DataFrame) -> DataFrame:
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    """``taken`` in words, repeats counted, as ``target`` is; ``mix`` and ``repeat`` count copies."""
+    words = (F.col("size") * F.col("taken")).cast("long")
+    return mix(docs).select("doc_id", "size", "source_size", "target", words.alias("taken"))
 
 
 def row_hash(docs: DataFrame) -> Column:
