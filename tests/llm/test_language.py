@@ -43,6 +43,18 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in found)
 
 
+def test_sample_counts_texts_not_copies(spark):
+    """Copies neither thin out the sample nor empty it, and words beyond long blanks are learned from."""
+    rows = [(f"{WORDS['en'][i % 9]} number {i}", "en") for i in range(300) for _ in range(40)]
+    rows += [(f"{WORDS['de'][i]} zahl", "de") for i in range(5) for _ in range(2000)]
+    rows += [(" " * 5000 + f"palabra {i}", "es") for i in range(3)]
+    drawn = language.sample(spark.createDataFrame(rows, "text string, lang string").repartition(4)).collect()
+    assert {lang: sum(r.lang == lang for r in drawn) for lang in WORDS} == {"en": 300, "de": 5, "es": 3}
+    langs, network = language.fit(spark.createDataFrame(rows, "text string, lang string"))
+    assert langs == ["de", "en", "es"] and network is not None
+    assert {bytes(r.words[0]) for r in drawn if r.lang == "es"} == {b"palabra"}
+
+
 def test_labels_of_held_out_rows_do_not_matter(spark):
     rows = texts(200)
     changed = [(d, t, "zz" if zlib.crc32(str(d).encode()) % 3 == 1 else lang) for d, t, lang in rows]

@@ -159,30 +159,44 @@ class Network:
 
 
 def sample(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
-    """The ``per_lang`` labelled texts of each language with the lowest hashes (all if there are fewer), copies once.
+    """lang, draw and the first ``WORDS`` segments of the ``per_lang`` labelled texts of each language with the lowest hashes (all if
+    there are fewer), copies once.
 
-    Hash cutoffs come from counts, so no language is sorted in one task; a cutoff lets about half as many more through,
-    and the collector drops those.
+    Hash cutoffs come from counts of different texts, for which hashes move and no text, so no language is sorted in one task; a
+    cutoff lets about half as many more through, and the collector drops those. Texts are cut into segments in the tasks.
     """
     labelled = docs.where("lang is not null and text is not null").select("text", "lang", F.xxhash64("text").alias("draw"))
-    counts = labelled.groupBy("lang").count().collect()      # the network has an output for each of them
+    counts = labelled.select("lang", "draw").distinct().groupBy("lang").count().collect()      # the network has an output for each
+    schema = "lang string, draw long, words array<binary>"
     if not counts:
-        return labelled
+        return docs.sparkSession.createDataFrame([], schema)
     cut = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(int(min(1.0, (1.5 * per_lang + 20) / r["count"]) * (1 << 30))))))
-    return labelled.where(F.pmod("draw", F.lit(1 << 30)) <= cut[F.col("lang")]).dropDuplicates(["lang", "draw"])
+    drawn = labelled.where(F.pmod("draw", F.lit(1 << 30)) <= cut[F.col("lang")])
+
+    def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = set()      # no more than are drawn
+        for batch in batches:
+            rows = []
+            for text, lang, draw in zip(batch.text, batch.lang, batch.draw, strict=True):
+                if (lang, draw) not in seen:
+                    seen.add((lang, draw))
+                    rows.append((lang, draw, segments(text)[:WORDS]))
+            yield pd.DataFrame(rows, columns=["lang", "draw", "words"])
+
+    return drawn.mapInPandas(cut_up, schema).dropDuplicates(["lang", "draw"])
 
 
 def fit(docs: DataFrame, per_lang: int = PER_LANG) -> tuple[list[str], Network | None]:
     """Languages and a network learned from the labelled rows of ``docs`` (text, lang)."""
-    drawn = sample(docs, per_lang).withColumn("text", F.substring("text", 1, WORDS * 12)).toPandas()
+    drawn = sample(docs, per_lang).toPandas()
     if drawn.empty:
         return [], None
     drawn["place"] = drawn.draw % (1 << 30)
-    drawn = drawn.sort_values(["lang", "place", "text"]).groupby("lang").head(per_lang)
+    drawn = drawn.sort_values(["lang", "place", "draw"]).groupby("lang").head(per_lang)
     langs = sorted(drawn.lang.unique())
     words, labels = [], []
-    for text, lang in zip(drawn.text, drawn.lang, strict=True):
-        own = segments(text)[:WORDS]
+    for found, lang in zip(drawn.words, drawn.lang, strict=True):
+        own = [bytes(w) for w in found]
         words += own
         labels += [langs.index(lang)] * len(own)
     if not words:
