@@ -56,6 +56,23 @@ def test_checksums_and_context_decide_added_spans(spark):
     assert found == {1: "iban:5:32", 2: "", 3: "local_phone:5:17", 4: "", 5: "short_card:10:25", 6: "", 7: ""}
 
 
+def test_iban_ends_where_its_country_says(spark):
+    rows = [(1, "DE89370400440532013000 Please pay"), (2, "iban DE89370400440532013000 I"), (3, "to DE89 3704 0044 0532 0130 00 NOW bank"),
+            (4, "konto NO9386011117947, GB82 WEST 1234 5698 7654 32 A1"), (5, "iban DE8937040044053201300 0X"), (6, "bank MT84MALT011000012345MTLCAST001S 7")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.spans for r in pii.report(df).collect()}
+    assert found == {1: "iban:0:22", 2: "iban:5:27", 3: "iban:3:30", 4: "iban:6:21,iban:23:50", 5: "", 6: "iban:5:36"}
+    assert {r.doc_id: r.text for r in pii.mask(df).collect()}[1] == "<IBAN> Please pay"
+
+
+def test_context_reaches_over_other_matches(spark):
+    rows = [(1, "Phone: 555-123-4567, 555-234-5678"), (2, "555-123-4567, 555-234-5678 by phone"), (3, "card 378282246310005, 378282246310005"),
+            (4, "phone" + " x" * 25 + " 555-123-4567, 555-234-5678"), (5, "Phone: 1 2, 3; 555-123-4567, 12 555-234-5678" + " y" * 20 + " 555-234-5678")]
+    found = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1: "local_phone:7:19,local_phone:21:33", 2: "local_phone:0:12,local_phone:14:26", 3: "short_card:5:20,short_card:22:37",
+                     4: "", 5: "local_phone:15:27,local_phone:32:44"}
+
+
 def test_mask_replaces_every_span(spark):
     rows = [(1, "to a@b.co or +49 123 456789, 10.0.0.1; iban GB82WEST12345698765432."), (2, None), (3, "clean 12 text")]
     got = [r.text for r in pii.mask(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()]

@@ -2,7 +2,8 @@
 
 A regular expression proposes spans per kind, a checksum or a range test confirms them, and context words beside a
 span raise or lower its score. Base kinds (email, ip, card, phone) are kept when confirmed, whatever their score;
-added kinds (iban, short_card, local_phone) are kept from ``MIN_SCORE`` on.
+added kinds (iban, short_card, local_phone) are kept from ``MIN_SCORE`` on. An IBAN has the length of its country, in capitals,
+with or without single blanks.
 
 Null text counts as empty and has no spans. Spans of one kind never overlap; spans of different kinds may. Ties and
 repeated rows give equal rows; other columns of the input are ignored. Texts of any length take linear time: the
@@ -43,6 +44,15 @@ _MOD97 = (
     "else (acc * 100 + ascii(c) - 55) % 97 end) = 1"
 )
 
+#: Countries by the length of their IBANs.
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST",
+    26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_IBAN = "|".join(f"(?:{names.replace(' ', '|')})[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{n - 4}}}" for n, names in _IBAN_LENGTHS.items())
+
 KINDS = (
     Kind("email", "contains(text, '@')",
          r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -57,7 +67,7 @@ KINDS = (
     Kind("phone", "contains(text, '+')", r"\+[0-9][\x20().0-9-]+[0-9]",
          f"length({_digits('m')}) between 8 and 15", 0.5, "phone|tel|call|mobile|telefon"),
     Kind("iban", "text rlike '[A-Z][A-Z][0-9][0-9] ?[A-Z0-9]'",
-         r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", _MOD97, 0.5,
+         rf"(?<![A-Za-z0-9])(?:{_IBAN})(?![A-Za-z0-9])", _MOD97, 0.5,
          "iban|konto|account|cuenta|compte|bank", False),
     Kind("short_card", "text rlike '[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9]'",
          r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++",
@@ -78,11 +88,20 @@ def _found(kind: Kind) -> Column:
 
 
 def _scored(kind: Kind) -> str:
-    """SQL: an array of (gap before, length, kept) for the matches in f, whose surroundings are the pieces in g."""
-    score = (f"{kind.prior} + case when lower(concat(right(b, {CONTEXT}), ' ', left(a, {CONTEXT}))) rlike "
-             f"{_lit(f'(?<![a-z])(?:{kind.words})')} then 0.3 else 0.0 end")
-    kept = f"({kind.valid})" if kind.base else f"({kind.valid}) and {score} >= {MIN_SCORE}"
-    body = f"named_struct('gap', length(b), 'len', length(m), 'kept', {kept}, 'score', {score})"
+    """SQL: an array of (gap before, length, kept, score) for the matches in f, whose surroundings are the pieces in g.
+
+    The context is the text next to a span, earlier and later matches in it; only confirmed spans are scored.
+    """
+    near = CONTEXT // 2     # a match and the gap beside it: of these, 40 characters hold 20 at most
+    before = (f"case when length(b) >= {CONTEXT} or i = 0 then right(b, {CONTEXT}) else right(concat(array_join(transform(sequence(greatest(i - {near}, 0), i - 1), "
+              f"j -> concat(right(g[j], {CONTEXT}), right(f[j], {CONTEXT}))), ''), b), {CONTEXT}) end")
+    after = (f"case when length(a) >= {CONTEXT} or i = size(f) - 1 then left(a, {CONTEXT}) else left(concat(a, array_join(transform("
+             f"sequence(i + 1, least(i + {near}, size(f) - 1)), j -> concat(left(f[j], {CONTEXT}), left(g[j + 1], {CONTEXT}))), '')), {CONTEXT}) end")
+    score = (f"case when v then {kind.prior} + case when lower(concat({before}, ' ', {after})) rlike "
+             f"{_lit(f'(?<![a-z])(?:{kind.words})')} then 0.3 else 0.0 end else 0.0 end")
+    kept = "v" if kind.base else f"v and s >= {MIN_SCORE}"
+    body = f"named_struct('gap', length(b), 'len', length(m), 'kept', {kept}, 'score', s)"
+    body = f"element_at(transform(array({kind.valid}), v -> element_at(transform(array({score}), s -> {body}), 1)), 1)"
     body = f"element_at(transform(array(f[i]), m -> element_at(transform(array(g[i]), b -> element_at(transform(array(g[i + 1]), a -> {body}), 1)), 1)), 1)"
     return f"transform(sequence(0, size(f) - 1), i -> {body})"
 
