@@ -13,7 +13,7 @@ from tidebars.session import stage
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a language go: null, or without a letter."""
+    """Texts without a language go: null, or without a letter; a missing language is filled in."""
     set_up(spark)
     return language.known(docs)
 

@@ -62,6 +62,19 @@ def test_labels_of_held_out_rows_do_not_matter(spark):
     assert a == b
 
 
+def test_known_keeps_unlabelled_texts_and_fills_labels(spark):
+    """Without any label the texts with a letter stay; otherwise missing labels, and only those, come from the network."""
+    schema = "doc_id long, text string, lang string, score double"
+    bare = [(1, "some text", None, 0.5), (2, "12 + 3", None, 0.5), (3, None, None, 0.5), (4, "ß", None, 0.5), (5, "", None, 0.5)]
+    assert sorted(map(tuple, language.known(spark.createDataFrame(bare, schema)).collect())) == [bare[0], bare[3]]
+    full = [(d, t, lang, 0.5) for d, t, lang in texts(300)]
+    rows = [(d, t, None if d % 5 == 0 else "es" if d == 1 else lang, s) for d, t, lang, s in full]
+    got = {r.doc_id: r for r in language.known(spark.createDataFrame(rows + [(900, "1 2", None, 0.5)], schema)).collect()}
+    assert set(got) == set(range(300)) and all(r.score == 0.5 for r in got.values())
+    assert all(got[d].lang == lang for d, _, lang, _ in rows if lang)
+    assert sum(got[d].lang == full[d][2] for d in range(0, 300, 5)) >= 57
+
+
 def test_pooled_words_do_not_depend_on_the_batch():
     net = language.Network(4)
     words = language.segments("some words of different length, größer " + "z" * 100)

@@ -253,6 +253,16 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def known(docs: DataFrame) -> DataFrame:
-    """``docs`` without texts that have no language (null, or no letter)."""
+    """``docs`` without texts that have no language (null, or no letter); a missing ``lang`` is filled with what the network finds.
+
+    If nothing could be learned, ``lang`` stays as it is and the texts with a letter stay all the same.
+    """
     langs, network = fit(docs.select("text", "lang"))
-    return label(docs, langs, network).where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    if network is None:
+        @F.pandas_udf("boolean")
+        def lettered(texts: pd.Series) -> pd.Series:
+            return pd.Series([bool(t) and has_letter(t) for t in texts], dtype=bool)
+
+        return docs.where(lettered("text"))
+    found = label(docs.select(F.struct(*docs.columns).alias("_row"), "text"), langs, network).where(F.col("lang_pred") != UNKNOWN)
+    return found.select(*((F.coalesce(F.col("_row")[c], "lang_pred") if c == "lang" else F.col("_row")[c]).alias(c) for c in docs.columns))
