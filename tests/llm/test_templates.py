@@ -15,6 +15,15 @@ def test_single_pages(page, text):
     assert templates.main_text(page, None) == text
 
 
+@pytest.mark.parametrize("page", [
+    "<body class='has-sidebar'><p>the text<div class='site-footer'>f</div>", "<body class='with-nav sidebar'><p>the text</body>",
+    "<body><article class='post no-comments'><p>the text</article><div class='cookie-notice'>c</div>",
+    "<body><div class='content-header'><p>the text</div><div class='sidebar-left'>s</div>", "<div class='widget'><p>the text</div><p class=x></p><div class=ad>ad</div>",
+])
+def test_names_that_only_mention_something_unwanted(page):
+    assert templates.main_text(page, None) == "the text"
+
+
 def test_template_of_a_host(spark):
     """Without telling names, the element that holds most slot text on the host is found, also where a page has more text elsewhere."""
     def page(i, body, side="short"):

@@ -13,7 +13,8 @@ a single page) the same choice is made on the page's own elements.
 
 Null or empty html gives an empty text. Host is the part of url between // and the next / (null: one host of its own). Character references are decoded,
 white space within a block is one blank, blocks are joined by a line feed; whole blocks in unwanted elements are left out and nothing
-else is dropped. A heading inside the element is a block. Repeated rows give equal rows; other columns are ignored.
+else is dropped. An element is unwanted by its tag, or by a class, id or role that says so as a whole, unless it holds most of the page's
+slot text; html, body, main and article are never judged by their names. A heading inside the element is a block. Repeated rows give equal rows; other columns are ignored.
 """
 from __future__ import annotations
 
@@ -37,10 +38,14 @@ INLINE = ("a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "dat
 #: Blocks that a following block closes.
 LEAF = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "tr", "td", "th", "option", "pre", "blockquote", "figcaption", "caption", "summary")
 UNWANTED = ("nav", "footer", "aside", "form", "button", "dialog", "menu", "head")
+# A class, id or role says so as a whole: its parts are names of what is unwanted, or of places, one of the first at least.
 _NAMES = re.compile(
-    r"(?:^|[-_\s])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|notification|alert|menu|nav\w*|sidebar|side|"
+    r"(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|notification|alert|menu|nav\w*|sidebar|side|"
     r"comments?|replies|reply|discussion|disqus|respond|share|sharing|social|related|recommend\w*|subscribe|newsletter|signup|login|popup|modal|"
-    r"breadcrumbs?|footer|header|masthead|toolbar|pagination|pager|widget)(?:$|[-_\s\d])", re.I)
+    r"breadcrumbs?|footer|header|masthead|toolbar|pagination|pager|widget)\d*", re.I)
+_PLACES = re.compile(r"(?:\d+|site|main|global|top|bottom|left|right|primary|secondary|list|box|bar|area|block|section|form|wrap|wrapper|container|inner|"
+                     r"buttons?|links?|items?|posts|articles|thread|slot|unit)?\d*", re.I)
+NEVER = ("html", "body", "main", "article")     # their names say what else is on the page
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
@@ -91,24 +96,50 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str]]:
     yield from flush()
 
 
-def unwanted(path: tuple[str, ...]) -> bool:
-    """Whether an element of the path is no place for main text."""
+def named_unwanted(step: str) -> bool:
+    tag, _, names = step.partition(".")
+    if not names or tag in NEVER:
+        return False
+    for name in names.split("."):
+        parts = re.split(r"[-_]", name)
+        if any(map(_NAMES.fullmatch, parts)) and all(_NAMES.fullmatch(x) or _PLACES.fullmatch(x) for x in parts):
+            return True
+    return False
+
+
+def unwanted(path: tuple[str, ...], spared: set[tuple[str, ...]] = frozenset()) -> bool:
+    """Whether an element of the path is no place for main text; elements in ``spared`` are not judged by their names."""
     inside = False      # a header in the article is its heading
-    for step in path:
-        tag, _, name = step.partition(".")
-        if tag in UNWANTED or (tag == "header" and not inside) or (name and any(map(_NAMES.search, name.split(".")))):
+    for k, step in enumerate(path):
+        tag = step.partition(".")[0]
+        if tag in UNWANTED or (tag == "header" and not inside) or (named_unwanted(step) and path[:k + 1] not in spared):
             return True
         inside = inside or tag in ("article", "main")
     return False
 
 
+def spare(found: list[tuple[tuple[str, ...], str]]) -> set[tuple[str, ...]]:
+    """Elements with an unwanted name that hold most of the page's slot text all the same."""
+    sizes: Counter = Counter()
+    total = 0
+    for path, text in found:
+        if text:
+            named = {path[:k] for k in range(1, len(path) + 1) if named_unwanted(path[k - 1])}
+            if not unwanted(path, named):
+                total += len(text)
+                sizes.update(dict.fromkeys(named, len(text)))
+    return {path for path, n in sizes.items() if 2 * n > total}
+
+
 def tokens(page: str) -> Counter:
     """Counts of the opening tokens of a page, and under (path, None) the characters of its wanted slot text."""
     found: Counter = Counter()
-    for path, text in blocks(page):
+    read = list(blocks(page))
+    spared = spare(read)
+    for path, text in read:
         if not text:
             found[path] += 1
-        elif not unwanted(path):
+        elif not unwanted(path, spared):
             steps = [s for s in path if s not in LEAF]
             for k in range(1, len(steps) + 1):
                 found[(*steps[:k], None)] += len(text)
@@ -120,7 +151,7 @@ def choose(slots: dict[tuple[str, ...], float]) -> tuple[str, ...] | None:
     total = max(slots.values(), default=0)
     best = None
     for path, size in slots.items():
-        if not size or unwanted(path):
+        if not size:      # only wanted text counts
             continue
         named = path[-1].partition(".")[0] in ("article", "main")
         if named or size >= MOST * total:
@@ -133,10 +164,11 @@ def choose(slots: dict[tuple[str, ...], float]) -> tuple[str, ...] | None:
 def main_text(page: str, chosen: tuple[str, ...] | None) -> str:
     """The blocks of a page within the chosen element."""
     found = list(blocks(page))
+    spared = spare(found)
     if chosen is None or not any(path[:len(chosen)] == chosen for path, text in found if text):
         own = tokens(page)
         chosen = choose({p[:-1]: n for p, n in own.items() if p[-1] is None}) or ()
-    return "\n".join(text for path, text in found if text and path[:len(chosen)] == chosen and not unwanted(path))
+    return "\n".join(text for path, text in found if text and path[:len(chosen)] == chosen and not unwanted(path, spared))
 
 
 _PATH = "\x1f"
