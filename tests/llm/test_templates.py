@@ -36,6 +36,30 @@ def test_template_of_a_host(spark):
     assert got[30] == ("", 0) and got[31] == ("alone", 5) and got[32] == ("", 0)
 
 
+def test_repeated_texts_are_template(spark):
+    """A text repeated on the pages of a layout is no main text; ids of pages don't split the template, other layouts have their own."""
+    def page(i):
+        return (i, f"http://h/{i}", f"<body class='post-{i} x'><div id=top{1000 + i}><p>Read our notice</div><div class='c e-{i}'><p>word {i} here<p>Read our notice"
+                                    f"<p>more of {i}</div><div class=z>tail {'long ' * 40}</div></body>")
+
+    def listing(i):
+        return (i, f"http://h/{i}", f"<body><section><p>entry {i} {'text ' * 30}<p>All entries are checked</section><div class=q><p>side {i}</div></body>")
+
+    rows = [page(i) for i in range(1, 7)] + [listing(i) for i in range(20, 24)] + [page(1)] * 2
+    rows += [(40 + i, "http://copies/", "<div><p>the same page</div>") for i in range(5)]
+    got = {r.page_id: r.text for r in templates.report(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert all(got[i] == f"word {i} here\nmore of {i}" for i in range(1, 7))
+    assert all(got[i] == f"entry {i} {'text ' * 30}".strip() for i in range(20, 24))
+    assert all(got[40 + i] == "the same page" for i in range(5))
+
+
+def test_order_and_general_paths():
+    def token(n, low, high):
+        return {"token": n, "mean": (low + high) / 2, "low": low, "high": high}
+    assert [t["token"] for t in templates.in_order([token(1, 1, 3), token(2, 2, 9), token(3, 1, 12), token(4, 5, 20)])] == [1, 2, 4]
+    assert templates.general(("body.a.post-7", "div.c.e-12", "div.x1", "p")) == ("body", "div.c", "div.x1", "p")
+
+
 def test_odd_and_empty_tables(spark):
     schema = "page_id long, url string, html string, host string, chosen string, text string"
     rows = [(1, None, "<p>x", "h", "c", "t"), (1, None, "<p>x", "h", "c", "t"), (None, None, None, None, None, None), (2, "http://a/", "<div>" * 200 + "deep", "h", "c", "t")]

@@ -1,14 +1,17 @@
 """Main text of web pages by equivalence-class template deduction.
 
-A page is a sequence of tokens: opening tags of structural elements, told apart by their path (enclosing elements with class
-and id). For each host, tokens with equal occurrence vectors over its pages (how often on which page) form an
-equivalence class. A class is valid if it occurs on at least ``SHARE`` of the host's pages and its tokens come equally often and in one
-classes nest by their paths into the host's template. What is not template is slots, the texts below each
-path; the element whose slots hold the article is the deepest valid one with most of the slot text outside menus,
-headers, footers and the like. A page is then read through its host's template: the blocks in that element, in page order.
+A page is a sequence of tokens: opening tags of structural elements and the words of each block, taken together, both told apart
+by their path (enclosing elements with class and id, but for numbered ones, which are a page's own). Pages of a host with equal
+layout (the same elements where the page first branches) have one template. In it, tokens with equal occurrence vectors over its
+different pages (how often on which page) form an equivalence class. A class is valid if it occurs on at least ``SHARE`` of the
+pages; of its tokens, those count that come in one order on the pages, as their first, last and mean places tell. Valid classes
+nest by their paths into the template; a block whose words are template (on ``REPEATED`` different pages at least) is no slot and is left out, unless its
+page has nothing else. What is not template is slots, the texts below each path; the element whose slots hold the article
+is the deepest valid one with most of the slot text outside menus, headers, footers and the like. A page is then read through
+its template: the blocks in that element, in page order.
 
 Vectors are compared as sums of hashes over (page, count), which add up before the shuffle, so a host of any
-size is fine; a template has one row per path. Where a page lacks its host's element (or the host has no template, as with
+size is fine; a template has one row per path. Where a page lacks its template's element (or there is no template, as with
 a single page) the same choice is made on the page's own elements.
 
 Null or empty html gives an empty text. Host is the part of url between // and the next / (null: one host of its own). Character references are decoded,
@@ -18,6 +21,8 @@ slot text; html, body, main and article are never judged by their names. A headi
 """
 from __future__ import annotations
 
+import functools
+import hashlib
 import html as references
 import re
 from collections import Counter
@@ -26,8 +31,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
+
+from tidebars.session import stage
 
 SHARE = 0.5     # of a host's pages
+REPEATED = 3    # different pages that a text is on before it can be template
 MOST = 0.6      # of the slot text that the chosen element holds
 
 # Fixed values of HTML: elements without text of their own, elements that never close, inline elements.
@@ -96,6 +105,7 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str]]:
     yield from flush()
 
 
+@functools.lru_cache(1 << 14)
 def named_unwanted(step: str) -> bool:
     tag, _, names = step.partition(".")
     if not names or tag in NEVER:
@@ -124,26 +134,59 @@ def spare(found: list[tuple[tuple[str, ...], str]]) -> set[tuple[str, ...]]:
     total = 0
     for path, text in found:
         if text:
-            named = {path[:k] for k in range(1, len(path) + 1) if named_unwanted(path[k - 1])}
+            named = {path[:k + 1] for k, step in enumerate(path) if named_unwanted(step)}
             if not unwanted(path, named):
                 total += len(text)
                 sizes.update(dict.fromkeys(named, len(text)))
     return {path for path, n in sizes.items() if 2 * n > total}
 
 
-def tokens(page: str) -> Counter:
-    """Counts of the opening tokens of a page, and under (path, None) the characters of its wanted slot text."""
-    found: Counter = Counter()
-    read = list(blocks(page))
-    spared = spare(read)
-    for path, text in read:
+_OWN = re.compile(r"\d{3}|[-_]\d")      # a number that a page or an entry has for itself
+
+
+@functools.lru_cache(1 << 14)
+def general(path: tuple[str, ...]) -> tuple[str, ...]:
+    """A path without what only one page may have."""
+    out = []
+    for step in path:
+        tag, _, names = step.partition(".")
+        kept = [] if tag in NEVER else [x for x in names.split(".") if x and not _OWN.search(x)]
+        out.append(".".join([tag, *kept]))
+    return tuple(out)
+
+
+def layout(found: list[tuple[tuple[str, ...], str]]) -> int:
+    """A number for the set of a page's elements where it first branches (below html and body)."""
+    by_depth: dict[int, set[tuple[str, ...]]] = {}
+    for path, text in found:
         if not text:
-            found[path] += 1
-        elif not unwanted(path, spared):
+            steps = tuple(s for s in general(path) if s not in ("html", "body"))
+            if steps:
+                by_depth.setdefault(len(steps), set()).add(steps)
+    for _, paths in sorted(by_depth.items()):
+        if len(paths) > 1:
+            return mark("\x1e".join(sorted(map(_PATH.join, paths))))
+    return mark("\x1e".join(map(_PATH.join, by_depth.get(1, ()))))
+
+
+def mark(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def text_mark(path: tuple[str, ...], text: str) -> int:
+    return mark(_PATH.join((*general(path), "", text)))
+
+
+def slots(found: list[tuple[tuple[str, ...], str]], fixed: set[int] = frozenset(), spared: set[tuple[str, ...]] | None = None) -> Counter:
+    """Characters of wanted slot text of each element of a page, texts marked in ``fixed`` left out."""
+    out: Counter = Counter()
+    spared = spare(found) if spared is None else spared
+    for path, text in found:
+        if text and not unwanted(path, spared) and not (fixed and text_mark(path, text) in fixed):
             steps = [s for s in path if s not in LEAF]
             for k in range(1, len(steps) + 1):
-                found[(*steps[:k], None)] += len(text)
-    return found
+                out[general(tuple(steps[:k]))] += len(text)
+    return out
 
 
 def choose(slots: dict[tuple[str, ...], float]) -> tuple[str, ...] | None:
@@ -161,69 +204,113 @@ def choose(slots: dict[tuple[str, ...], float]) -> tuple[str, ...] | None:
     return best[1] if best else None
 
 
-def main_text(page: str, chosen: tuple[str, ...] | None) -> str:
-    """The blocks of a page within the chosen element."""
+def main_text(page: str, chosen: tuple[str, ...] | None, fixed: set[int] = frozenset()) -> str:
+    """The blocks of a page within the chosen element, without the template's texts."""
     found = list(blocks(page))
     spared = spare(found)
-    if chosen is None or not any(path[:len(chosen)] == chosen for path, text in found if text):
-        own = tokens(page)
-        chosen = choose({p[:-1]: n for p, n in own.items() if p[-1] is None}) or ()
-    return "\n".join(text for path, text in found if text and path[:len(chosen)] == chosen and not unwanted(path, spared))
+    wanted = [(general(path), text) for path, text in found if text and not unwanted(path, spared)]
+    slot = [(path, text) for path, text in wanted if text_mark(path, text) not in fixed] if fixed else wanted
+    if not slot:      # a page is not all template
+        slot, fixed = wanted, frozenset()
+    if chosen is None or not any(path[:len(chosen)] == chosen for path, _ in slot):
+        chosen = choose(slots(found, fixed, spared)) or ()
+    return "\n".join(text for path, text in slot if path[:len(chosen)] == chosen)
 
 
 _PATH = "\x1f"
+_TOKENS = "host string, layout long, page_key long, token long, path string, parent long, n long, first long, last long, chars long"
 
 
 def _vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Tokens of pages: elements with their path and the wanted text in them, texts with the mark of their element, and for the page a token 0."""
     for batch in batches:
         rows = []
         for host, key, page in zip(batch.host, batch.page_key, batch.html, strict=True):
-            found = tokens(page or "")
-            for order, (path, n) in enumerate(found.items()):
-                if path[-1] is not None:
-                    rows.append((host, key, _PATH.join(path), n, order, found.get((*path, None), 0)))
-        yield pd.DataFrame(rows, columns=["host", "page_key", "path", "n", "place", "chars"])
+            found = list(blocks(page or ""))
+            own, spared = layout(found), spare(found)
+            sizes = slots(found, spared=spared)
+            counts: dict[int, list] = {0: [None, 0, 1, 0, 0, 0]}
+            for place, (path, text) in enumerate(found):
+                plain = general(path)
+                joined = _PATH.join(x for x in plain if x not in LEAF)
+                token = text_mark(path, text) if text else mark(joined)
+                seen = counts.setdefault(token, [None, mark(joined), 0, place, place, 0] if text else [joined, 0, 0, place, place, sizes.get(plain, 0)])
+                seen[2], seen[4] = seen[2] + 1, place
+                if text and not unwanted(path, spared):
+                    seen[5] += len(text)
+            rows += [(host, own, key, token, *seen) for token, seen in counts.items()]
+        yield pd.DataFrame(rows, columns=["host", "layout", "page_key", "token", "path", "parent", "n", "first", "last", "chars"])
+
+
+def in_order(tokens: list[dict]) -> list[dict]:
+    """The tokens of a class that come one after another on its pages: of two neighbours that cross, both by their places, the later goes."""
+    out: list[dict] = []
+    for t in sorted(tokens, key=lambda t: (t["mean"], t["low"], t["high"], t["token"])):
+        if not out or (out[-1]["low"] <= t["low"] and out[-1]["high"] <= t["high"]):
+            out.append(t)
+    return out
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """Of each host (host, chosen): the path of the element that holds the main text."""
-    sizes = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    rows = pages.mapInPandas(_vectors, "host string, page_key long, path string, n long, place long, chars long")
+    """Of each host and layout (host, layout, chosen, fixed): the path of the element that holds the main text, the marks of its texts."""
+    rows = pages.mapInPandas(_vectors, _TOKENS)
+    # copies of a page count once
+    once = rows.groupBy("host", "layout", "page_key", "token", "path", "parent").agg(*(F.max(c).alias(c) for c in ("n", "first", "last", "chars")))
     # an occurrence vector as a sum of hashes over pages; wide decimals keep the sum whole
-    mark = F.xxhash64("page_key", "n").cast("decimal(38,0)")
-    found = rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("support"), F.sum(mark).alias("vector"), F.sum("n").alias("total"),
-                                             F.sum("chars").alias("chars"), F.avg("place").alias("place"))
-    found = found.join(sizes, "host").where(F.col("support") >= F.greatest(F.lit(2), F.col("pages") * SHARE))
-    classes = found.groupBy("host", "support", "vector").agg(F.collect_list(F.struct("path", "total", "chars", "place")).alias("tokens"))
+    vector = F.xxhash64("page_key", "n").cast("decimal(38,0)")
+    found = once.groupBy("host", "layout", "token", "path", "parent").agg(
+        F.count(F.lit(1)).alias("support"), F.sum(vector).cast("string").alias("vector"), F.sum("chars").alias("chars"),
+        F.avg("first").alias("mean"), F.min("first").alias("low"), F.max("last").alias("high"))
+    found = stage(found.where("support >= 2"), "tokens")
+    sizes = found.where("token = 0").select("host", "layout", F.col("support").alias("pages"))
+    found = found.where("token <> 0").join(sizes, ["host", "layout"]).where(F.col("support") >= F.col("pages") * SHARE)
 
     def nest(group: pd.DataFrame) -> pd.DataFrame:
-        """One host's valid classes, nested by path, and the element chosen in them."""
+        """A layout's valid classes, nested by path, and the element chosen in them."""
         valid: dict[tuple[str, ...], float] = {}
-        for own in group.tokens:
-            if len({t["total"] for t in own}) == 1:      # equally often everywhere
-                valid |= {tuple(t["path"].split(_PATH)): float(t["chars"]) for t in own}
+        paths, texts = {}, []
+        for _, own in group.groupby(["support", "vector"], sort=True):
+            for t in in_order(own.to_dict("records")):
+                if t["path"] is not None:
+                    paths[t["token"]] = path = tuple(t["path"].split(_PATH))
+                    valid[path] = float(t["chars"])
+                elif t["support"] >= REPEATED:
+                    texts.append(t)
+        for t in texts:      # template, so in no slot
+            path = paths.get(t["parent"], ())
+            for k in range(1, len(path) + 1):
+                if path[:k] in valid:
+                    valid[path[:k]] -= t["chars"]
         # an element counts if those around it are in the template as well
-        nested = {p: n for p, n in valid.items() if all(p[:k] in valid for k in range(1, len(p)))}
+        nested = {p: max(n, 0.0) for p, n in valid.items() if all(p[:k] in valid for k in range(1, len(p)))}
         chosen = choose(nested)
-        return pd.DataFrame({"host": group.host.iloc[:1], "chosen": [None if chosen is None else _PATH.join(chosen)]})
+        return pd.DataFrame({"host": group.host.iloc[:1], "layout": group["layout"].iloc[:1], "chosen": [None if chosen is None else _PATH.join(chosen)],
+                             "fixed": [sorted(t["token"] for t in texts)]})
+
+    return found.groupBy("host", "layout").applyInPandas(nest, "host string, layout long, chosen string, fixed array<long>")
+
 
-    return classes.groupBy("host").applyInPandas(nest, "host string, chosen string")
+@F.pandas_udf(LongType())
+def _layout(pages: pd.Series) -> pd.Series:
+    return pd.Series([layout(list(blocks(page or ""))) for page in pages], dtype="int64")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every page."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
-    keyed = pages.select("page_id", "url", "html", host.alias("host"), F.xxhash64("page_id", "url", "html").alias("page_key"))
+    keyed = pages.select("page_id", "url", "html", host.alias("host"), F.xxhash64("html").alias("page_key"))
     chosen = templates(keyed.select("host", "page_key", "html"))
     kind = dict(pages.dtypes)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = [main_text(page or "", tuple(c.split(_PATH)) if c else None) for page, c in zip(batch.html, batch.chosen, strict=True)]
+            texts = [main_text(page or "", tuple(c.split(_PATH)) if c else None, frozenset() if fixed is None else frozenset(map(int, fixed)))
+                     for page, c, fixed in zip(batch.html, batch.chosen, batch.fixed, strict=True)]
             yield pd.DataFrame({"page_id": batch.page_id.astype("Int64") if kind["page_id"] in ("bigint", "int") else batch.page_id,
                                 "url": batch.url, "text": texts, "n_chars": [len(t) for t in texts]})
 
-    joined = keyed.join(chosen, "host", "left").select("page_id", "url", "html", "chosen")
+    keyed = keyed.withColumn("layout", _layout("html"))
+    joined = keyed.join(chosen, ["host", "layout"], "left").select("page_id", "url", "html", "chosen", "fixed")
     return joined.mapInPandas(read, f"page_id {kind['page_id']}, url string, text string, n_chars long")
 
 
