@@ -6,7 +6,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidebars.llm import fingerprint, jaccard, language, mixing, packing, pii, quality, sharding, suffixes, templates
+from tidebars.llm import (
+    fingerprint, jaccard, language, mixing, packing, pii, quality, secret_scan, sharding, spelling, suffixes, templates, vector_codes,
+)
 from tidebars.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,3 +89,18 @@ def op2(spark, sf_dir):
 @query("op10_templates")
 def op10(spark, sf_dir):
     return templates.report(table(spark, sf_dir, "pages"))
+
+
+@query("op11_secrets")
+def op11(spark, sf_dir):
+    return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
+@query("op12_vector_codes")
+def op12(spark, sf_dir):
+    return vector_codes.report(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_spelling")
+def op13(spark, sf_dir):
+    return spelling.report(table(spark, sf_dir, "documents"))
