@@ -1,6 +1,8 @@
 """Discovery and repair of moves (low to high inside one period)."""
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,18 +73,25 @@ def periods_covered(moves: DataFrame, low_period: Column | None = None, high_per
 
 
 def repair_plan(moves: DataFrame, indexed: DataFrame, period: Column | None = None,
-                low_period: Column | None = None, high_period: Column | None = None) -> DataFrame:
+                low_period: Column | None = None, high_period: Column | None = None,
+                search: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """What to do for each period that a cross-period move touches.
 
+    ``search`` gives the best moves of asked (symbol, year), by default from the bars of those periods; with chunk summaries
+    ``range_moves.best_of_periods`` reads the ends of the periods only.
+
     ``action`` is REWRITE (own period), ADD (missing period) or SKIP with a ``reason``:
     exists, no_bars or no_move. The new values are in the ``new_*`` columns.
     """
     touched = periods_covered(cross_period(moves, low_period, high_period), low_period, high_period)
-    # only the bars of touched symbols and periods are searched
-    asked = touched.select("symbol", F.col("covered").alias("_period")).distinct()
-    own_period = F.year("ts") if period is None else period
-    near = indexed.withColumn("_period", own_period.cast("int")).join(asked, ["symbol", "_period"], "left_semi").drop("_period")
-    found = rounded_moves(best_moves(near, period)).select(
+    asked = touched.select("symbol", F.col("covered").alias("year")).distinct()
+    if search is None:     # only the bars of touched symbols and periods
+        own_period = F.year("ts") if period is None else period
+        near = indexed.withColumn("year", own_period.cast("int")).join(asked, ["symbol", "year"], "left_semi").drop("year")
+        best = best_moves(near, period)
+    else:
+        best = search(asked)
+    found = rounded_moves(best).select(
         "symbol", F.col("year").cast("int").alias("covered"),
         *[F.col(c).alias(f"new_{c}") for c in MOVE_COLUMNS if c not in ("year", "symbol")],
     )

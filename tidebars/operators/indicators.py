@@ -3,12 +3,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebars.functions import rolling
 from tidebars.series import CHUNK, back, bars_at, core, locate_moves, rows, with_halo
-from tidebars.session import stage
 
 SMA_SPANS = (50, 150, 200)
 EMA_SPANS = (10, 20)
@@ -58,55 +57,40 @@ def range_measures(indexed: DataFrame, span: int = RANGE_SPAN, chunk_rows: int =
     return core(rolling.apply(df, ranges, rolling.later(means)))
 
 
-def benchmark_days(benchmark: DataFrame) -> DataFrame:
-    """One row per calendar day from the benchmark's first to its last: its closes of that day and the last close before.
+SLOT_SECONDS = 86400
 
-    ``steps`` is the day's (ts, close) in order, ``carry`` the close known when the day begins. Days are scanned within
-    years; years hand their last close on to all later years.
+
+def benchmark_slots(benchmark: DataFrame, slot_seconds: int = SLOT_SECONDS) -> DataFrame:
+    """One row per slot of time from the benchmark's first to its last: its closes in that slot, and the last one before it.
+
+    ``steps`` is the slot's (ts, close) in order, ``carry`` the close known when the slot begins. What is scanned in order is one narrow
+    row per slot with a close, so its number is bounded by the calendar, not by the data.
     """
-    known = benchmark.filter(F.col("close").isNotNull() & F.col("ts").isNotNull()).select("ts", "close", F.to_date("ts").alias("day"))
-    known = known.withColumn("year", F.year("day"))
-    days = known.groupBy("year", "day").agg(F.array_sort(F.collect_list(F.struct("ts", "close"))).alias("steps"))
-    days = stage(days.withColumn("close", F.element_at("steps", -1)["close"]), "benchmark_days")
-    end = days.agg(F.max("day")).first()[0]
-    if end is None:
-        return days.select("day", "steps", F.col("close").alias("carry"))
-    years = days.groupBy("year").agg(F.max_by("close", "day").alias("close"), F.min("day").alias("first_day"))
-    later = years.filter(F.col("year") < end.year).select(
-        F.explode(F.sequence(F.col("year") + 1, F.lit(end.year))).alias("target"), "year", "close")
-    before = later.groupBy(F.col("target").alias("year")).agg(F.max_by("close", "year").alias("before"))
-    until = F.least(F.make_date("year", F.lit(12), F.lit(31)), F.lit(end))
-    none = F.expr("cast(array() as array<struct<ts:timestamp,close:double>>)")
-    in_year = Window.partitionBy("year").orderBy("day")
-    ahead = days.withColumns({
-        "next": F.coalesce(F.date_sub(F.lead("day").over(in_year), 1), until), "earlier": F.lag("close").over(in_year)})
-    ahead = ahead.join(before, "year", "left").select(
-        F.col("day").alias("own"), "steps", "close", F.coalesce("earlier", "before").alias("earlier"),
-        F.explode(F.sequence("day", "next")).alias("day"))
-    is_own = F.col("day") == F.col("own")
-    ahead = ahead.select("day", F.when(is_own, F.col("steps")).otherwise(none).alias("steps"),
-                         F.when(is_own, F.col("earlier")).otherwise(F.col("close")).alias("carry"))
-    # days of a year ahead of its first close, or of a year without any
-    start = F.make_date("year", F.lit(1), F.lit(1))
-    empty = before.join(years.select("year", "first_day"), "year", "left").withColumn(
-        "stop", F.coalesce(F.date_sub("first_day", 1), until)).filter(F.col("stop") >= start)
-    empty = empty.select(F.explode(F.sequence(start, F.col("stop"))).alias("day"), none.alias("steps"), F.col("before").alias("carry"))
-    return stage(ahead.unionByName(empty), "benchmark_by_day")
-
-
-def align_benchmark(indexed: DataFrame, benchmark: DataFrame) -> DataFrame:
+    known = benchmark.filter(F.col("close").isNotNull() & F.col("ts").isNotNull()).select("ts", "close", slot_of(slot_seconds).alias("slot"))
+    ends = known.groupBy("slot").agg(F.max(F.struct("ts", "close")).getField("close").alias("close"))
+    in_order = Window.partitionBy(F.lit(0)).orderBy("slot")
+    ahead = ends.select("slot", "close", F.lag("close").over(in_order).alias("earlier"), F.coalesce(F.lead("slot").over(in_order) - 1, "slot").alias("until"))
+    filled = ahead.withColumnRenamed("slot", "own").withColumn("slot", F.explode(F.sequence("own", "until")))
+    filled = filled.select("slot", F.when(F.col("slot") == F.col("own"), F.col("earlier")).otherwise(F.col("close")).alias("carry"))
+    steps = known.groupBy("slot").agg(F.array_sort(F.collect_list(F.struct("ts", "close"))).alias("steps"))
+    return filled.join(steps, "slot", "left")
+
+
+def slot_of(slot_seconds: int) -> Column:
+    return F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / F.lit(slot_seconds))
+
+
+def align_benchmark(indexed: DataFrame, benchmark: DataFrame, slot_seconds: int = SLOT_SECONDS) -> DataFrame:
     """Add ``bench_close``: the benchmark's last close at or before each bar.
 
-    The benchmark becomes one row per day, staged; bars join on their day and pick within it.
+    Bars join on their slot of time and pick among its closes; choose a slot in which the benchmark has few (an hour for
+    minutes). Nothing runs until the result is asked for.
     """
-    last = benchmark.filter("close is not null and ts is not null").agg(F.max(F.struct("ts", "close")).alias("x")).select("x.*").first()
-    if last.ts is None:
-        return indexed.withColumn("bench_close", F.lit(None).cast("double"))
-    days = benchmark_days(benchmark).withColumnRenamed("day", "_day")
-    joined = indexed.join(days, F.to_date("ts") == F.col("_day"), "left")
-    own = F.element_at(F.filter("steps", lambda s: s["ts"] <= F.col("ts")), -1)["close"]
-    own = F.when(F.size(F.filter("steps", lambda s: s["ts"] <= F.col("ts"))) > 0, own)
-    after = F.when(F.to_date("ts") > F.lit(last.ts.date()), F.lit(last.close))
+    slots = benchmark_slots(benchmark, slot_seconds).withColumnRenamed("slot", "_slot")
+    last = benchmark.filter("close is not null and ts is not null").agg(F.max(F.struct("ts", "close")).alias("x")).scalar()
+    joined = indexed.join(slots, slot_of(slot_seconds) == F.col("_slot"), "left")
+    own = F.try_element_at(F.filter("steps", lambda s: s["ts"] <= F.col("ts")), F.lit(-1))["close"]
+    after = F.when(F.col("ts") >= last["ts"], last["close"])
     return joined.select(*indexed.columns, F.coalesce(own, F.col("carry"), after).alias("bench_close"))
 
 

@@ -79,3 +79,8 @@ def window_stats(spark, sf_dir):
 @twin("trend_bands")
 def trend_bands(spark, sf_dir):
     return iq.shown_bands(supertrend.trend_bands(frame(spark, sf_dir), iq.BAND_FACTORS))
+
+
+@twin("adaptive_bands")
+def adaptive_bands(spark, sf_dir):
+    return iq.shown_adaptive(supertrend.adaptive_bands(frame(spark, sf_dir), chunk_rows=CUT))

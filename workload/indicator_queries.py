@@ -313,13 +313,16 @@ def periods_covered(spark, sf_dir):
     return bm.periods_covered(bm.cross_period(book(spark, sf_dir))).select("symbol", "year", "covered")
 
 
+def shown_plan(plan):
+    return plan.select("symbol", "year", "covered", "note", "action", "reason", num("new_gain_pct"),
+                       when("new_low_date"), when("new_high_date"))
+
+
 @query("repair_plan", q.with_(TO_PLAN, f"""
 SELECT symbol, year, covered, note, {ACTION} AS action, reason, {r('round(new_gain, 2)')} AS new_gain_pct,
   {q.at('new_low')} AS new_low_date, {q.at('new_high')} AS new_high_date FROM plan"""))
 def repair_plan(spark, sf_dir):
-    plan = bm.repair_plan(book(spark, sf_dir), daily_bars(spark, sf_dir))
-    return plan.select("symbol", "year", "covered", "note", "action", "reason", num("new_gain_pct"),
-                       when("new_low_date"), when("new_high_date"))
+    return shown_plan(bm.repair_plan(book(spark, sf_dir), daily_bars(spark, sf_dir)))
 
 
 @query("repair_summary", q.with_(
@@ -418,8 +421,52 @@ def trend_bands(spark, sf_dir):
     return shown_bands(supertrend.trend_bands(t.frame(spark, sf_dir), BAND_FACTORS))
 
 
-@query("adaptive_bands")
+# the recursion with the performance of every factor, the factor of each bar by trying all cuts, and the bands with it
+ADAPTIVE_STEPS = [q.BARS, q.IND, f"""
+first_band AS (SELECT symbol, min(rn) AS rn FROM ind WHERE atr_20 IS NOT NULL GROUP BY symbol
+), tried AS (
+  SELECT i.symbol, i.rn, g.f, (i.high + i.low) / 2 + g.f * i.atr_20 AS u, (i.high + i.low) / 2 - g.f * i.atr_20 AS l,
+    i.close, 1 AS trend, 0.0::DOUBLE AS perf
+  FROM ind i JOIN first_band USING (symbol, rn), (SELECT unnest([{', '.join(f'{f!r}::DOUBLE' for f in supertrend.FACTORS)}]) AS f) g
+  UNION ALL
+  SELECT symbol, rn, f, u, l, close, CASE WHEN close > u THEN 1 WHEN close < l THEN -1 ELSE trend END,
+    perf + 2.0::DOUBLE / {supertrend.MEMORY + 1} * (moved - perf)
+  FROM (
+    SELECT i.symbol, i.rn, b.f, i.close, b.trend, b.perf, b.trend * (i.close - b.close) AS moved,
+      CASE WHEN (i.high + i.low) / 2 + b.f * i.atr_20 < b.u OR b.close > b.u THEN (i.high + i.low) / 2 + b.f * i.atr_20 ELSE b.u END AS u,
+      CASE WHEN (i.high + i.low) / 2 - b.f * i.atr_20 > b.l OR b.close < b.l THEN (i.high + i.low) / 2 - b.f * i.atr_20 ELSE b.l END AS l
+    FROM tried b JOIN ind i ON i.symbol = b.symbol AND i.rn = b.rn + 1)
+), ranked AS (
+  SELECT symbol, rn, list(q ORDER BY q, f) AS qs, list(f ORDER BY q, f) AS fs
+  FROM (SELECT symbol, rn, f, round(perf / {supertrend.TICK!r}::DOUBLE) AS q FROM tried) GROUP BY symbol, rn
+), cuts AS (
+  SELECT a.i, b.j FROM range(1, 8) a(i), range(2, 9) b(j) WHERE a.i < b.j
+), chosen AS (
+  SELECT symbol, rn, list_sum(fs[j + 1:]) / (9 - j) AS factor FROM (
+    SELECT r.*, c.j, row_number() OVER (PARTITION BY symbol, rn ORDER BY
+      (list_sum(qs[1:i]) * list_sum(qs[1:i]) / i + list_sum(qs[i + 1:j]) * list_sum(qs[i + 1:j]) / (j - i))
+      + list_sum(qs[j + 1:]) * list_sum(qs[j + 1:]) / (9 - j) DESC, i, j) AS k
+    FROM ranked r, cuts c) WHERE k = 1
+), own AS MATERIALIZED (
+  SELECT i.symbol, i.rn, i.close, c.factor, (i.high + i.low) / 2 + c.factor * i.atr_20 AS up, (i.high + i.low) / 2 - c.factor * i.atr_20 AS down
+  FROM ind i JOIN chosen c USING (symbol, rn)
+), bands AS (
+  SELECT o.symbol, o.rn, o.factor, o.up AS u, o.down AS l, o.close, 1 AS trend FROM own o JOIN first_band USING (symbol, rn)
+  UNION ALL
+  SELECT symbol, rn, factor, u, l, close, CASE WHEN close > u THEN 1 WHEN close < l THEN -1 ELSE trend END
+  FROM (
+    SELECT o.symbol, o.rn, o.factor, o.close, b.trend, CASE WHEN o.up < b.u OR b.close > b.u THEN o.up ELSE b.u END AS u,
+      CASE WHEN o.down > b.l OR b.close < b.l THEN o.down ELSE b.l END AS l
+    FROM bands b JOIN own o ON o.symbol = b.symbol AND o.rn = b.rn + 1)
+)"""]
+
+
+@query("adaptive_bands", q.with_(ADAPTIVE_STEPS, f"""
+SELECT symbol, rn, {r('factor')} AS factor, trend, {r('CASE WHEN trend > 0 THEN l ELSE u END', 8)} AS line FROM bands"""))
 def adaptive_bands(spark, sf_dir):
-    """No SQL twin: it clusters by iteration. The tests compare it with brute force."""
-    df = supertrend.adaptive_bands(t.frame(spark, sf_dir))
-    return df.select("symbol", whole("rn"), "factor", "trend", num("line"))
+    return shown_adaptive(supertrend.adaptive_bands(t.frame(spark, sf_dir)))
+
+
+def shown_adaptive(df):
+    # edges have seven decimals at most
+    return df.select("symbol", whole("rn"), num("factor"), "trend", num("line", places=8))
