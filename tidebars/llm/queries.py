@@ -7,20 +7,22 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 from tidebars.llm import (
-    fingerprint, jaccard, language, mixing, packing, pii, quality, secret_scan, sharding, spelling, suffixes, templates, vector_codes,
+    checks, fingerprint, jaccard, language, mixing, packing, pii, quality, secret_scan, sharding, spelling, suffixes, templates, vector_codes,
 )
 from tidebars.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 CHECKS: dict[str, str] = {}
-ROWS_A_BATCH = 1000     # rows handed to Python at a time
+ROWS_A_BATCH = 1000     # rows handed to Python at a time, and
+BYTES_A_BATCH = 8 << 20     # bytes, or one row
 
 
 def set_up(spark: SparkSession) -> None:
     """Python workers find this package, and get texts in batches of bounded size."""
     spark.sparkContext.environment["PYTHONPATH"] = str(Path(__file__).resolve().parents[2])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_A_BATCH))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES_A_BATCH))
     spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
@@ -31,8 +33,11 @@ def tokenizer_paths() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def query(name: str) -> Callable[[Query], Query]:
+def query(name: str, check: str | None = None) -> Callable[[Query], Query]:
     def add(fn: Query) -> Query:
+        if check is not None:
+            CHECKS[name] = check
+
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             set_up(spark)
             return fn(spark, sf_dir)
@@ -76,7 +81,7 @@ def op8(spark, sf_dir):
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@query("op9_jaccard")
+@query("op9_jaccard", checks.jaccard())
 def op9(spark, sf_dir):
     return jaccard.report(table(spark, sf_dir, "documents"))
 
@@ -91,16 +96,16 @@ def op10(spark, sf_dir):
     return templates.report(table(spark, sf_dir, "pages"))
 
 
-@query("op11_secrets")
+@query("op11_secrets", checks.secrets())
 def op11(spark, sf_dir):
     return secret_scan.report(table(spark, sf_dir, "documents"))
 
 
-@query("op12_vector_codes")
+@query("op12_vector_codes", checks.codes())
 def op12(spark, sf_dir):
     return vector_codes.report(table(spark, sf_dir, "embeddings"))
 
 
-@query("op13_spelling")
+@query("op13_spelling", checks.words())
 def op13(spark, sf_dir):
     return spelling.report(table(spark, sf_dir, "documents"))

@@ -53,12 +53,12 @@ RULES = (
     Rule("hex", 1, r"(?<![0-9a-f])[0-9a-f]{24,}+"),
     Rule("private_key", 1, r"-----BEGIN [A-Z0-9\x20]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]*+(?:-----END [A-Z0-9\x20]{0,40}PRIVATE KEY-----)?",
          ("private key-----",)),
-    Rule("github", 1, r"(?<![A-Za-z0-9])gh[oprsu]_[A-Za-z0-9]{36,}+", ("gho_", "ghp_", "ghr_", "ghs_", "ghu_")),
-    Rule("slack", 1, r"(?<![A-Za-z0-9])xox[abeoprs]-[A-Za-z0-9-]{10,}+", ("xox",)),
-    Rule("google", 1, r"(?<![A-Za-z0-9])AIza[A-Za-z0-9_-]{35}(?![A-Za-z0-9_-])", ("aiza",)),
-    Rule("jwt", 1, r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]*+", ("eyj",)),
+    Rule("github", 1, r"gh[oprsu]_[A-Za-z0-9]{36,}+", ("gho_", "ghp_", "ghr_", "ghs_", "ghu_")),
+    Rule("slack", 1, r"xox[abeoprs]-[A-Za-z0-9-]{10,}+", ("xox",)),
+    Rule("google", 1, r"AIza[A-Za-z0-9_-]{35}", ("aiza",)),
+    Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]*+", ("eyj",)),
     Rule("url_password", 1, r"://[^\s/:@]{1,64}:[^\s/@]{1,128}@", ("://",)),
-    Rule("bearer", 1, r"(?i)(?<![A-Za-z0-9])bearer\x20++[A-Za-z0-9._~+/=-]{20,}+", ("bearer",)),
+    Rule("bearer", 1, r"(?i)bearer\x20++[A-Za-z0-9._~+/=-]{20,}+", ("bearer",)),
 )
 BASE = ("assign", "access", "hex")
 
