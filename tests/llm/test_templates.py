@@ -66,3 +66,22 @@ def test_odd_and_empty_tables(spark):
     got = templates.report(spark.createDataFrame(rows, schema)).collect()
     assert sorted((str(r.page_id), r.text) for r in got) == [("1", "x"), ("1", "x"), ("2", "deep"), ("None", "")]
     assert templates.report(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_long_broken_pages_take_linear_time():
+    import time
+
+    for page in ("<script " * 125_000, '<script "' * 110_000, "<div>" * 200_000 + "text" + "</div>" * 200_000, "<!-- " * 200_000, '<a "' * 250_000 + ">",
+                 "<script>" * 125_000, "<" * 1_000_000):
+        started = time.time()
+        list(templates.blocks(page))
+        assert time.time() - started < 8
+
+
+def test_what_is_open_at_the_end():
+    text = [t for _, t in templates.blocks("<p>one</p> two <script>x = 1; if (a > b) {") if t]
+    assert text == ["one", "two"]
+    assert [t for _, t in templates.blocks("<p>one</p><!-- gone > and this") if t] == ["one"]
+    assert [t for _, t in templates.blocks("<p>one</p> a < b <!-- gone") if t] == ["one", "a < b"]
+    deep = "<div>" * 600 + "<p>in</p>" + "</div>" * 600 + "<p>out</p>"
+    assert [(len(p), t) for p, t in templates.blocks(deep) if t] == [(513, "in"), (1, "out")]

@@ -58,11 +58,33 @@ NEVER = ("html", "body", "main", "article")     # their names say what else is o
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<(?P<raw>" + "|".join(RAW) + r")\b(?P<rattr>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attr>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>"
+    r"|<(?P<raw>" + "|".join(RAW) + r")\b(?P<rattr>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>.*?(?P<end></(?P=raw)\s*>|\Z)"
+    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attr>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<[/!?a-zA-Z][^<>]*>", re.S | re.I)
 _NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _BLANK = re.compile(r"\s+")
+_HIDDEN = re.compile(r"<!--|<!\[CDATA\[")
+DEEPEST = 512     # elements around a block, as browsers have it; those below share its path
+
+
+def _tokens(page: str) -> Iterator[re.Match | str]:
+    """Tags, comments and raw elements, and the text between them.
+
+    Nothing ends behind the last ``>``, so nothing is looked for there but an open comment, which hides the rest, as an open raw
+    element does.
+    """
+    end, at, last = page.rfind(">") + 1, 0, None
+    for m in _TOKEN.finditer(page, 0, end):
+        yield page[at:m.start()]
+        yield m
+        at, last = m.end(), m
+    if last is not None and at == end:
+        text = last.group()
+        if (last["raw"] and not last["end"]) or (text.startswith("<!--") and not text.endswith("-->")) or (
+                text.startswith("<![CDATA[") and not text.endswith("]]>")):
+            return
+    hidden = _HIDDEN.search(page, end)
+    yield page[at:hidden.start() if hidden else len(page)]
 
 
 def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str]]:
@@ -77,10 +99,11 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str]]:
         if text:
             yield (*path, leaf) if leaf else tuple(path), text
 
-    at = 0
-    for m in _TOKEN.finditer(page):
-        held.append(page[at:m.start()])
-        at = m.end()
+    deeper = 0
+    for m in _tokens(page):
+        if isinstance(m, str):
+            held.append(m)
+            continue
         tag = (m["tag"] or "").lower()
         if m["raw"] or not tag or tag in INLINE:
             if m["raw"] and m["raw"].lower() == "title":
@@ -94,14 +117,19 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str]]:
             continue
         leaf = ""
         if m["close"]:
+            if deeper:
+                deeper -= 1
+                continue
             names = [p.split(".")[0] for p in path]
             if tag in names:
                 del path[len(names) - 1 - names[::-1].index(tag):]
             continue
+        if len(path) == DEEPEST:
+            deeper += 1
+            continue
         named = {a.lower(): b or c or d for a, b, c, d in _NAMED.findall(m["attr"] or "")}
         path.append(".".join([tag, *_BLANK.sub(" ", " ".join(named[k] for k in ("class", "id", "role") if named.get(k))).split(" ")]).rstrip("."))
         yield tuple(path), ""
-    held.append(page[at:])
     yield from flush()
 
 
@@ -299,7 +327,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every page."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     keyed = pages.select("page_id", "url", "html", host.alias("host"), F.xxhash64("html").alias("page_key"))
-    chosen = templates(keyed.select("host", "page_key", "html"))
+    # staged, so that Spark knows its size: where it is small, pages are not moved for it
+    chosen = stage(templates(keyed.select("host", "page_key", "html")), "templates")
     kind = dict(pages.dtypes)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
