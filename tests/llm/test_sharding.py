@@ -37,6 +37,24 @@ def test_group_beyond_a_quota(spark):
     assert len({r.shard for r in rows if r.g == same}) <= 6
 
 
+def test_small_groups_beside_a_hot_one(spark):
+    texts = [(i, "hot text") for i in range(1500)] + [(2000 + i, f"group {i % 300}") for i in range(1200)] + [(4000 + i, f"own {i}") for i in range(900)]
+    rows = sharding.assign(spark.createDataFrame(texts, "doc_id long, text string").repartition(4), 24).collect()
+    check(rows, texts, 24)
+    where, sizes = defaultdict(set), Counter(r.g for r in rows)
+    for r in rows:
+        where[r.g].add(r.shard)
+    hot = sizes.most_common(1)[0][0]
+    assert len(where.pop(hot)) == 10      # quota 150
+    assert sum(len(w) > 1 for w in where.values()) <= 6
+
+
+def test_fewer_rows_than_shards_and_one_text_only(spark):
+    for n in (5, 24, 50, 71):
+        texts = [(i, "same") for i in range(n)]
+        check(sharding.assign(spark.createDataFrame(texts, "doc_id long, text string"), 24).collect(), texts, 24)
+
+
 def test_odd_and_empty_tables(spark, odd, none):
     check(sharding.report(odd).collect(), [r[:2] for r in odd_rows()], 24)
     assert sharding.report(none).count() == 0

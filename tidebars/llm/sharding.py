@@ -1,10 +1,12 @@
 """Shards of equal row counts by balanced label propagation, in built-in SQL functions only.
 
-Rows with equal texts are linked. Rows start in a hashed shard; in every round each group of linked rows moves towards
-the shard that holds most of it, within what room that shard has left, larger groups first. Rows of one group in one
+Rows with equal texts are linked. A group of a quota or more takes whole shards first; what is left of it, and all other rows, start
+in a hashed one of the other shards. In every round each group of linked rows moves towards the shard with room that holds most of
+it, within that room, larger groups first; its rows in full shards move as well, and leave room there. Rows of one group in one
 shard are interchangeable, so rounds, which end when one changes nothing (or after as many as there are shards), join and sum cells (group, shard, rows), never pairs. At last each shard keeps
 its quota, linked rows first, and the rows beyond it fill the shards that have room: counts differ by one at most
-(law ``rows``), and a group is cut only where it exceeds a quota.
+(law ``rows``). A group beyond a quota lies in one shard more than it fills; a smaller one is cut only where no shard has room for
+all of it, which befalls the last few.
 
 Null text has no bytes (size 8, crc 0) and null texts are one group. Repeated rows are rows of their own. An empty table gives
 an empty result. Other columns are ignored.
@@ -27,7 +29,9 @@ def propagate(cells: DataFrame, cap: int, tiles: int) -> DataFrame:
     open_ = ~F.col("shard").isin(closed) if closed else F.lit(True)
     best = cells.where(open_).groupBy("g").agg(F.max(F.struct("n", (-F.col("shard")).alias("s"))).alias("m"), F.sum("n").alias("size"))
     cells = cells.join(best.select("g", (-F.col("m.s")).alias("goal"), "size"), "g", "left")
-    cells = stage(cells.withColumn("goal", F.when(open_, F.col("goal")).otherwise(F.col("shard"))), "goals")
+    # rows in a full shard leave it, unless they fill it
+    leaves = F.col("goal").isNotNull() & (open_ | (F.col("n") < cap))
+    cells = stage(cells.withColumn("goal", F.when(leaves, F.col("goal")).otherwise(F.col("shard"))), "goals")
     stays = {r.shard: r.n for r in cells.where("goal = shard").groupBy("shard").agg(F.sum("n").alias("n")).collect()}
     movers = cells.where("goal <> shard")
     movers = running_totals(movers, ["goal"], ["g", "shard"], {"before": F.col("n")}, tiles,
@@ -45,16 +49,29 @@ def propagate(cells: DataFrame, cap: int, tiles: int) -> DataFrame:
 
 def assign(docs: DataFrame, shards: int = SHARDS, rounds: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, g (the group), shard, slot for every row."""
+    spark = docs.sparkSession
     text = F.col("text").cast("binary")
     rows = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
                        F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("text_crc32"),
                        F.coalesce(F.md5(text), F.lit("")).alias("g"))
-    rows = stage(rows.withColumn("start", F.pmod(F.xxhash64("doc_id", "g"), F.lit(shards)).cast("int")), "rows")
-    n = rows.count()
+    rows = stage(rows, "rows")
+    groups = stage(rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")), "groups")
+    n = groups.agg(F.sum("n")).first()[0] or 0
     tiles, cap = tiles_for(n), n // shards
-    cells = rows.groupBy("g", F.col("start").alias("shard")).agg(F.count(F.lit(1)).alias("n"))
-    linked = cells.groupBy("g").agg(F.sum("n").alias("n")).where("n > 1").select("g")
-    cells = stage(cells.join(linked, "g", "left_semi"), "cells")
+    # no more of these than shards
+    large = groups.where((F.col("n") > 1) & (F.col("n") >= cap)).orderBy(F.desc("n"), "g").collect() if cap else []
+    whole, free = [], shards
+    for r in large:
+        taken = min(r.n // cap, free)
+        whole += [(r.g, free - 1 - i, cap) for i in range(taken)]
+        free -= taken
+        if r.n > taken * cap:
+            whole.append((r.g, r.n % max(free, 1), r.n - taken * cap))
+    start = F.pmod(F.xxhash64("doc_id", "g"), F.lit(max(free, 1))).cast("int")
+    rows = rows.withColumn("start", start)
+    small = groups.where((F.col("n") > 1) & (F.col("n") < cap)).select("g") if cap else groups.where("n > 1").select("g")
+    cells = rows.join(small, "g", "left_semi").groupBy("g", F.col("start").alias("shard")).agg(F.count(F.lit(1)).alias("n"))
+    cells = stage(cells.unionByName(spark.createDataFrame(whole, "g string, shard int, n long")), "cells")
     seen = None
     for _ in range(rounds or shards):
         mark = cells.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("g", "shard", "n"))).first()
