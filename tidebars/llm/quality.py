@@ -4,9 +4,10 @@ Base counts of a text decide its base verdict. The method adds one rule per meas
 words, share of repeated lines, length of a word): a text fails a rule when its measure is beyond the rule's cutoff.
 Cutoffs are learned from labelled texts. They are grouped in strata (the language of a text, null apart), and for every rule,
 stratum and candidate cutoff the false rejections among good texts are counted. A cutoff is safe when the hypothesis
-"it rejects at least ``RISK`` of good texts" is refuted by the exact binomial test at level
-``DELTA / (rules * strata * candidates)`` (Bonferroni over every test made, so that all chosen cutoffs hold together
-with confidence ``1 - DELTA``). The strictest safe cutoff of a rule applies; where none is safe the rule rejects nothing there.
+"it rejects at least ``RISK`` of good texts" is refuted by the exact binomial test at level ``DELTA / (rules * strata)``. Within a
+rule and stratum the cutoffs are tested in a fixed sequence, from the loosest inwards, up to the first that is not refuted, which
+needs no correction of its own; over rules and strata Bonferroni's makes all chosen cutoffs hold together with confidence
+``1 - DELTA``. The strictest safe cutoff of a rule applies; where none is safe the rule rejects nothing there.
 
 Null text has no words (counts 0, base_failed). Labels that are null, or contradict each other for one document, are not used;
 repeated labels count once. Repeated rows get equal results. No labels: only the base verdict. Strata without good labels: only
@@ -104,7 +105,8 @@ def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: f
     flat = sums.select("stratum", "n", F.explode(F.array(*(
         F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"bad_{r}_{j}").alias("bad"))
         for r, cs in RULES.items() for j, c in enumerate(cs)))).alias("x")).select("stratum", "n", "x.*")
-    tests = held.agg(F.count_distinct("stratum")).first()[0] * sum(map(len, RULES.values()))
+    tests = held.agg(F.count_distinct("stratum")).first()[0] * len(RULES)
+    # a stricter cutoff rejects what a looser one does and more, so the cutoffs before the first that fails are those that pass
     safe = flat.where(binomial_below("bad", "n", risk) <= F.lit(delta / max(tests, 1)))
     return safe.groupBy("stratum").agg(*(F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES))
 
