@@ -31,7 +31,8 @@ WORDS = 80         # segments of a text to learn from
 EPOCHS = 2
 BATCH = 256
 SEED = 11
-MEMO = 200_000     # words remembered by a task
+MEMO = 100_000     # words remembered by a task
+SLICE = 128        # texts whose words are counted at a time
 
 
 def segments(text: str) -> list[bytes]:
@@ -218,22 +219,24 @@ def label(docs: DataFrame, langs: list[str], network: Network | None) -> DataFra
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        net, memo = shared.value, {}
+        net, memo, sums = shared.value, {}, np.zeros((0, len(langs)))     # a word's place, and the sums at the places
         for texts in batches:
             pred, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
             if net is not None:
-                counts = [Counter(segments(t)) if t and has_letter(t) else Counter() for t in texts]
-                if len(memo) > MEMO:
-                    memo.clear()
-                new = list(set().union(*counts) - memo.keys())
-                memo.update(zip(new, net.pool_words(new), strict=True))
-                for i, c in enumerate(counts):
-                    if c:
-                        sums = np.array([memo[word] for word in c])
-                        mean = np.fromiter(c.values(), np.float64, len(c)) @ sums
-                        mean /= mean.sum()
-                        best = int(mean.argmax())
-                        pred[i], score[i] = names[best], min(1.0, float(mean[best]))
+                for a in range(0, len(texts), SLICE):
+                    counts = [Counter(segments(t)) if t and has_letter(t) else Counter() for t in texts[a:a + SLICE]]
+                    if len(memo) > MEMO:
+                        memo.clear()
+                        sums = sums[:0]
+                    new = list(set().union(*counts) - memo.keys())
+                    memo.update(zip(new, range(len(memo), len(memo) + len(new)), strict=True))
+                    sums = np.concatenate((sums, net.pool_words(new)))
+                    for i, c in enumerate(counts, a):
+                        if c:
+                            mean = np.fromiter(c.values(), np.float64, len(c)) @ sums[np.fromiter(map(memo.__getitem__, c), np.int64, len(c))]
+                            mean /= mean.sum()
+                            best = int(mean.argmax())
+                            pred[i], score[i] = names[best], min(1.0, float(mean[best]))
             yield pd.DataFrame({"lang_pred": pred, "score": score})
 
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "_found")]
@@ -264,5 +267,8 @@ def known(docs: DataFrame) -> DataFrame:
             return pd.Series([bool(t) and has_letter(t) for t in texts], dtype=bool)
 
         return docs.where(lettered("text"))
-    found = label(docs.select(F.struct(*docs.columns).alias("_row"), "text"), langs, network).where(F.col("lang_pred") != UNKNOWN)
-    return found.select(*((F.coalesce(F.col("_row")[c], "lang_pred") if c == "lang" else F.col("_row")[c]).alias(c) for c in docs.columns))
+    # columns by place, so that no name of theirs clashes with what is added
+    placed = docs.select(*(F.col(c).alias("text" if c == "text" else f"_{i}") for i, c in enumerate(docs.columns)))
+    found = label(placed, langs, network).where(F.col("lang_pred") != UNKNOWN)
+    kept = ["text" if c == "text" else f"_{i}" for i, c in enumerate(docs.columns)]
+    return found.select(*((F.coalesce(F.col(at), "lang_pred") if c == "lang" else F.col(at)).alias(c) for at, c in zip(kept, docs.columns, strict=True)))
