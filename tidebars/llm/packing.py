@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
 import re
 import zlib
 from array import array
@@ -27,7 +28,7 @@ from tidebars.session import stage
 
 LENGTH = 1024
 END = 0
-MEMO = 200_000        # words remembered by a worker
+MEMO = 100_000        # words remembered by a task
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -42,10 +43,9 @@ class Encoder:
     """
 
     def __init__(self, path: str, ranks: str | None = None):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.path = path
+        with open(path, encoding="utf-8") as file:
+            self.special = [t["content"] for t in json.load(file)["added_tokens"]]
         self.memo: dict[str, bytes] = {}
         self.plain = None
         if ranks is not None:
@@ -56,6 +56,13 @@ class Encoder:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
             self.plain = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
 
+    @functools.cached_property
+    def tokenizer(self):
+        """Loaded when the first text needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def ids(self, texts: list[str]) -> list[bytes]:
         if self.plain is not None:
             return [array("I", self.plain(t)).tobytes() for t in texts]
@@ -108,6 +115,7 @@ def pieces(docs: DataFrame, path: str, ranks: str | None = None, length: int = L
                     rows += [(doc, s, min(length, n - s), zlib.crc32(memoryview(ids)[4 * s:4 * (s + length)]), n)
                              for s in range(0, n, length)]
             yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        coder.memo.clear()      # a worker that is used again has the encoder, not the words
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return narrow.mapInPandas(cut, PIECES)
