@@ -33,7 +33,7 @@ from tidebars.session import stage
 
 HOT = 20_000       # frequent shingles put last; the bound keeps the list small at any size of the corpus
 HOT_COUNT = 64     # and only if so many prefixes hold them
-BLOCK = 1024       # classes of one group that meet in one task
+BLOCK = 4096       # classes of one group that meet in one task
 FAN = 16           # children of a tree node
 BITS = 1024        # longest bitmap is this times 64
 
@@ -192,10 +192,12 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
         return make
 
     def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = [_NONE]
         for batch in batches:
-            sets = shingle_sets(list(batch.text), k)
-            tokens, n = np.unique(np.concatenate([_prefix(s, _NONE, percent) if len(s) else _NONE for s in sets]), return_counts=True)
-            yield pd.DataFrame({"token": tokens.view(np.int64), "n": n})
+            found += [_prefix(s, _NONE, percent) for s in shingle_sets(list(batch.text), k) if len(s)]
+        tokens, n = np.unique(np.concatenate(found), return_counts=True)
+        again = n > 1      # what a task sees once is not among the most frequent, and any order is exact
+        yield pd.DataFrame({"token": tokens[again].view(np.int64), "n": n[again]})
 
     often = (narrow.select("text").mapInPandas(heads, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
              .where(F.col("n") >= HOT_COUNT).orderBy(F.desc("n"), "token").limit(HOT).collect())
@@ -211,9 +213,9 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
 
     # most classes link within the groups of their smallest and largest shared shingle
     own = postings.groupBy("set_key").agg(F.array_distinct(F.array(F.min("token"), F.max("token"))).alias("tokens"))
-    own = stage(own.join(maps, "set_key").select("set_key", "size", "bits", F.explode("tokens").alias("token")), "own")
+    own = stage(own.select("set_key", F.explode("tokens").alias("token")), "own")
     crowd = own.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    own = own.join(crowd, "token").withColumn("block", F.pmod(F.xxhash64("set_key"), F.ceil(F.col("n") / F.lit(BLOCK))))
+    own = own.join(crowd, "token").withColumn("block", F.pmod(F.xxhash64("set_key"), F.ceil(F.col("n") / F.lit(BLOCK)))).join(maps, "set_key")
     near = map_groups(own.select("token", "block", "set_key", "size", "bits"), ["token", "block"], _span(percent), "a binary, b binary")
     edges = stage(_verified(narrow, near.distinct(), k, percent), "near")
     roots = components(edges)
@@ -226,7 +228,8 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
                                        F.sum(mark.cast("decimal(38,0)")).alias("m2")).where("r1 <> r2")
     # shingles with the same classes (a passage has many) meet once
     mixed = mixed.groupBy("n", "r1", "r2", "m1", "m2").agg(F.min("token").alias("token"))
-    open_ = named.join(mixed.select("token", "n"), "token").withColumn("blocks", F.ceil(F.col("n") / F.lit(BLOCK)))
+    mixed = stage(mixed.select("token", "n", F.monotonically_increasing_id().alias("id")), "mixed")
+    open_ = named.join(mixed, "token").drop("token").withColumnRenamed("id", "token").withColumn("blocks", F.ceil(F.col("n") / F.lit(BLOCK)))
     open_ = open_.withColumn("own", F.pmod(F.xxhash64("set_key"), F.col("blocks")))
     open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     open_ = open_.select("token", "set_key", "root", "own", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"))
