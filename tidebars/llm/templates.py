@@ -67,24 +67,15 @@ _HIDDEN = re.compile(r"<!--|<!\[CDATA\[")
 DEEPEST = 512     # elements around a block, as browsers have it; those below share its path
 
 
-def _tokens(page: str) -> Iterator[re.Match | str]:
-    """Tags, comments and raw elements, and the text between them.
-
-    Nothing ends behind the last ``>``, so nothing is looked for there but an open comment, which hides the rest, as an open raw
-    element does.
-    """
-    end, at, last = page.rfind(">") + 1, 0, None
-    for m in _TOKEN.finditer(page, 0, end):
-        yield page[at:m.start()]
-        yield m
-        at, last = m.end(), m
+def _rest(page: str, at: int, end: int, last: re.Match | None) -> str:
+    """The text behind the last token: none behind an open raw element or comment, none from an open comment on."""
     if last is not None and at == end:
         text = last.group()
         if (last["raw"] and not last["end"]) or (text.startswith("<!--") and not text.endswith("-->")) or (
                 text.startswith("<![CDATA[") and not text.endswith("]]>")):
-            return
+            return ""
     hidden = _HIDDEN.search(page, end)
-    yield page[at:hidden.start() if hidden else len(page)]
+    return page[at:hidden.start() if hidden else len(page)]
 
 
 def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str]]:
@@ -99,11 +90,11 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str]]:
         if text:
             yield (*path, leaf) if leaf else tuple(path), text
 
-    deeper = 0
-    for m in _tokens(page):
-        if isinstance(m, str):
-            held.append(m)
-            continue
+    # nothing ends behind the last ">", so no tag is looked for there
+    at, deeper, m, end = 0, 0, None, page.rfind(">") + 1
+    for m in _TOKEN.finditer(page, 0, end):
+        held.append(page[at:m.start()])
+        at = m.end()
         tag = (m["tag"] or "").lower()
         if m["raw"] or not tag or tag in INLINE:
             if m["raw"] and m["raw"].lower() == "title":
@@ -130,6 +121,7 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str]]:
         named = {a.lower(): b or c or d for a, b, c, d in _NAMED.findall(m["attr"] or "")}
         path.append(".".join([tag, *_BLANK.sub(" ", " ".join(named[k] for k in ("class", "id", "role") if named.get(k))).split(" ")]).rstrip("."))
         yield tuple(path), ""
+    held.append(_rest(page, at, end, m))
     yield from flush()
 
 
