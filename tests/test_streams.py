@@ -28,9 +28,9 @@ def feed_of(spark, arrivals):
 
 def drain(spark, bars):
     path = stage_path(spark, "test_table")
-    query = event_time.write_days(bars, path, stage_path(spark, "test_checkpoint"), once=True)
+    query = event_time.write_periods(bars, path, stage_path(spark, "test_checkpoint"), once=True)
     query.awaitTermination()
-    found = event_time.read_days(spark, path)
+    found = event_time.read_periods(spark, path)
     return {(r.symbol, (r.ts - DAY).days): r.close for r in found.collect()}, query
 
 
@@ -68,11 +68,11 @@ def test_a_batch_that_runs_again_adds_nothing(spark):
     path, checkpoint = stage_path(spark, "test_table"), stage_path(spark, "test_checkpoint")
     for day in (1, 2):
         for _ in range(2):
-            event_time.write_days(event_time.first_arrivals(extend.read_feed(spark, feed, 1), "5 days"), path, checkpoint, once=True).awaitTermination()
+            event_time.write_periods(event_time.first_arrivals(extend.read_feed(spark, feed, 1), "5 days"), path, checkpoint, once=True).awaitTermination()
         spark.createDataFrame([bar("A", 0, 7.0), bar("A", day, 2.0)], BAR_SCHEMA).write.mode("append").parquet(feed)
-    event_time.write_days(event_time.first_arrivals(extend.read_feed(spark, feed, 1), "5 days"), path, checkpoint, once=True).awaitTermination()
-    found = event_time.read_days(spark, path)
-    assert sorted((r.close, r.day.day) for r in found.collect()) == [(1.0, 1), (2.0, 2), (2.0, 3)]
+    event_time.write_periods(event_time.first_arrivals(extend.read_feed(spark, feed, 1), "5 days"), path, checkpoint, once=True).awaitTermination()
+    found = event_time.read_periods(spark, path)
+    assert sorted((r.close, r.period.day) for r in found.collect()) == [(1.0, 1), (2.0, 2), (2.0, 3)]
 
 
 def plain_indicators(spark, pdf):

@@ -19,6 +19,7 @@ PRIOR_SPAN = 63
 POLE_LENGTHS = (20, 30, 40)
 DOWN_DAYS = 10
 SLOPE_BACK = 21
+FULL_HALO = max(HIGH_STEPS[-1], rolling.ema_halo(EMA_SPANS), max(SMA_SPANS) + SLOPE_BACK)    # the longest look back of all indicators
 GAP_SCAN_SPAN = 20  # vol_mean_20 stays in the frame for the gap scan of a move
 PUBLIC_COLUMNS = (
     "sma50", "sma150", "sma200", "ema10", "ema20",
@@ -123,18 +124,18 @@ def benchmark_overlay(aligned: DataFrame) -> DataFrame:
 def all_indicators(indexed: DataFrame, benchmark: DataFrame | None = None, chunk_rows: int = CHUNK) -> DataFrame:
     """The ten public indicators plus the lagged columns the detectors read.
 
-    All frames share (symbol, chunk): one exchange, then windows over the same order.
+    All frames share (symbol, chunk): one exchange, then windows over the same order; none over a table of ``sources.layout``.
+    Bars that were aligned before have ``bench_close`` and need no benchmark.
     """
     source = align_benchmark(indexed, benchmark) if benchmark is not None else indexed
-    halo = max(HIGH_STEPS[-1], rolling.ema_halo(EMA_SPANS), max(SMA_SPANS) + SLOPE_BACK)
-    df = with_halo(source, before=halo, chunk_rows=chunk_rows)
+    df = with_halo(source, before=FULL_HALO, chunk_rows=chunk_rows)
     bar_columns = {
         "prev_close": back("close"), "_range_pct": RANGE_PCT, "true_range": TRUE_RANGE,
         "close_pos": "CASE WHEN high > low THEN (close - low) / (high - low) END",
         "prior_start_close": f"coalesce({back('close', PRIOR_SPAN)}, "
                              f"CASE WHEN rn <= {PRIOR_SPAN} THEN first(close) {rows('first')} END)",
         **{f"close_back_{n}": back("close", n) for n in POLE_LENGTHS},
-        f"rel_strength_{STRENGTH_SPAN}": strength() if benchmark is not None else "CAST(NULL AS DOUBLE)",
+        f"rel_strength_{STRENGTH_SPAN}": strength() if "bench_close" in source.columns else "CAST(NULL AS DOUBLE)",
     }
     down = f"(CASE WHEN close < prev_close THEN volume END) {rows(-DOWN_DAYS, -1)}"
     since_previous = {

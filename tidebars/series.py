@@ -73,8 +73,10 @@ def with_halo(indexed: DataFrame, before: int = 0, after: int = 0, chunk_rows: i
 
     Adds ``is_core``: true for a row in its own chunk. Windows over a chunk
     (``rows``, ``back``) then see ``before`` rows ahead of every core row and
-    ``after`` rows behind it; drop the copies with ``core``.
+    ``after`` rows behind it; drop the copies with ``core``. Bars that have their halo (``sources.layout``) stay as they are.
     """
+    if "is_core" in indexed.columns:
+        return indexed
     slot = f"pmod(rn - 1, {chunk_rows})"
     # a wide halo reaches over several chunks
     ahead = [f"CASE WHEN {slot} >= {j * chunk_rows - before} THEN chunk + {j} END" for j in range(1, -(-before // chunk_rows) + 1)]

@@ -9,8 +9,8 @@ back from the table. Two readings of "each bar once":
 
 Bars that lag by more than ``delay`` are left out of both, from the batch after the one that moved the watermark past them at the
 latest (Spark counts them as ``numRowsDroppedByWatermark``);
-``extend.extend_stream`` takes bars of any age, by reading the table. ``write_days`` keeps the result in folders by day, through Spark's
-file sink: a batch that runs again after a failure counts once.
+``extend.extend_stream`` takes bars of any age, by reading the table. ``write_periods`` keeps the result in folders by day, or a longer
+period for sparser bars, through Spark's file sink: a batch that runs again after a failure counts once.
 """
 from __future__ import annotations
 
@@ -42,15 +42,15 @@ def settled(feed: DataFrame, delay: str) -> DataFrame:
     return last.select("symbol", "ts", *[F.col(f"b.{c}").alias(c) for c in VALUES])
 
 
-def write_days(bars: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Append streamed bars to folders ``day=<date>``; ``once`` stops when the feed is drained."""
+def write_periods(bars: DataFrame, path: str, checkpoint: str, once: bool = False, period: str = "day") -> StreamingQuery:
+    """Append streamed bars to folders ``period=<first day>``; ``once`` stops when the feed is drained."""
     writer = (
-        bars.withColumn("day", F.to_date("ts")).writeStream.format("parquet").partitionBy("day").outputMode("append")
+        bars.withColumn("period", F.date_trunc(period, "ts").cast("date")).writeStream.format("parquet").partitionBy("period").outputMode("append")
         .option("path", path).option("checkpointLocation", checkpoint)
     )
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def read_days(spark: SparkSession, path: str) -> DataFrame:
-    """The table of ``write_days``; a filter on ``day`` reads the folders of those days only."""
-    return spark.read.schema(f"{BAR_SCHEMA}, day date").parquet(path)
+def read_periods(spark: SparkSession, path: str) -> DataFrame:
+    """The table of ``write_periods``; a filter on ``period`` reads those folders only."""
+    return spark.read.schema(f"{BAR_SCHEMA}, period date").parquet(path)

@@ -1,11 +1,14 @@
-"""Moves of any range of bars from chunk summaries; chunks are short, so that ranges hold several."""
+"""Moves of any range of bars from chunk summaries, and indicators over bars laid out by chunk; chunks are short, so that there are several."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from tidebars.operators import best_moves as bm
+from tidebars.operators import indicators
 from tidebars.operators import range_moves as rm
 from tidebars.series import index_series
+from tidebars.session import stage_path
+from tidebars.sources import layout
 from workload import chunk_queries as cq
 from workload import indicator_queries as iq
 from workload import sql as q
@@ -58,3 +61,13 @@ def repair_plan_by_summaries(spark, sf_dir):
     held = t.staged(spark, sf_dir, "daily_summaries", lambda: rm.chunk_summaries(bars))
     plan = bm.repair_plan(iq.book(spark, sf_dir), bars, search=lambda asked: rm.best_of_periods(asked, bars, held, chunk_rows=DAYS_CUT))
     return iq.shown_plan(plan)
+
+
+@query("all_indicators_laid_out", CHECKS["all_indicators"])
+def all_indicators_laid_out(spark, sf_dir):
+    """Bars aligned with their benchmark and written with their halo; the indicators over them need no exchange."""
+    aligned = indicators.align_benchmark(cq.bars(spark, sf_dir), t.benchmark(spark, sf_dir))
+    path = stage_path(spark, "laid_out")
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    layout.lay_out(aligned, name, path, buckets=8, chunk_rows=cq.CUT)
+    return indicators.all_indicators(layout.laid_out(spark, name, chunk_rows=cq.CUT), chunk_rows=cq.CUT).select(*iq.averages(iq.ALL_COLUMNS))

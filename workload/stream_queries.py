@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tidebars.operators import tables
 from tidebars.session import stage_path
-from tidebars.streaming import event_time, extend, live
+from tidebars.streaming import asof, event_time, extend, live
 from workload import source_queries as sq
 from workload import sql as q
 from workload import tables as t
@@ -28,8 +28,8 @@ def arrivals_to_feed(spark, arrivals):
 def drained(spark, bars):
     """The bars of a stream after its feed was drained."""
     path = stage_path(spark, "event_bars")
-    event_time.write_days(bars, path, stage_path(spark, "event_checkpoint"), once=True).awaitTermination()
-    return event_time.read_days(spark, path).select("symbol", F.date_format("ts", "yyyy-MM-dd").alias("ts"), num("close"), "volume")
+    event_time.write_periods(bars, path, stage_path(spark, "event_checkpoint"), once=True, period="year").awaitTermination()
+    return event_time.read_periods(spark, path).select("symbol", F.date_format("ts", "yyyy-MM-dd").alias("ts"), num("close"), "volume")
 
 
 def yearly(spark, sf_dir, first, again):
@@ -96,3 +96,31 @@ def stream_compacted(spark, sf_dir):
         extend.compact(spark, table)
         extend.clean(spark, table)
     return extend.read_table(spark, table).select("symbol", F.date_format("ts", "yyyy-MM-dd").alias("ts"), num("close"), "volume")
+
+
+REACH_HOURS = 30
+ASOF_DELAYS = 40
+
+
+@query("stream_asof_benchmark", q.with_([q.BARS, q.BENCH, q.ASOF, f"""
+reached AS (
+  SELECT a.symbol, a.ts, a.close, CASE WHEN x.ts > a.ts - INTERVAL {REACH_HOURS} HOUR THEN x.close END AS bench_close
+  FROM bars a ASOF LEFT JOIN bench x ON a.ts >= x.ts)"""], f"""
+SELECT symbol, {q.at('ts')} AS ts, close, bench_close FROM reached
+WHERE ts <= (SELECT least((SELECT max(ts) FROM bars), (SELECT max(ts) FROM bench))) - INTERVAL {ASOF_DELAYS} HOUR"""))
+def stream_asof_benchmark(spark, sf_dir):
+    """Bars and benchmark as two streams of uneven parts; what is behind both watermarks equals the batch join."""
+    bars = t.staged(spark, sf_dir, "raw_bars", lambda: t.raw_bars(spark, sf_dir))
+    bench = t.benchmark(spark, sf_dir).withColumn("symbol", F.lit("ALL"))
+    low, high = bars.agg(F.min(F.unix_seconds("ts")), F.max(F.unix_seconds("ts"))).first()
+
+    def parts(df, n):
+        part = F.least(F.greatest(F.floor((F.unix_seconds("ts") - low) * n / F.lit(high + 1 - low)), F.lit(0)), F.lit(n - 1))
+        return [df.filter(part == k) for k in range(n)]
+
+    feeds = [arrivals_to_feed(spark, parts(df.select(*tables.BAR_COLUMNS), n)).drop("seq") for df, n in ((bars, 4), (bench, 3))]
+    rows = asof.align_streams(*feeds, REACH_HOURS * 3600, f"{ASOF_DELAYS} hours", f"{ASOF_DELAYS} hours")
+    path = stage_path(spark, "asof_bars")
+    rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", stage_path(spark, "asof_checkpoint")).trigger(
+        availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(path).select("symbol", when("ts"), "close", "bench_close")
