@@ -3,7 +3,7 @@
 A bar takes the benchmark's last close at or before it, no older than ``reach``. Both sides wait in state: a bar until both
 watermarks have passed it, so that a benchmark that comes late is still found, a close until no bar can ask for it any more. Both are
 keyed by a slot of time as wide as the reach; a close stands in its own slot and in the next, so that equal keys meet whatever
-is in reach.
+is in reach. A bar comes out when the watermark, the earlier of the two, is ``reach`` past it.
 """
 from __future__ import annotations
 

@@ -107,9 +107,9 @@ reached AS (
   SELECT a.symbol, a.ts, a.close, CASE WHEN x.ts > a.ts - INTERVAL {REACH_HOURS} HOUR THEN x.close END AS bench_close
   FROM bars a ASOF LEFT JOIN bench x ON a.ts >= x.ts)"""], f"""
 SELECT symbol, {q.at('ts')} AS ts, close, bench_close FROM reached
-WHERE ts <= (SELECT least((SELECT max(ts) FROM bars), (SELECT max(ts) FROM bench))) - INTERVAL {ASOF_DELAYS} HOUR"""))
+WHERE ts <= (SELECT least((SELECT max(ts) FROM bars), (SELECT max(ts) FROM bench))) - INTERVAL {ASOF_DELAYS + REACH_HOURS} HOUR"""))
 def stream_asof_benchmark(spark, sf_dir):
-    """Bars and benchmark as two streams of uneven parts; what is behind both watermarks equals the batch join."""
+    """Bars and benchmark as two streams of uneven parts; what the watermark is past by the reach equals the batch join."""
     bars = t.staged(spark, sf_dir, "raw_bars", lambda: t.raw_bars(spark, sf_dir))
     bench = t.benchmark(spark, sf_dir).withColumn("symbol", F.lit("ALL"))
     low, high = bars.agg(F.min(F.unix_seconds("ts")), F.max(F.unix_seconds("ts"))).first()
