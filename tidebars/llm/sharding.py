@@ -3,7 +3,7 @@
 Rows with equal texts are linked. A group of a quota or more takes whole shards first; what is left of it, and all other rows, start
 in a hashed one of the other shards. In every round each group of linked rows moves towards the shard with room that holds most of
 it, within that room, larger groups first; its rows in full shards move as well, and leave room there. Rows of one group in one
-shard are interchangeable, so rounds, which end when one changes nothing (or after as many as there are shards), join and sum cells (group, shard, rows), never pairs. At last each shard keeps
+shard are interchangeable, so rounds, which end when one changes nothing (or after ``ROUNDS``), join and sum cells (group, shard, rows), never pairs. At last each shard keeps
 its quota, linked rows first, and the rows beyond it fill the shards that have room: counts differ by one at most
 (law ``rows``). A group beyond a quota lies in one shard more than it fills; a smaller one is cut only where no shard has room for
 all of it, which befalls the last few.
@@ -20,6 +20,7 @@ from tidebars.llm.common import running_totals, tiles_for
 from tidebars.session import stage
 
 SHARDS = 24
+ROUNDS = 6      # of propagation; most groups are whole after two or three
 
 
 def propagate(cells: DataFrame, cap: int, tiles: int) -> DataFrame:
@@ -73,7 +74,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int | None = None) ->
     cells = rows.join(small, "g", "left_semi").groupBy("g", F.col("start").alias("shard")).agg(F.count(F.lit(1)).alias("n"))
     cells = stage(cells.unionByName(spark.createDataFrame(whole, "g string, shard int, n long")), "cells")
     seen = None
-    for _ in range(rounds or shards):
+    for _ in range(ROUNDS if rounds is None else rounds):
         mark = cells.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("g", "shard", "n"))).first()
         if mark == seen:
             break
