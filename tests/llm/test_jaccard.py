@@ -88,6 +88,46 @@ def test_tree_loses_no_pair():
             assert both < jaccard.need(len(sets[i]), len(sets[j]), 85) or (j, i) in found
 
 
+def test_first_common_shingle_keeps_linking_pairs():
+    sets = [s for s in shingle_sets([t for _, t in copies(11, 120)], 4) if len(s)]
+    tokens = defaultdict(list)
+    for i, s in enumerate(sets):
+        for place, t in enumerate(jaccard._prefix(s, jaccard._NONE, 85).tolist()):
+            tokens[t].append((i, place))
+    met, rows = defaultdict(set), 0
+    for t, found in tokens.items():
+        at, place = (np.array(x) for x in zip(*found))
+        sizes = np.array([len(sets[i]) for i in at])
+        keep = jaccard.reaching(sizes, sizes - place, at, 85)
+        met[t], rows = set(at[keep].tolist()), rows + int(keep.sum())
+    for i in range(len(sets)):
+        for j in range(i):
+            common = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * common >= 85 * (len(sets[i]) + len(sets[j]) - common):
+                assert any(i in m and j in m for m in met.values())
+    assert rows < 0.8 * sum(len(found) for found in tokens.values() if len(found) > 1)
+
+
+def test_hopeless_meetings_move_no_bitmaps(spark, monkeypatch):
+    staged, write = {}, jaccard.stage
+    monkeypatch.setattr(jaccard, "stage", lambda df, name: staged.setdefault(name, write(df, name)))
+    line = " ".join(f"c{i}" for i in range(12))
+    rows = [(n, line + "".join(f" t{n}x{i}" for i in range(2 * 2**n))) for n in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r.component_id for r in jaccard.join(docs).collect()}
+    assert out == {n: n for n, _ in rows}
+    assert staged["mixed"].count() and not staged["open"].count()
+
+
+def test_tree_descends_in_bounded_steps(monkeypatch):
+    sizes = np.full(300, 40_000)
+    bits = np.random.default_rng(5).integers(0, 2**63, (300, jaccard.BITS), dtype=np.uint64)
+    tree, seen = jaccard.Tree(sizes, bits), []
+    monkeypatch.setattr(jaccard, "likely", lambda one, two, left, right, percent: seen.append(len(left)) or np.ones(len(left), bool))
+    pairs = sum(len(x) for x, _, _ in tree.meet(tree, 20))
+    assert pairs == 300 * 299 // 2 and max(seen) * jaccard.BITS <= jaccard.STEP
+
+
 def test_keep_one(spark):
     rows = [(4, "a b c d e f g"), (2, "a b c d e f g"), (2, "a b c d e f g"), (9, ""), (7, None), (5, "other words altogether in this one")]
     df = spark.createDataFrame(rows, "doc_id long, text string")

@@ -9,7 +9,9 @@ Where classes meet, a signature tree does the search: leaves hold a class's bitm
 bitmaps below and their range of sizes; two nodes are descended together only while the largest possible overlap
 reaches what their smallest sizes need. The groups of each class's smallest and largest shared shingle give spanning
 pairs, which are checked by their whole sets and link most classes; after them only meetings of different components
-remain, whose pairs, all of them, go through the trees and the same check. Groups beyond ``BLOCK`` classes are split into blocks, and
+remain. A class takes part in one only if some class of another component could reach the threshold there: where a shingle is the first
+that two sets share, no more than what follows it is common. Sizes and places decide that before any bitmap moves; all pairs of
+those that stay go through the trees and the same check. Groups beyond ``BLOCK`` classes are split into blocks, and
 blocks meet block by block in tasks of bounded size.
 
 Text without words, empty or null has an empty set and links with nothing. Rows are told apart by their shingle sets,
@@ -36,6 +38,7 @@ HOT_COUNT = 64     # and only if so many prefixes hold them
 BLOCK = 4096       # classes of one group that meet in one task
 FAN = 16           # children of a tree node
 BITS = 1024        # longest bitmap is this times 64
+STEP = 1 << 19     # words of bitmaps compared at a time, on each side
 
 
 def need(a, b, percent: int):
@@ -119,8 +122,9 @@ class Tree:
                 ok &= a[:, :, None] <= b[:, None, :]
             left = np.broadcast_to(a[:, :, None], ok.shape)[ok]
             right = np.broadcast_to(b[:, None, :], ok.shape)[ok]
-            for k in range(0, len(left), 65536):
-                stack.append((level - 1, left[k:k + 65536], right[k:k + 65536]))
+            step = max(FAN, min(8192, STEP // bl.shape[1]))
+            for k in range(0, len(left), step):
+                stack.append((level - 1, left[k:k + step], right[k:k + step]))
 
 
 def trees(sizes: np.ndarray, bits: list[np.ndarray]) -> list[tuple[Tree, np.ndarray]]:
@@ -205,10 +209,10 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     rows = stage(narrow.mapInPandas(outline(hot), "doc_id long, n_shingles long, set_key binary, bits binary, prefix array<long>"), "outlines")
 
     filled = rows.where("n_shingles > 0")
-    prefixes = filled.groupBy("set_key").agg(F.first("prefix").alias("prefix")).select("set_key", F.explode("prefix").alias("token"))
+    prefixes = filled.groupBy("set_key").agg(F.first("prefix").alias("prefix")).select("set_key", F.posexplode("prefix").alias("place", "token"))
     token = Window.partitionBy("token")
     shared = prefixes.withColumns({"k1": F.min("set_key").over(token), "k2": F.max("set_key").over(token)}).where("k1 <> k2")
-    postings = stage(shared.select("token", "set_key"), "postings")
+    postings = stage(shared.select("token", "set_key", "place"), "postings")
     maps = filled.groupBy("set_key").agg(F.first("n_shingles").alias("size"), F.first("bits").alias("bits"))
 
     # most classes link within the groups of their smallest and largest shared shingle
@@ -221,18 +225,24 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     roots = components(edges)
 
     # what still meets are different components; blocks of one shingle meet block by block
-    named = stage(postings.join(roots, F.col("set_key") == F.col("node"), "left").select(
-        "token", "set_key", F.coalesce("root", "set_key").alias("root")), "named")
+    classes = filled.groupBy("set_key").agg(F.first("n_shingles").alias("size"))
+    named = stage(postings.join(classes, "set_key").join(roots, F.col("set_key") == F.col("node"), "left").select(
+        "token", "set_key", F.coalesce("root", "set_key").alias("root"), "size", (F.col("size") - F.col("place")).alias("most")), "named")
     mark = F.xxhash64("set_key")
     mixed = named.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r1"), F.max("root").alias("r2"), F.bit_xor(mark).alias("m1"),
-                                       F.sum(mark.cast("decimal(38,0)")).alias("m2")).where("r1 <> r2")
-    # shingles with the same classes (a passage has many) meet once
-    mixed = mixed.groupBy("n", "r1", "r2", "m1", "m2").agg(F.min("token").alias("token"))
+                                       F.sum(mark.cast("decimal(38,0)")).alias("m2"), F.sum("most").alias("most")).where("r1 <> r2")
+    # shingles with the same classes (a passage has many) meet once, at the first of them
+    mixed = mixed.groupBy("n", "r1", "r2", "m1", "m2").agg(F.max_by("token", F.struct("most", "token")).alias("token"))
     mixed = stage(mixed.select("token", "n", F.monotonically_increasing_id().alias("id")), "mixed")
-    open_ = named.join(mixed, "token").drop("token").withColumnRenamed("id", "token").withColumn("blocks", F.ceil(F.col("n") / F.lit(BLOCK)))
-    open_ = open_.withColumn("own", F.pmod(F.xxhash64("set_key"), F.col("blocks")))
-    open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    open_ = open_.select("token", "set_key", "root", "own", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"))
+
+    def blocks(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("blocks", F.ceil(F.col("n") / F.lit(BLOCK))).withColumn("own", F.pmod(F.xxhash64("set_key"), F.col("blocks")))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        return rows.withColumns({"one": F.least("own", "other"), "two": F.greatest("own", "other")}).drop("blocks", "other")
+
+    open_ = named.join(mixed, "token").drop("token").withColumnRenamed("id", "token")
+    met = map_groups(blocks(open_), ["token", "one", "two"], _reach(percent), "token long, set_key binary, root binary, n long")
+    open_ = blocks(stage(met.distinct(), "open")).drop("n")
     # a pair counts where its smallest common shingle is, so it comes out once
     lists = open_.groupBy("set_key").agg(F.sort_array(F.collect_set("token")).alias("tokens"))
     pairs = map_groups(open_.join(maps, "set_key").join(lists, "set_key"), ["token", "one", "two"], _may_link(percent), "a binary, b binary")
@@ -309,6 +319,30 @@ def _classes(group: dict[str, np.ndarray]):
     return keys, group["size"][order], [np.frombuffer(group["bits"][i], np.uint64) for i in order], order
 
 
+def reaching(sizes: np.ndarray, most: np.ndarray, roots: np.ndarray, percent: int) -> np.ndarray:
+    """Which classes could link with one of another root, if no two share more than the ``most`` of either."""
+    out = np.zeros(len(sizes), bool)
+    step = max(1, (1 << 20) // len(sizes))
+    for k in range(0, len(sizes), step):
+        at = slice(k, k + step)
+        fits = need(sizes[at, None], sizes, percent) <= np.minimum(most[at, None], most)
+        out[at] = (fits & (roots[at, None] != roots)).any(1)
+    return out
+
+
+def _reach(percent: int):
+    def reach(group: dict[str, np.ndarray]) -> dict[str, list] | None:
+        if len(group["set_key"]) < 2:
+            return None
+        names: dict[bytes, int] = {}
+        roots = np.array([names.setdefault(r, len(names)) for r in group["root"]])
+        if len(names) < 2:
+            return None
+        at = np.flatnonzero(reaching(group["size"], group["most"], roots, percent))
+        return {c: list(group[c][at]) for c in ("token", "set_key", "root", "n")} if len(at) else None
+    return reach
+
+
 def _may_link(percent: int):
     def may(group: dict[str, np.ndarray]) -> dict[str, list] | None:
         one, two = int(group["one"][0]), int(group["two"][0])
