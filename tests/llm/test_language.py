@@ -75,6 +75,13 @@ def test_known_keeps_unlabelled_texts_and_fills_labels(spark):
     assert sum(got[d].lang == full[d][2] for d in range(0, 300, 5)) >= 57
 
 
+def test_network_runs_once_a_text(spark):
+    """A filter on the label must not be pushed below the network, which would run it, and its workers, twice."""
+    df = spark.createDataFrame([*texts(60), (60, None, None), (61, "the and of", None)], "doc_id long, text string, lang string")
+    plan = language.known(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [predict") == 1
+
+
 def test_pooled_words_do_not_depend_on_the_batch():
     net = language.Network(4)
     words = language.segments("some words of different length, größer " + "z" * 100)

@@ -239,6 +239,7 @@ def label(docs: DataFrame, langs: list[str], network: Network | None) -> DataFra
                             pred[i], score[i] = names[best], min(1.0, float(mean[best]))
             yield pd.DataFrame({"lang_pred": pred, "score": score})
 
+    predict = predict.asNondeterministic()      # else a filter on its result is pushed below it, with a second run of the network
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "_found")]
     return docs.select(*kept, predict("text").alias("_found")).select(*kept, "_found.lang_pred", "_found.score")
 
