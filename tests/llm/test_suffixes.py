@@ -61,6 +61,24 @@ def test_removal_equals_brute_force(spark, monkeypatch, seed, crowd):
     assert [got[i] for i in range(len(texts))] == brute([t.encode() for t in texts], 100)
 
 
+def test_common_passage_is_dealt_by_context_not_by_start(spark, monkeypatch):
+    """A passage among hundreds of different surroundings: right, in rows that grow with contexts and not with their starts."""
+    rng, tables, real = random.Random(5), {}, suffixes.stage
+
+    def stage(df, name):
+        tables[name] = tables.get(name, 0) + (out := real(df, name)).count()
+        return out
+
+    monkeypatch.setattr(suffixes, "stage", stage)
+    passage, ends = ("".join(rng.choices("abcdefgh ", k=n)) for n in (700, 60))
+    texts = ["".join(rng.choices("ijklmnop ", k=400)) + passage + ends[:rng.choice([0, 0, 0, 7, 30, 60])] + "".join(rng.choices("ijklmnop ", k=400))
+             for _ in range(320)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in suffixes.remove(df).collect()}
+    assert [got[i] for i in range(len(texts))] == brute([t.encode() for t in texts], 400)
+    assert 0 < tables.get("dealt", 0) < 40 * len(texts)      # their strings are hundreds a text
+
+
 def test_long_texts_go_in_pieces(monkeypatch):
     monkeypatch.setattr(suffixes, "PIECE", 64)
     data = "".join(texts_of(9, 100)).encode()[:1500]
